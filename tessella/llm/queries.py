@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import packing
+from tessella.llm import packing, simhash, substrings
 from tessella.llm.common import read_table
 
 
@@ -20,7 +20,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer_path())
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed_bytes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
