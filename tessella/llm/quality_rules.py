@@ -14,11 +14,11 @@ from tessella.llm.common import SPACE_RUN, cut, let, words
 WINDOW = 8
 #: Groups with fewer documents are judged with the rest of their language, and then with all such rests.
 LEAST_GROUP = 50
-#: Share of a group that the covariance is fitted to, concentration steps, and the median of chi-square with 5 degrees.
-HALF, STEPS, CHI2_MEDIAN = 0.75, 3, 4.351
-#: Variance below which no statistic counts as unusual: log word length, and roots of the other four ratios.
-FLOOR = (0.15**2, 0.15**2, 0.12**2, 0.3**2, 0.3**2)
-#: Squared distance (as chi-square with 5 degrees) beyond which a document is rejected.
+#: Share of a group that the covariance is fitted to, concentration steps, and the median of chi-square with 6 degrees.
+HALF, STEPS, CHI2_MEDIAN = 0.75, 3, 5.348
+#: Variance below which no statistic counts as unusual: log word length, and roots of the other five ratios.
+FLOOR = (0.15**2, 0.1**2, 0.1**2, 0.3**2, 0.3**2, 0.2**2)
+#: Squared distance (as chi-square with 6 degrees) beyond which a document is rejected.
 CUTOFF = 40.0
 P = len(FLOOR)
 _PAIRS = [(j, k) for j in range(1, P + 1) for k in range(1, j + 1)]
@@ -77,10 +77,11 @@ VECTOR = {
     "own": "concat('=', coalesce(lang, '?'), '/', coalesce(source, '?'))",
     "lang_key": "concat('=', coalesce(lang, '?'))",
     "x1": "ln(CAST(word_chars AS DOUBLE) / n_words)",
-    "x2": "sqrt(CAST(n_marks + n_symbols AS DOUBLE) / n_words)",
+    "x2": "sqrt(CAST(n_symbols AS DOUBLE) / n_words)",
     "x3": "sqrt(CAST(n_upper AS DOUBLE) / word_chars)",
     "x4": "sqrt(CAST(n_dup_lines AS DOUBLE) / n_lines)",
     "x5": "sqrt(CAST(n_repeat_words AS DOUBLE) / n_words)",
+    "x6": "sqrt(CAST(n_marks AS DOUBLE) / n_words)",
 }
 
 
@@ -137,7 +138,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: doc_id, the counts, base_failed and kept.
 
     A text with under 20 words, or with more than 30 % of them in repeated runs of 8 words, fails outright. The others are
-    vectors of five transformed statistics. For each language and source the covariance of least determinant is sought by
+    vectors of six transformed statistics. For each language and source the covariance of least determinant is sought by
     concentration steps from a robust start; orders are taken from counts of binned values, so that every step is a grouped
     sum however large a group is. Vectors far from the centre are rejected. Null lang or source is a group like any other;
     a group that is too small even with its neighbours rejects nothing. An empty table gives no rows.
