@@ -134,8 +134,8 @@ def verdict_sql(far: str, level: str) -> str:
     return f"SELECT f.rid AS rid, f.n >= {LEAST_GROUP} AND f.d2 > {CUTOFF} * greatest(exp((t.level + 0.5) / 32) / {CHI2_MEDIAN}, 1.0) AS outlier FROM {far} f JOIN {level} t ON f.g = t.g"
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """One row a row of ``docs``: doc_id, the counts, base_failed and kept.
+def judged(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row a row of ``docs``: doc_id, the counts, base_failed and kept, and a struct ``row`` of the columns ``also``.
 
     A text with under 20 words, or with more than 30 % of them in repeated runs of 8 words, fails outright. The others are
     vectors of six transformed statistics. For each language and source the covariance of least determinant is sought by
@@ -144,7 +144,7 @@ def judged(docs: DataFrame) -> DataFrame:
     a group that is too small even with its neighbours rejects nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    base = cut(counts(docs, ["lang", "source"]).withColumn("rid", F.monotonically_increasing_id()))
+    base = cut(counts(docs.withColumn("row", F.struct(*also)) if also else docs, ["lang", "source", *(["row"] if also else [])]).withColumn("rid", F.monotonically_increasing_id()))
     good = base.where("not base_failed").selectExpr("rid", *(f"{e} AS {n}" for n, e in VECTOR.items()))
 
     def q(text: str, **views: DataFrame) -> DataFrame:
@@ -161,7 +161,12 @@ def judged(docs: DataFrame) -> DataFrame:
     level = cut(q(level_sql(0.5, "{far}"), far=far))
     out = q(verdict_sql("{far}", "{level}"), far=far, level=level)
     kept = ~F.col("base_failed") & ~F.coalesce("outlier", F.lit(False))
-    return base.join(out, "rid", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return base.join(out, "rid", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *(["row"] if also else []))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return judged(docs, tuple(docs.columns)).where("kept").select("row.*")
 
 
 COUNTS_SQL = f"""
