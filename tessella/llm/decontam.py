@@ -103,10 +103,12 @@ class Items:
         both = hits.copy()
         both[:-1] += np.where(key[1:] == key[:-1] + 1, hits[1:], 0)
         pair = key >> 28
-        enough = np.flatnonzero(both >= self.need[pair % max(len(self.ids), 1)])
+        need = self.need[pair % len(self.ids)]
+        starts = np.unique(np.concatenate([key[both >= need], key[hits >= need] - 1]))
+        pair = starts >> 28
         best: dict[tuple[int, int], int] = {}
         exact: dict[tuple[int, int], bool] = {}
-        for j in enough.tolist():
+        for j in range(len(starts)):
             t, i = divmod(int(pair[j]), len(self.ids))
             if best.get((t, i), 1) == 0:
                 continue
@@ -116,7 +118,7 @@ class Items:
                 best[t, i] = 0
                 continue
             edits, step = int(self.edits[i]), int(self.edits[i]) + 1
-            low = (int(key[j] & ((1 << 28) - 1)) - (1 << 27)) * step
+            low = (int(starts[j] & ((1 << 28) - 1)) - (1 << 27)) * step
             found = align(self.texts[i], texts[t], low, 2 * step)
             if found <= edits:
                 best[t, i] = min(found, best.get((t, i), found))
