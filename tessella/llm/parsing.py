@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-TRIGGER = 20
+TRIGGER = 16  # two words of 8 bytes
 #: Bytes that are parsed in one go; the low bits of a hash hold a position below this.
 BLOCK, POSITION_BITS = 1 << 19, 20
 
@@ -63,9 +63,7 @@ class Phrases:
 def _block(data: np.ndarray, text: np.ndarray, offset: np.ndarray, ok: np.ndarray, span: int) -> Phrases:
     """data: bytes; text, offset, ok of each window: its text, its place there, and whether it lies within one text."""
     at8 = words8(data)
-    short = TRIGGER - 16
-    rolling = mixed(mixed(at8[: len(at8) - 8 - short], at8[8 : len(at8) - short]), at8[8 + short :])
-    rolling = final(rolling)
+    rolling = final(mixed(at8[:-8], at8[8:]))
     n = len(data) - span + 1
     low = np.uint64((1 << POSITION_BITS) - 1)
     own = sliding_min((rolling & ~low) | np.arange(len(rolling), dtype=np.uint64), span - TRIGGER + 1)[:n] & low

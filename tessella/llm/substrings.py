@@ -27,12 +27,12 @@ from tessella.llm.parsing import mixed, parse
 #: Phrases that one task of step 2 gathers, about; bytes of text in one partition of steps 3 and 4.
 PHRASES_A_TASK, BYTES_A_TASK = 600_000, 48 << 20
 
-_FLAT = "kind int, rid long, doc long, k long, s int, n int"
+_FLAT = "kind int, rid long, k long, s int, n int"
 
 
-def _flat(kind: int, rid, doc, k, s, n) -> pa.RecordBatch:
-    columns = [np.full(len(rid), kind, np.int32), rid, doc, k.view(np.int64), s.astype(np.int32), n.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "rid", "doc", "k", "s", "n"])
+def _flat(kind: int, rid, k, s, n) -> pa.RecordBatch:
+    columns = [np.full(len(rid), kind, np.int32), rid, k, s.astype(np.int32), n.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "rid", "k", "s", "n"])
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,19 +60,36 @@ def _least(new: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(value, np.flatnonzero(new))[np.cumsum(new) - 1] if len(value) else value
 
 
-def _ints(column: pa.Array, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, all first bytes first: what neighbours share then compresses well."""
+    return np.ascontiguousarray(values.astype("<i8" if values.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    parts = []
+    for raw in column.to_pylist():
+        out = np.zeros((len(raw) // width, 8), np.uint8)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+        parts.append(out.view("<i8").ravel())
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+#: Bytes kept of each column of a parsed phrase: trigger, phrase, row of the batch, place, windows; and of a row: doc_id, key.
+#: Triggers that agree in their kept bytes by chance are told apart by their texts later.
+_WIDTH = {"k": 6, "c": 5, "i": 4, "s": 4, "n": 1, "d": 8, "r": 8}
 
 
 def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a key rid, dealt out by it, and (rid, spans): the (s, n) with n bytes from s that are to go, some overlapping."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    # doc_id is the key of a row unless two rows share one
+    alone = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = docs.withColumn("rid", F.col("doc_id") if alone else F.xxhash64("doc_id", "text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), size // 15 // PHRASES_A_TASK)
     texts = rows.repartition(max(shuffle_width(spark), size // BYTES_A_TASK), "rid")
-    payload = ["k", "c", "i", "s", "n", "d", "r"]
+    payload = list(_WIDTH)
     whole = pa.schema([("kind", pa.int32()), ("b", pa.int32()), *((c, pa.binary()) for c in payload)])
 
     def parsed(batches):
@@ -94,13 +111,14 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             last = np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1] if len(s) else np.empty(0, int)
             arrays = [[], [], *([] for _ in payload)]
 
-            def put(kind, b, *values, arrays=arrays):
-                for a, v in zip(arrays, (kind, b, *(x.tobytes() for x in values)), strict=True):
-                    a.append(v)
+            def put(kind, b, arrays=arrays, **values):
+                arrays[0].append(kind)
+                arrays[1].append(b)
+                for a, c in zip(arrays[2:], payload, strict=True):
+                    a.append(_packed(values[c], _WIDTH[c]) if c in values else b"")
 
-            empty = np.empty(0, np.int8)
-            if len(s):
-                put(1, int(rids[0] % buckets), empty, empty, empty, s[new].astype("i4"), (e[last] - s[new]).astype("i4"), empty, rids[row[new]])
+            if len(s):  # spans: i has their lengths
+                put(1, int(rids[0] % buckets), s=s[new], i=e[last] - s[new], r=rids[row[new]])
             left = by[~later]
             bucket = (p.trigger[left] >> np.uint64(20)) % np.uint64(buckets)
             at = np.argsort(bucket, kind="stable")
@@ -109,18 +127,17 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             for a, z in zip(edges, np.r_[edges[1:], len(left)].astype(int), strict=True):
                 own = left[a:z]
                 used, index = np.unique(p.text[own], return_inverse=True)
-                put(0, int(bucket[a]), p.trigger[own], p.phrase[own], index.astype("i4"), p.start[own].astype("i4"), p.count[own].astype("u1"), ids[used], rids[used])
+                more = {} if alone else {"r": rids[used]}
+                put(0, int(bucket[a]), k=p.trigger[own], c=p.phrase[own], i=index, s=p.start[own], n=p.count[own], d=ids[used], **more)
             yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, whole, strict=True)], schema=whole)
 
     def settled(part: pa.Table):
         """Step 2 of one bucket."""
+        k, c, row, s, n, ids = (_unpacked(part.column(x), _WIDTH[x]) for x in ("k", "c", "i", "s", "n", "d"))
         sizes = np.array([len(x) // 8 for x in part.column("d").to_pylist()])
-        base = np.cumsum(sizes) - sizes
-        counts = np.array([len(x) // 8 for x in part.column("k").to_pylist()])
-        k, c = _ints(part.column("k"), "u8"), _ints(part.column("c"), "u8")
-        row = _ints(part.column("i"), "i4") + np.repeat(base, counts)
-        s, n = _ints(part.column("s"), "i4"), _ints(part.column("n"), "u1").astype("i4")
-        ids, rids = _ints(part.column("d"), "i8"), _ints(part.column("r"), "i8")
+        counts = np.array([len(x) for x in part.column("n").to_pylist()])
+        row = row + np.repeat(np.cumsum(sizes) - sizes, counts)
+        rids = ids if alone else _unpacked(part.column("r"), 8)
         order = np.lexsort((c, k))
         k, c, row, s, n = k[order], c[order], row[order], s[order], n[order]
         doc = ids[row]
@@ -128,8 +145,8 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         later = doc > _least(kinds, doc)
         several = np.add.reduceat(kinds.astype(np.int64), np.flatnonzero(triggers))[np.cumsum(triggers) - 1] > 1 if len(k) else later
         ask = several & ~later
-        yield _flat(1, rids[row[later]], doc[later], k[later], s[later], n[later] + span - 1)
-        yield _flat(2, rids[row[ask]], doc[ask], k[ask], s[ask], n[ask])
+        yield _flat(1, rids[row[later]], np.zeros(int(later.sum()), np.int64), s[later], n[later] + span - 1)
+        yield _flat(2, rids[row[ask]], k[ask], s[ask], n[ask])
 
     def matched(batches):
         waiting: list[pa.RecordBatch] = []
@@ -143,8 +160,8 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             spans = batch.filter(pa.compute.equal(batch.column("kind"), 1))
             if spans.num_rows:
-                rid, s, n = _ints(spans.column("r"), "i8"), _ints(spans.column("s"), "i4"), _ints(spans.column("n"), "i4")
-                yield _flat(1, rid, rid, rid, s, n)
+                rid, s, n = (_unpacked(spans.column(c), _WIDTH[c]) for c in ("r", "s", "i"))
+                yield _flat(1, rid, np.zeros(len(rid), np.int64), s, n)
             rest = batch.filter(pa.compute.equal(batch.column("kind"), 0))
             b = rest.column("b").to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, int)
