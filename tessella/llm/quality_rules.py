@@ -96,13 +96,13 @@ def start_sql(x: str) -> str:
     return f"SELECT g, max(n) AS n, {centre}, {scatter} FROM ({at}) y GROUP BY g"
 
 
-def distance_sql(x: str, fit: str) -> str:
+def distance_sql(x: str, fit: str, keep: str) -> str:
     """Each vector with its squared distance d2 from its group's centre: the system of the Cholesky factor, row by row."""
     inner = f"SELECT x.*, p.n AS n, {', '.join(f'p.m{j}' for j in range(1, P + 1))}, {', '.join(f'p.l{j}{k}' for j, k in _PAIRS)} FROM {x} x JOIN {fit} p ON x.g = p.g"
     for j in range(1, P + 1):
         less = "".join(f" - l{j}{k} * y{k}" for k in range(1, j))
         inner = f"SELECT *, (x{j} - m{j}{less}) / l{j}{j} AS y{j} FROM ({inner}) d{j}"
-    return f"SELECT rid, g, n, {', '.join(f'x{j}' for j in range(1, P + 1))}, {' + '.join(f'y{j} * y{j}' for j in range(1, P + 1))} AS d2 FROM ({inner}) d"
+    return f"SELECT {keep}g, n, {', '.join(f'x{j}' for j in range(1, P + 1))}, {' + '.join(f'y{j} * y{j}' for j in range(1, P + 1))} AS d2 FROM ({inner}) d"
 
 
 def level_sql(share: float, far: str) -> str:
@@ -112,8 +112,8 @@ def level_sql(share: float, far: str) -> str:
     return f"SELECT g, min(CASE WHEN upto >= {share} * n THEN b END) AS level FROM ({run}) w GROUP BY g"
 
 
-def binned_sql(x: str, fit: str) -> str:
-    return f"SELECT *, CAST(floor(32 * ln(d2 + 0.000001)) AS BIGINT) AS b FROM ({distance_sql(x, fit)}) e"
+def binned_sql(x: str, fit: str, keep: str = "") -> str:
+    return f"SELECT *, CAST(floor(32 * ln(d2 + 0.000001)) AS BIGINT) AS b FROM ({distance_sql(x, fit, keep)}) e"
 
 
 def moments_sql(far: str, level: str) -> str:
@@ -129,9 +129,9 @@ def moments_sql(far: str, level: str) -> str:
     return f"SELECT g, n, {', '.join(f'm{j}' for j in names)}, {', '.join(f'l{j}{k}' for j, k in _PAIRS)} FROM ({q}) z"
 
 
-def verdict_sql(far: str, level: str) -> str:
-    """rid and whether it is an outlier: d2, scaled so that its median is that of chi-square, beyond CUTOFF."""
-    return f"SELECT f.rid AS rid, f.n >= {LEAST_GROUP} AND f.d2 > {CUTOFF} * greatest(exp((t.level + 0.5) / 32) / {CHI2_MEDIAN}, 1.0) AS outlier FROM {far} f JOIN {level} t ON f.g = t.g"
+def verdict_sql(far: str, level: str, keep: str) -> str:
+    """The kept columns and whether the row is an outlier: d2, scaled so that its median is that of chi-square, beyond CUTOFF."""
+    return f"SELECT {keep}f.n >= {LEAST_GROUP} AND f.d2 > {CUTOFF} * greatest(exp((t.level + 0.5) / 32) / {CHI2_MEDIAN}, 1.0) AS outlier FROM {far} f JOIN {level} t ON f.g = t.g"
 
 
 def judged(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
@@ -143,30 +143,39 @@ def judged(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     sum however large a group is. Vectors far from the centre are rejected. Null lang or source is a group like any other;
     a group that is too small even with its neighbours rejects nothing. An empty table gives no rows.
     """
+    failed, good = _judged(docs, also)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    more = ["row"] if also else []
+    return failed.select(*columns, F.lit(False).alias("kept"), *more).union(good.select(*columns, (~F.col("outlier")).alias("kept"), *more))
+
+
+def _judged(docs: DataFrame, also: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows that fail outright, and the others with outlier. Rows meet only the small tables of groups, never each other."""
     spark = docs.sparkSession
-    base = cut(counts(docs.withColumn("row", F.struct(*also)) if also else docs, ["lang", "source", *(["row"] if also else [])]).withColumn("rid", F.monotonically_increasing_id()))
-    good = base.where("not base_failed").selectExpr("rid", *(f"{e} AS {n}" for n, e in VECTOR.items()))
+    more = ["row"] if also else []
+    base = cut(counts(docs.withColumn("row", F.struct(*also)) if also else docs, ["lang", "source", *more]))
+    good = base.where("not base_failed").selectExpr("*", *(f"{e} AS {n}" for n, e in VECTOR.items()))
 
     def q(text: str, **views: DataFrame) -> DataFrame:
         return spark.sql(text, **views)
 
-    groups = q(groups_sql("{good}"), good=good)
-    x = cut(good.join(groups, "own"))
-    fit = cut(q(start_sql("{x}"), x=x))
+    groups = cut(q(groups_sql("{good}"), good=good))
+    x = good.join(groups, "own")
+    thin = cut(x.select("g", *(f"x{j}" for j in range(1, P + 1))))
+    fit = cut(q(start_sql("{x}"), x=thin))
     for _ in range(STEPS):
-        far = q(binned_sql("{x}", "{fit}"), x=x, fit=fit)
+        far = q(binned_sql("{x}", "{fit}"), x=thin, fit=fit)
         level = cut(q(level_sql(HALF, "{far}"), far=far))
         fit = cut(q(moments_sql("{far}", "{level}"), far=far, level=level))
-    far = q(binned_sql("{x}", "{fit}"), x=x, fit=fit)
-    level = cut(q(level_sql(0.5, "{far}"), far=far))
-    out = q(verdict_sql("{far}", "{level}"), far=far, level=level)
-    kept = ~F.col("base_failed") & ~F.coalesce("outlier", F.lit(False))
-    return base.join(out, "rid", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *(["row"] if also else []))
+    level = cut(q(level_sql(0.5, "{far}"), far=q(binned_sql("{x}", "{fit}"), x=thin, fit=fit)))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *more]
+    far = q(binned_sql("{x}", "{fit}", ", ".join(names) + ", "), x=x, fit=fit)
+    return base.where("base_failed"), q(verdict_sql("{far}", "{level}", "".join(f"f.{n} AS {n}, " for n in names)), far=far, level=level)
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return judged(docs, tuple(docs.columns)).where("kept").select("row.*")
+    return _judged(docs, tuple(docs.columns))[1].where("not outlier").select("row.*")
 
 
 COUNTS_SQL = f"""
@@ -188,7 +197,7 @@ def oracle_ctes() -> str:
     parts += [f"groups AS MATERIALIZED ({groups_sql('good')})", "x AS MATERIALIZED (SELECT good.*, groups.g FROM good JOIN groups ON good.own = groups.own)", f"fit0 AS MATERIALIZED ({start_sql('x')})"]
     for k in range(STEPS):
         parts += [f"far{k} AS MATERIALIZED ({binned_sql('x', f'fit{k}')})", f"level{k} AS MATERIALIZED ({level_sql(HALF, f'far{k}')})", f"fit{k + 1} AS MATERIALIZED ({moments_sql(f'far{k}', f'level{k}')})"]
-    parts += [f"far AS MATERIALIZED ({binned_sql('x', f'fit{STEPS}')})", f"level AS MATERIALIZED ({level_sql(0.5, 'far')})", f"verdict AS MATERIALIZED ({verdict_sql('far', 'level')})"]
+    parts += [f"far AS MATERIALIZED ({binned_sql('x', f'fit{STEPS}', 'rid, ')})", f"level AS MATERIALIZED ({level_sql(0.5, 'far')})", f"verdict AS MATERIALIZED ({verdict_sql('far', 'level', 'f.rid AS rid, ')})"]
     return "WITH " + ",\n".join(parts)
 
 
