@@ -14,9 +14,11 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -55,6 +57,12 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _ranges(keys: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal keys."""
+    edges = [*np.flatnonzero(_heads(keys)).tolist(), len(keys)]
+    return list(pairwise(edges))
+
+
 def _least(new: np.ndarray, value: np.ndarray) -> np.ndarray:
     """For each row the least value of its run."""
     return np.minimum.reduceat(value, np.flatnonzero(new))[np.cumsum(new) - 1] if len(value) else value
@@ -79,13 +87,26 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
 _WIDTH = {"k": 6, "c": 5, "i": 4, "s": 4, "n": 1, "d": 8, "r": 8}
 
 
+def _portions(batches, text: int, most: int = 8 << 20):
+    """Batches in slices of about so many bytes of text, so that the arrays of a slice stay small; a row is never divided."""
+    for batch in batches:
+        total = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a key rid, dealt out by it, and (rid, spans): the (s, n) with n bytes from s that are to go, some overlapping."""
     spark = docs.sparkSession
     ship(spark)
     # doc_id is the key of a row unless two rows share one
     alone = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    rows = docs.withColumn("rid", F.col("doc_id") if alone else F.xxhash64("doc_id", "text"))
+    # never null, so that both joins below deal the texts out in the same way and Spark does it once
+    mixed_key = F.xxhash64("doc_id", "text")
+    rows = docs.withColumn("rid", F.coalesce("doc_id", mixed_key) if alone else mixed_key)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), size // 15 // PHRASES_A_TASK)
     texts = rows.repartition(max(shuffle_width(spark), size // BYTES_A_TASK), "rid")
@@ -93,7 +114,7 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     whole = pa.schema([("kind", pa.int32()), ("b", pa.int32()), *((c, pa.binary()) for c in payload)])
 
     def parsed(batches):
-        for batch in batches:
+        for batch in _portions(batches, 2):
             ids = batch.column(1).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             rids, ids = batch.column(0).to_numpy(zero_copy_only=False)[order], ids[order]
@@ -123,8 +144,7 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             bucket = (p.trigger[left] >> np.uint64(20)) % np.uint64(buckets)
             at = np.argsort(bucket, kind="stable")
             left, bucket = left[at], bucket[at]
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            for a, z in zip(edges, np.r_[edges[1:], len(left)].astype(int), strict=True):
+            for a, z in _ranges(bucket):
                 own = left[a:z]
                 used, index = np.unique(p.text[own], return_inverse=True)
                 more = {} if alone else {"r": rids[used]}
@@ -164,8 +184,7 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
                 yield _flat(1, rid, np.zeros(len(rid), np.int64), s, n)
             rest = batch.filter(pa.compute.equal(batch.column("kind"), 0))
             b = rest.column("b").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, int)
-            for a, z in zip(edges, np.r_[edges[1:], len(b)].astype(int), strict=True):
+            for a, z in _ranges(b):
                 if own != b[a]:
                     yield from done()
                     own = b[a]
@@ -179,12 +198,12 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
 
     def fetched(batches):
         for batch in batches:
-            asks = batch.column(2)
+            asks = batch.column("ask")
             flatten = asks.flatten()
             counts = asks.value_lengths().to_numpy(zero_copy_only=False)
             k, s, n = (flatten.field(c).to_numpy(zero_copy_only=False) for c in ("k", "s", "n"))
-            rid, doc = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in (0, 3))
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            rid, doc = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("rid", "doc_id"))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
             row = np.repeat(np.arange(len(texts)), counts)
             phrases = [texts[r][a : a + m + span - 1] for r, a, m in zip(row.tolist(), s.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, rid, doc, s, n)] + [pa.array(phrases, pa.binary())], ["k", "rid", "doc", "s", "n", "phrase"])
@@ -217,15 +236,15 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             keys = held.column("k").to_numpy()
             end = int(np.searchsorted(keys, keys[-1]))  # the last trigger may go on
             if end > 20_000:
-                for a, z in _pieces(keys[:end], 50_000):
+                for a, z in _pieces(keys[:end], 20_000):
                     yield windows(held.slice(a, z - a))
                 held = held.slice(end)
         if held is not None and held.num_rows:
-            for a, z in _pieces(held.column("k").to_numpy(), 50_000):
+            for a, z in _pieces(held.column("k").to_numpy(), 20_000):
                 yield windows(held.slice(a, z - a))
 
-    phrases = texts.select("rid", "doc_id", "text").join(asked, "rid")
-    second = phrases.select("rid", "text", "ask", "doc_id").mapInArrow(fetched, "k long, rid long, doc long, s int, n int, phrase binary")
+    # all columns, here and where the spans are applied: then both joins read one and the same shuffle of the texts
+    second = texts.join(asked, "rid").mapInArrow(fetched, "k long, rid long, doc long, s int, n int, phrase binary")
     ends = second.repartition(buckets, "k").sortWithinPartitions("k").mapInArrow(sorted_, "rid long, s int, n int")
     spans = flat.where("kind = 1").select("rid", "s", "n").union(ends)
     return texts, spans.groupBy("rid").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
@@ -242,13 +261,18 @@ def _pieces(keys: np.ndarray, most: int):
         at = end
 
 
-def _kept(raw: bytes, spans) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    if not spans:
-        return [raw], np.empty(0, int), np.empty(0, int)
-    s = np.array([x["s"] for x in spans])
-    start, end = merged(s, s + np.array([x["n"] for x in spans]))
-    edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(raw)]
-    return [raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)], start, end
+def _kept(texts: pa.Array, spans: pa.Array):
+    """For each text (null: None): its bytes, the parts that stay, and the starts and ends of what goes."""
+    flat = spans.flatten()
+    s, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "n"))
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        raw = None if not text.is_valid else text.as_py().encode()
+        start, stop = merged(s[at:end], s[at:end] + n[at:end])
+        edges = [0, *np.stack([start, stop], 1).ravel().tolist(), len(raw or b"")]
+        yield raw, [(raw or b"")[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)], start, stop
+        at = end
 
 
 def removed_bytes(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -262,8 +286,7 @@ def removed_bytes(docs: DataFrame, span: int = 50) -> DataFrame:
     def digest(batches):
         for batch in batches:
             out = []
-            for raw, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts, start, end = _kept(raw or b"", spans)
+            for raw, parts, start, end in _kept(batch.column(1), batch.column(2)):
                 sha = hashlib.sha256()
                 for p in parts:
                     sha.update(p)
@@ -281,13 +304,13 @@ def without_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     def keep(batches):
         for batch in batches:
             texts = []
-            for raw, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                texts.append(None if raw is None else b"".join(_kept(raw, spans)[0]).decode("utf-8", "ignore"))
+            for raw, parts, _, _ in _kept(batch.column(1), batch.column(2)):
+                texts.append(None if raw is None else b"".join(parts).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["own", "text"])
 
-    rows, found = repeated_spans(docs, span)
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    packed = rows.join(found, "rid", "left").select(F.struct("rid", *others).alias("own"), "text", "spans")
+    rows, found = repeated_spans(docs.select(F.struct(*others).alias("own"), "doc_id", "text"), span)
+    packed = rows.join(found, "rid", "left").select("own", "text", "spans", "doc_id")
     schema = packed.schema["own"].dataType
 
     out = packed.mapInArrow(keep, StructType([StructField("own", schema), StructField("text", StringType())]))
