@@ -41,6 +41,12 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
+def _parts(batches, rows: int = 512):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``docs`` with a column is_target: whether doc_id is in ``target``."""
     ids = target.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
@@ -55,7 +61,7 @@ def fit(docs: DataFrame, target: DataFrame) -> dict[str, np.ndarray]:
 
     def count(batches):
         total = np.zeros((2, size), np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             flat, ends = _tokens(batch.column(1))
             if not len(flat):
                 continue
@@ -63,8 +69,8 @@ def fit(docs: DataFrame, target: DataFrame) -> dict[str, np.ndarray]:
             chosen = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(bool), np.diff(ends))
             for k, mask in enumerate((slice(None), chosen)):
                 p = pair[mask]
-                total[k, :WORDS] += np.bincount(word[mask], minlength=WORDS)
-                total[k, WORDS:] += np.bincount(p[p >= 0], minlength=PAIRS)
+                np.add.at(total[k], word[mask], 1)
+                np.add.at(total[k], WORDS + p[p >= 0], 1)
         slot = np.flatnonzero(total[0])
         for at in range(0, len(slot), 100_000):
             s = slot[at : at + 100_000]
@@ -108,7 +114,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             flat, ends = _tokens(batch.column(1))
             n = np.diff(ends)
             out = {}
