@@ -186,12 +186,15 @@ def derive(df: DataFrame, derived: Mapping[str, str]) -> DataFrame:
     return df.withColumns({n: F.expr(e) for n, e in derived.items()})
 
 
+def total(events: DataFrame, family: Family) -> DataFrame:
+    """The states of one whole range of events, as if it were a single period: no state of a day in between is made."""
+    whole = family_delta(events, family, ())
+    return whole.select(*family.keys.values(), *(F.col(f"{n}__delta").alias(n) for n in family.columns))
+
+
 def build(events: DataFrame, table: EntityTable, day: str) -> DataFrame:
-    """A whole table at the end of a day: each family's deltas and states on their own, stitched, with derived columns."""
+    """A whole table at the end of a day: each family aggregated on its own, stitched, with derived columns."""
     rows = events.where(F.col("ds") <= day)
     keys = list(table.primary_key)
-    parts = []
-    for f in table.families:
-        states = as_of(cumulate(family_delta(rows, f), f, keys), keys, day)
-        parts.append(render(states, f, day).select(*keys, *f.columns))
+    parts = [render(total(rows, f), f, day).select(*keys, *f.columns) for f in table.families]
     return derive(stitch(parts, keys), table.derived)

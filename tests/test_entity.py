@@ -114,3 +114,12 @@ def test_key_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(path)
     plan = entity.stitch(entity.only_keys([df, df.withColumnRenamed("x", "y")], "k", equals=1), ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EqualTo(k,1)") >= 2
+
+
+def test_one_pass_equals_the_states_of_the_last_day(spark, sf_dir):
+    rows = ev(spark, sf_dir).where("ds <= '2024-01-20'")
+    for f in (COMMERCE, ENGAGEMENT):
+        days = entity.render(entity.as_of(entity.cumulate(entity.family_delta(rows, f), f, ID), ID, "2024-01-20"), f, "2024-01-20")
+        once = entity.render(entity.total(rows, f), f, "2024-01-20")
+        keep = ["entity_id", *(F.round(c, 6).alias(c) if c == "spend" else F.col(c) for c in f.columns)]
+        assert sorted(map(str, once.select(*keep).collect())) == sorted(map(str, days.select(*keep).collect()))
