@@ -1,50 +1,157 @@
-"""Cross-entropy difference between a target and a background n-gram model of the same corpus and vocabulary."""
+"""Cross-entropy difference between a target and a background n-gram model of the same corpus and vocabulary.
+
+1. Every word and every pair of neighbours has a key of 64 bits. Documents are packed in batches of about 1.5 million tokens. A
+   batch sends each bucket of keys one packed row: its distinct keys there and how often it has them. A word or pair that is
+   everywhere is one entry a batch, and what is sent grows with the corpus.
+2. A bucket adds up all batches, which gives every word and pair of the corpus its own exact counts, and answers each batch.
+3. A batch meets the answers of all buckets and its documents are scored. The driver has only the totals of tokens.
+"""
 
 from __future__ import annotations
 
+import uuid
+from itertools import groupby, pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ascii_lower, cut, let, ship, words
+from tessella.llm.common import ascii_lower, cut, let, ship, shuffle_width, words
 
-#: Slots of the shared vocabulary for single words and for pairs: every word of the corpus has one, by its hash, so both
-#: models have the same vocabulary, no word is unknown, and a model has a fixed size (24 MB in all) at any size of corpus.
-WORDS, PAIRS = 1 << 19, 1 << 21
+#: Both models share one vocabulary: the words of the corpus, and at least so many; no word is unknown.
+WORDS = 1 << 19
 #: Weight of pair statistics against single words, and what is added to each word count.
 PAIR_WEIGHT, ADDED = 0.5, 0.1
 #: Up to so many ids of target documents are broadcast (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Tokens that are counted or scored at a time, about; tokens of the corpus for each bucket of keys.
+TOKENS_A_BATCH, TOKENS_A_BUCKET = 1_500_000, 1_500_000
+#: Bytes of packed rows that go back to Spark at a time, about.
+BYTES_A_SLICE = 8 << 20
 
 
 def _hashes(text):
     return let(words(ascii_lower(text)), lambda w: F.transform(w, lambda x: F.xxhash64(x)))
 
 
-def _slots(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slot of every token, and pair slot of every token but the first of a text (-1 there), with the word before."""
-    h = flat.view(np.uint64)
-    word = (h % np.uint64(WORDS)).astype(np.int64)
-    mix = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] >> np.uint64(7)) ^ (h[1:] << np.uint64(29))
-    mix ^= mix >> np.uint64(31)
-    pair = np.full(len(h), -1, np.int64)
-    pair[1:] = ((mix * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(43)).astype(np.int64) % PAIRS
-    pair[ends[:-1][ends[:-1] < len(h)]] = -1
-    before = np.zeros(len(h), np.int64)
-    before[1:] = word[:-1]
-    return word, pair, before
+def _pair_keys(word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odd keys of the pairs of neighbours, and the places of their second words; ``starts``: where texts begin."""
+    second = np.ones(len(word), bool)
+    second[starts] = False
+    second = np.flatnonzero(second)
+    mix = word[second] ^ np.uint64(0x9E3779B97F4A7C15)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        mix = (mix ^ (mix >> np.uint64(33))) * np.uint64(factor)
+    mix += word[second - 1]
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        mix = (mix ^ (mix >> np.uint64(33))) * np.uint64(factor)
+    return (mix ^ (mix >> np.uint64(33))) | np.uint64(1), second
+
+
+def _tokens(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The even keys of all words, and how many words each text has."""
+    lists = column.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) & ~np.uint64(1)
+    return flat, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Where the texts that have words begin."""
+    return (np.cumsum(lengths) - lengths)[lengths > 0]
+
+
+def _gathered(batches, most: int):
+    """Tables of about so many tokens (lists in the last column); a text is never divided."""
+    waiting, held = [], 0
+    for batch in batches:
+        total = np.cumsum(batch.column(batch.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(total[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + most - held, "right")))
+            waiting.append(batch.slice(at, end - at))
+            held += int(total[end - 1]) - before
+            at = end
+            if held >= most or at < batch.num_rows:
+                yield pa.Table.from_batches(waiting)
+                waiting, held = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as few bytes each as the largest needs, all last bytes first, compressed where that helps."""
+    if not len(values):
+        return b""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    small = pa.compress(planes, "zstd", asbytes=True) if len(planes) > 64 else planes
+    return bytes([width]) + planes if len(small) + 8 >= len(planes) else bytes([width | 16]) + len(planes).to_bytes(8, "little") + small
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+def _unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.empty(0, np.uint64)
+    planes = pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), "zstd", asbytes=True) if raw[0] & 16 else raw[1:]
+    width = raw[0] & 15
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
-def _parts(batches, rows: int = 512):
+def _base(b: int, buckets: int) -> np.uint64:
+    """The least key of a bucket; buckets are ranges of keys."""
+    return np.uint64(-(-(b << 32) // buckets) << 32)
+
+
+def _dealt(keys: np.ndarray, buckets: int):
+    """(bucket, from, to, packed keys) of all buckets, for ascending keys."""
+    edges = [*np.searchsorted(keys, np.array([_base(b, buckets) for b in range(buckets)], np.uint64)).tolist(), len(keys)]
+    for b, (at, end) in enumerate(pairwise(edges)):
+        yield b, at, end, _packed(np.diff(keys[at:end], prepend=_base(b, buckets)))
+
+
+def _keys_of(raw: bytes, b: int, buckets: int) -> np.ndarray:
+    return _base(b, buckets) + np.cumsum(_unpacked(raw), dtype=np.uint64)
+
+
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending; the sums of their counts; and which of them each key is."""
+    if not len(keys):
+        return keys, *counts, np.empty(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    first = np.flatnonzero(new)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return keys[first], *(np.add.reduceat(c[order], first) for c in counts), which
+
+
+def _sent(rows, schema: pa.Schema):
+    """Tuples as batches of about BYTES_A_SLICE."""
+    waiting, held = [], 0
+    for row in rows:
+        waiting.append(row)
+        held += sum(len(x) for x in row if isinstance(x, bytes))
+        if held >= BYTES_A_SLICE:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
+            waiting, held = [], 0
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
+
+
+def _rows(batches):
+    """Rows of batches as dictionaries, one at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        for at in range(batch.num_rows):
+            yield {name: batch.column(k)[at].as_py() for k, name in enumerate(batch.schema.names)}
+
+
+def _schema(**types) -> tuple[pa.Schema, str]:
+    names = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(k, names[v]) for k, v in types.items()]), ", ".join(f"{k} {v}" for k, v in types.items())
 
 
 def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -54,55 +161,94 @@ def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
 
 
-def fit(docs: DataFrame, target: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of words and pairs over every document, and over the target documents, as two models' log-probability tables."""
+_TEXTS, _TEXTS_DDL = _schema(batch="long", ids="array<long>", lengths="binary", vocabulary="binary", token="binary", chosen="binary", tokens="long", target_tokens="long")
+_ASKS, _ASKS_DDL = _schema(b="int", batch="long", answered="boolean", k="binary", n="binary", t="binary")
+_ANSWERS, _ANSWERS_DDL = _schema(b="int", batch="long", n="binary", t="binary", known="long")
+
+
+def _batches(docs: DataFrame, target: DataFrame | None) -> DataFrame:
+    """Documents in packed batches of about TOKENS_A_BATCH, written: ids, words a text, distinct words, and which of them each token is."""
+
+    def pack(batches):
+        def rows():
+            for table in _gathered(batches, TOKENS_A_BATCH):
+                word, lengths = _tokens(table.column("h"))
+                vocabulary, token = np.unique(word, return_inverse=True)
+                chosen = table.column("is_target").to_numpy().astype(np.int64)
+                yield uuid.uuid4().int >> 65, table.column("doc_id").to_pylist(), _packed(lengths), _packed(np.diff(vocabulary, prepend=np.uint64(0))), _packed(token), _packed(chosen), len(word), int((lengths * chosen).sum())
+
+        yield from _sent(rows(), _TEXTS)
+
     ship(docs.sparkSession)
-    size = WORDS + PAIRS
-
-    def count(batches):
-        total = np.zeros((2, size), np.int64)
-        for batch in _parts(batches):
-            flat, ends = _tokens(batch.column(1))
-            if not len(flat):
-                continue
-            word, pair, _ = _slots(flat, ends)
-            chosen = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(bool), np.diff(ends))
-            for k, mask in enumerate((slice(None), chosen)):
-                p = pair[mask]
-                np.add.at(total[k], word[mask], 1)
-                np.add.at(total[k], WORDS + p[p >= 0], 1)
-        slot = np.flatnonzero(total[0])
-        for at in range(0, len(slot), 100_000):
-            s = slot[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(total[0, s]), pa.array(total[1, s])], ["slot", "n", "t"])
-
-    def packed(key, table):
-        slot = table.column("slot").to_numpy()
-        return pa.table({"slot": [slot.astype("<i4").tobytes()], "n": [table.column("n").to_numpy().astype("<i8").tobytes()], "t": [table.column("t").to_numpy().astype("<i8").tobytes()]})
-
-    marked = with_target(docs.select("doc_id", "text"), target).select("is_target", _hashes(F.col("text")).alias("h"))
-    sums = marked.mapInArrow(count, "slot int, n long, t long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    rows = cut(sums).groupBy((F.col("slot") / 65536).cast("int")).applyInArrow(packed, "slot binary, n binary, t binary").collect()
-    both = np.zeros((2, size), np.int64)  # at most WORDS + PAIRS numbers each
-    for slot, n, t in rows:
-        at = np.frombuffer(slot, "<i4")
-        both[0, at], both[1, at] = np.frombuffer(n, "<i8"), np.frombuffer(t, "<i8")
-    model = {}
-    for name, c in (("target", both[1]), ("background", both[0] - both[1])):
-        single = c[:WORDS]
-        model[f"{name}_word"] = ((single + ADDED) / (single.sum() + ADDED * WORDS)).astype(np.float32)
-        model[f"{name}_count"] = single.astype(np.float32)
-        model[f"{name}_pair"] = c[WORDS:].astype(np.float32)
-    return model
-
-
-def losses(word, pair, before, model: dict, name: str) -> np.ndarray:
-    """Negative log-probability of each token: pairs seen in the model, interpolated with single words."""
-    p = model[f"{name}_word"][word].astype(np.float64)
-    seen = model[f"{name}_count"][before].astype(np.float64)
-    ratio = np.minimum(model[f"{name}_pair"][np.maximum(pair, 0)] / np.maximum(seen, 1.0), 1.0)
-    usable = (pair >= 0) & (seen > 0)
-    return -np.log(np.where(usable, PAIR_WEIGHT * ratio + (1 - PAIR_WEIGHT) * p, p))
+    texts = docs.select("doc_id", "text")
+    marked = texts.withColumn("is_target", F.lit(False)) if target is None else with_target(texts, target)
+    return cut(marked.select("doc_id", "is_target", _hashes(F.col("text")).alias("h")).mapInArrow(pack, _TEXTS_DDL))
+
+
+def _opened(row: dict):
+    """Words a text, distinct words, which of them each token is, keys of the pairs, and the places of their second words."""
+    lengths, vocabulary = _unpacked(row["lengths"]).astype(np.int64), np.cumsum(_unpacked(row["vocabulary"]), dtype=np.uint64)
+    token = _unpacked(row["token"]).astype(np.int64)
+    return lengths, vocabulary, token, *_pair_keys(vocabulary[token], _starts(lengths))
+
+
+def fit(docs: DataFrame, target: DataFrame) -> dict:
+    """The corpus whose counts make the two models, in written batches, and the tokens of the target documents and of all others (the background)."""
+    texts = _batches(docs, target)
+    tokens, chosen = (x or 0 for x in texts.agg(F.sum("tokens"), F.sum("target_tokens")).first())
+    buckets = max(shuffle_width(docs.sparkSession), tokens // TOKENS_A_BUCKET)
+    return {"docs": docs, "texts": texts, "buckets": buckets, "target_count": np.int64(chosen), "background_count": np.int64(tokens - chosen)}
+
+
+def counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """For each bucket of keys and each batch that is ``answered``: the counts, over the batches that are ``counted``, of the batch's keys
+    in order, in all documents (n) and in the target (t); and how many words of the bucket have been counted (known)."""
+
+    def ask(batches):
+        def rows():
+            for row in _rows(batches):
+                lengths, vocabulary, token, pair, second = _opened(row)
+                chosen = np.repeat(_unpacked(row["chosen"]).astype(np.int64), lengths)
+                distinct, n, t, _ = _summed(pair, np.ones(len(pair), np.int64), chosen[second])
+                n = np.concatenate([np.bincount(token, minlength=len(vocabulary)), n])
+                t = np.concatenate([np.bincount(token[chosen > 0], minlength=len(vocabulary)), t])
+                k = np.concatenate([vocabulary, distinct])
+                order = np.argsort(k)
+                k, n, t = k[order], n[order] * row["counted"], t[order] * row["counted"]
+                for b, at, end, raw in _dealt(k, buckets):
+                    yield b, row["batch"], row["answered"], raw, _packed(n[at:end]), _packed(t[at:end])
+
+        yield from _sent(rows(), _ASKS)
+
+    def settle(batches):
+        def rows():
+            for b, parts in groupby(_rows(batches), lambda r: r["b"]):
+                parts = list(parts)
+                keys = [_keys_of(p["k"], b, buckets) for p in parts]
+                edges = np.cumsum([0, *map(len, keys)])
+                n, t = (np.concatenate([_unpacked(p[c]) for p in parts]).astype(np.int64) for c in ("n", "t"))
+                keys, n, t, which = _summed(np.concatenate(keys), n, t)
+                known = int((((keys & np.uint64(1)) == 0) & (n > 0)).sum())
+                for p, at, end in zip(parts, edges[:-1], edges[1:], strict=True):
+                    if p["answered"]:
+                        own = which[at:end]
+                        yield b, p["batch"], _packed(n[own]), _packed(t[own]), known
+
+        yield from _sent(rows(), _ANSWERS)
+
+    return texts.mapInArrow(ask, _ASKS_DDL).repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(settle, _ANSWERS_DDL)
+
+
+def losses(single: np.ndarray, pair: np.ndarray, second: np.ndarray, total: int, size: int) -> np.ndarray:
+    """Negative log-probability of each token: pairs seen in the model, interpolated with single words.
+
+    ``single`` has each token's count; ``pair`` the count of each pair, whose second words are at ``second``."""
+    p = (single + ADDED) / (total + ADDED * size)
+    seen = single[second - 1]
+    known = seen > 0
+    at = second[known]
+    p[at] = PAIR_WEIGHT * pair[known] / seen[known] + (1 - PAIR_WEIGHT) * p[at]
+    return -np.log(p)
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
@@ -111,21 +257,34 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     Every row of ``docs`` is scored whole; a text without words has no tokens, and null losses and score. Rows are judged one
     by one, so repeats get equal scores. Only doc_id and text are read. An empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def each(batches):
-        for batch in _parts(batches):
-            flat, ends = _tokens(batch.column(1))
-            n = np.diff(ends)
-            out = {}
-            if len(flat):
-                word, pair, before = _slots(flat, ends)
-                for name in ("target", "background"):
-                    run = np.concatenate([[0.0], np.cumsum(losses(word, pair, before, held.value, name))])
-                    out[name] = (run[ends[1:]] - run[ends[:-1]]) / np.maximum(n, 1)
-            a, b = (out.get(name, np.zeros(len(n))) for name in ("target", "background"))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(x, mask=none) for x in (a, b, a - b))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    tokens = docs.select("doc_id", _hashes(F.col("text")).alias("h"))
-    return tokens.mapInArrow(each, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    totals = {name: int(model[f"{name}_count"]) for name in ("target", "background")}
+    corpus = model["texts"].withColumn("counted", F.lit(True))
+    if docs.sameSemantics(model["docs"]):  # what is counted is also what asks
+        texts, asking = model["texts"], corpus.withColumn("answered", F.lit(True))
+    else:
+        texts = _batches(docs, None)
+        asking = corpus.withColumn("answered", F.lit(False)).unionByName(texts.withColumns({"counted": F.lit(False), "answered": F.lit(True)}))
+
+    def finish(batches):
+        for _, rows in groupby(_rows(batches), lambda r: r["batch"]):
+            row = next(rows)
+            found = [(_unpacked(r["n"]), _unpacked(r["t"]), r["known"]) for r in rows]
+            lengths, vocabulary, token, pair, second = _opened(row)
+            none = lengths == 0
+            out = {name: np.zeros(len(lengths)) for name in totals}
+            if len(token):
+                n, t = (np.concatenate(x).astype(np.int64) for x in list(zip(*found, strict=True))[:2])
+                size = max(WORDS, sum(x[2] for x in found))
+                distinct, which = np.unique(pair, return_inverse=True)
+                keys = np.sort(np.concatenate([vocabulary, distinct]))
+                single, double = np.searchsorted(keys, vocabulary)[token], np.searchsorted(keys, distinct)[which]
+                starts = _starts(lengths)
+                for name, c in (("target", t), ("background", n - t)):
+                    out[name][~none] = np.add.reduceat(losses(c[single], c[double], second, totals[name], size), starts) / lengths[~none]
+            a, b = out["target"], out["background"]
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    own = texts.select("batch", F.lit(-1).alias("b"), "ids", "lengths", "vocabulary", "token")
+    joined = own.unionByName(counted(asking, model["buckets"]), allowMissingColumns=True)
+    dealt = joined.repartition(max(shuffle_width(docs.sparkSession), texts.count()), "batch").sortWithinPartitions("batch", "b")
+    return dealt.mapInArrow(finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

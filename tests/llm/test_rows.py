@@ -113,6 +113,49 @@ def test_loss_difference_of_small_models(spark):
     assert lm_scoring.scored(docs.limit(0), model).count() == 0
 
 
+def test_losses_are_those_of_exact_counts(spark, monkeypatch):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(vocab) if rng.random() < 0.3 else f"n{rng.randrange(1 << 40)}" for _ in range(rng.choice([0, 1, 40, 4000])))) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, "w1 w2"), (7, rows[5][1])], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_scoring, "TOKENS_A_BATCH", 20_000, raising=False)
+    marked = set(range(0, 200, 3))
+    counts = {True: {}, False: {}}
+    for r in docs.collect():
+        w = r.text.split()
+        for k in [*w, *zip(w, w[1:])]:
+            c = counts[r.doc_id in marked]
+            c[k] = c.get(k, 0) + 1
+    size = max(lm_scoring.WORDS, len({k for c in counts.values() for k in c if isinstance(k, str)}))
+    a, share = lm_scoring.ADDED, lm_scoring.PAIR_WEIGHT
+
+    totals = {id(c): sum(n for k, n in c.items() if isinstance(k, str)) for c in counts.values()}
+
+    def loss(w, c):
+        total = totals[id(c)]
+        out = 0.0
+        for i, x in enumerate(w):
+            p = (c.get(x, 0) + a) / (total + a * size)
+            if i and c.get(w[i - 1]):
+                p = share * c.get((w[i - 1], x), 0) / c[w[i - 1]] + (1 - share) * p
+            out -= np.log(p)
+        return out / len(w)
+
+    model = lm_scoring.fit(docs, spark.createDataFrame([(i,) for i in marked], "doc_id long"))
+    extra = spark.createDataFrame([(900, "never seen w1 words w2")], "doc_id long, text string")
+    for asked in (docs, docs.union(extra)):
+        rows = asked.collect()
+        got = lm_scoring.scored(asked, model).collect()
+        assert len(got) == len(rows)
+        want = []
+        for r in rows:
+            w = r.text.split()
+            want.append((r.doc_id, len(w), loss(w, counts[True]), loss(w, counts[False])) if w else (r.doc_id, 0, None, None))
+        key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0)
+        for g, x in zip(sorted((tuple(r)[:4] for r in got), key=key), sorted(want, key=key), strict=True):
+            assert g[:2] == x[:2] and g[2:] == (x[2:] if x[2] is None else pytest.approx(x[2:], rel=1e-6))
+
+
 # --- URLs
 
 
