@@ -115,6 +115,11 @@ def c12_bitmap_hour(spark, d):
     return whole(spark, d, fam("ds >= '2024-01-20'", active=BitmapActivity("hour", 72)), "active")
 
 
+@query(f"WITH {EV} SELECT user_id AS entity_id, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', LAST * 24 + 23, 72)} AS active FROM ev GROUP BY ALL")
+def c12_bitmap_hour_whole(spark, d):
+    return whole(spark, d, fam(None, active=BitmapActivity("hour", 72)), "active")
+
+
 BUILT = f"""WITH {EV}, u AS (SELECT * FROM ev WHERE ds <= '2024-01-15'),
 v AS (SELECT user_id AS entity_id, count(*) AS view_count, sum(value) AS view_value FROM u WHERE event_type = 'view' GROUP BY 1),
 c AS (SELECT user_id AS entity_id, {LIST.format(n=50)} AS recent, {bits_sql(f'list(DISTINCT {DAY})', LAST - 15, 30)} AS active FROM u WHERE event_type = 'click' GROUP BY 1),

@@ -166,6 +166,11 @@ def e_arr_posexplode(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("pos", "v")).select("vec_id", "pos", F.col("v").cast("double").alias("value"))
 
 
+@query("SELECT vec_id, CAST(p AS INTEGER) AS pos, CAST(e AS DOUBLE) AS value FROM (SELECT vec_id, unnest(range(len(embedding))) AS p, unnest(embedding) AS e FROM embeddings) t")
+def e_arr_posexplode_whole(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", F.col("v").cast("double").alias("value"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, x AS n, y AS sq FROM events CROSS JOIN (VALUES (1, 1), (2, 4)) t(x, y)")
 def e_json_tuple_inline(spark, d):
     rows = table(spark, d, "events").select("event_id", F.json_tuple("props", "k").alias("k"))
@@ -177,6 +182,11 @@ def e_arr_explode(spark, d):
     return table(spark, d, "events").where("event_id % 10 = 0").select("event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("v"))
 
 
+@query("SELECT event_id, x AS v FROM events CROSS JOIN (VALUES (1), (2)) t(x)")
+def e_arr_explode_whole(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("v"))
+
+
 @query("SELECT c_custkey, c_acctbal * 2 + 1 AS doubled FROM customer")
 def e_udf(spark, d):
     expressions.register(spark, "doubled_and_one", "x double", "double", "x * 2 + 1")

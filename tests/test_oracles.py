@@ -18,3 +18,10 @@ def test_query(name, spark, duck, sf_dir):
 def test_flagship(spark, sf_dir):
     rows = flagship(spark, sf_dir).collect()
     assert len(rows) == 5 and rows[0]["avg_order_value"] >= rows[4]["avg_order_value"]
+
+
+def test_whole_tables_are_read(spark, sf_dir):
+    events, vectors = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "embeddings"))
+    assert QUERIES["e_arr_explode_whole"](spark, sf_dir).count() == 2 * events.count()
+    assert QUERIES["e_arr_posexplode_whole"](spark, sf_dir).count() == vectors.selectExpr("sum(size(embedding))").first()[0]
+    assert QUERIES["c12_bitmap_hour_whole"](spark, sf_dir).count() == events.select("user_id").distinct().count()
