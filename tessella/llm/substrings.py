@@ -28,6 +28,10 @@ from tessella.llm.parsing import mixed, parse
 
 #: Phrases that one task of step 2 gathers, about; bytes of text in one partition of steps 3 and 4.
 PHRASES_A_TASK, BYTES_A_TASK = 600_000, 48 << 20
+#: Different phrases of one trigger that one task sorts; more are divided into windows.
+MOST_KINDS = 20_000
+#: Windows of divided phrases that are held at a time, about.
+WINDOWS_AT_A_TIME = 200_000
 
 _FLAT = "kind int, rid long, k long, s int, n int"
 
@@ -82,6 +86,55 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
+_PHRASES = ["k", "rid", "doc", "s", "n", "phrase"]
+
+
+def _windows(phrases: list[bytes], n: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of phrases with n windows each: bytes, phrase and place in it."""
+    data = np.frombuffer(b"".join(phrases), np.uint8)
+    n = n.astype(np.int64)
+    base = np.cumsum(n + span - 1) - (n + span - 1)
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    found = np.lib.stride_tricks.sliding_window_view(data, span)[base[row] + within]
+    return np.ascontiguousarray(found).view(f"S{span}").ravel(), row, within
+
+
+def _runs(rid: np.ndarray, row: np.ndarray, at: np.ndarray, span: int) -> list[pa.Array]:
+    """Windows that go, by phrase and place in the text, as spans: rid, start, length."""
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    new = _heads(row) | np.r_[True, at[1:] != at[:-1] + 1][: len(at)]
+    first = np.flatnonzero(new)
+    length = np.diff(np.r_[first, len(at)]) + span - 1
+    return [pa.array(rid[row[first]]), pa.array(at[first].astype(np.int32)), pa.array(length.astype(np.int32))]
+
+
+def _divided(rid, doc, s, n, phrases: list[bytes], span: int):
+    """Phrases as windows that are keyed by their bytes; a window that a smaller document has here too is a span that goes, without bytes."""
+    text, row, within = _windows(phrases, n, span)
+    order = np.argsort(text, kind="stable")
+    text, row, within = text[order], row[order], within[order]
+    new = _heads(text)
+    later = doc[row] > _least(new, doc[row])
+    gone = row[later]
+    arrays = _runs(rid, gone, s[gone] + within[later], span)
+    none = len(arrays[0])
+    yield pa.RecordBatch.from_arrays([arrays[0], arrays[0], pa.array(np.zeros(none, np.int64)), *arrays[1:], pa.nulls(none, pa.binary())], _PHRASES)
+    text, row, at = text[~later], row[~later], (s[row] + within)[~later]
+    wide = -(-span // 8) * 8
+    columns = np.zeros((len(text), wide), np.uint8)
+    columns[:, :span] = text.view(np.uint8).reshape(-1, span)
+    key = np.zeros(len(text), np.uint64)
+    for column in columns.view("<u8").T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    raw = columns[:, :span].tobytes()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(rid[row]), pa.array(doc[row]), pa.array(at.astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array([raw[i : i + span] for i in range(0, len(raw), span)], pa.binary())], _PHRASES
+    )
+
+
 #: Bytes kept of each column of a parsed phrase: trigger, phrase, row of the batch, place, windows; and of a row: doc_id, key.
 #: Triggers that agree in their kept bytes by chance are told apart by their texts later.
 _WIDTH = {"k": 6, "c": 5, "i": 4, "s": 4, "n": 1, "d": 8, "r": 8}
@@ -163,10 +216,11 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         doc = ids[row]
         kinds, triggers = _heads(k, c), _heads(k)
         later = doc > _least(kinds, doc)
-        several = np.add.reduceat(kinds.astype(np.int64), np.flatnonzero(triggers))[np.cumsum(triggers) - 1] > 1 if len(k) else later
-        ask = several & ~later
+        held = np.add.reduceat(kinds.astype(np.int64), np.flatnonzero(triggers))[np.cumsum(triggers) - 1] if len(k) else np.zeros(0, np.int64)
+        ask, wide = (held > 1) & ~later, held > MOST_KINDS
         yield _flat(1, rids[row[later]], np.zeros(int(later.sum()), np.int64), s[later], n[later] + span - 1)
-        yield _flat(2, rids[row[ask]], k[ask], s[ask], n[ask])
+        for kind, own in ((2, ask & ~wide), (3, ask & wide)):
+            yield _flat(kind, rids[row[own]], k[own], s[own], n[own])
 
     def matched(batches):
         waiting: list[pa.RecordBatch] = []
@@ -194,44 +248,44 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     first = rows.where("doc_id is not null").select("rid", "doc_id", "text").mapInArrow(parsed, "kind int, b int, " + ", ".join(f"{c} binary" for c in payload))
     flat = cut(first.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(matched, _FLAT))
 
-    asked = flat.where("kind = 2").groupBy("rid").agg(F.collect_list(F.struct("k", "s", "n")).alias("ask"))
+    asked = flat.where("kind > 1").groupBy("rid").agg(F.collect_list(F.struct("k", "s", "n", "kind")).alias("ask"))
 
     def fetched(batches):
         for batch in batches:
             asks = batch.column("ask")
             flatten = asks.flatten()
             counts = asks.value_lengths().to_numpy(zero_copy_only=False)
-            k, s, n = (flatten.field(c).to_numpy(zero_copy_only=False) for c in ("k", "s", "n"))
+            k, s, n, kind = (flatten.field(c).to_numpy(zero_copy_only=False) for c in ("k", "s", "n", "kind"))
             rid, doc = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("rid", "doc_id"))
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             row = np.repeat(np.arange(len(texts)), counts)
-            phrases = [texts[r][a : a + m + span - 1] for r, a, m in zip(row.tolist(), s.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, rid, doc, s, n)] + [pa.array(phrases, pa.binary())], ["k", "rid", "doc", "s", "n", "phrase"])
+            phrase = lambda own, row=row, s=s, n=n, texts=texts: [texts[r][a : a + m + span - 1] for r, a, m in zip(row[own].tolist(), s[own].tolist(), n[own].tolist(), strict=True)]
+            own = np.flatnonzero(kind == 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (k, rid, doc, s, n)] + [pa.array(phrase(own), pa.binary())], _PHRASES)
+            own = np.flatnonzero(kind == 3)
+            total = np.cumsum(n[own], dtype=np.int64)
+            for part in np.split(own, np.searchsorted(total, np.arange(WINDOWS_AT_A_TIME, total[-1], WINDOWS_AT_A_TIME))) if len(own) else []:
+                if len(part):
+                    yield from _divided(rid[part], doc[part], s[part], n[part], phrase(part), span)
 
     def windows(part: pa.Table):
         """Step 3 of whole triggers: the suffixes of their phrases, in order of trigger and first bytes."""
         k, rid, doc, s, n = (part.column(c).to_numpy() for c in ("k", "rid", "doc", "s", "n"))
-        data = np.frombuffer(b"".join(part.column("phrase").to_pylist()), np.uint8)
-        base = np.cumsum(n + span - 1) - (n + span - 1)
-        row = np.repeat(np.arange(len(n)), n)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        suffixes = np.lib.stride_tricks.sliding_window_view(data, span)[base[row] + within]
-        text = np.ascontiguousarray(suffixes).view(f"S{span}").ravel()
+        text, row, within = _windows(part.column("phrase").to_pylist(), n, span)
         order = np.argsort(text, kind="stable")
         text, row, within = text[order], row[order], within[order]
         later = doc[row] > _least(_heads(text), doc[row])
-        row, at = row[later], s[row[later]] + within[later]
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        new = _heads(row) | np.r_[True, at[1:] != at[:-1] + 1][: len(at)]
-        first_ = np.flatnonzero(new)
-        length = np.diff(np.r_[first_, len(at)]) + span - 1
-        r = rid[row[first_]]
-        return pa.RecordBatch.from_arrays([pa.array(r), pa.array(at[first_].astype(np.int32)), pa.array(length.astype(np.int32))], ["rid", "s", "n"])
+        row = row[later]
+        return pa.RecordBatch.from_arrays(_runs(rid, row, s[row] + within[later], span), ["rid", "s", "n"])
 
     def sorted_(batches):
         held = None
         for batch in batches:
+            gone = pa.compute.is_null(batch.column("phrase"))
+            yield batch.filter(gone).select(["rid", "s", "n"])
+            batch = batch.filter(pa.compute.invert(gone))
+            if not batch.num_rows:
+                continue
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             keys = held.column("k").to_numpy()
             end = int(np.searchsorted(keys, keys[-1]))  # the last trigger may go on

@@ -99,6 +99,27 @@ def test_removed_bytes(spark):
     assert {r[0]: tuple(r)[1:] for r in substrings.removed_bytes(docs).collect()} == want
 
 
+@pytest.mark.parametrize("held", [200, 400_000])
+def test_removed_bytes_of_divided_triggers(spark, monkeypatch, held):
+    """A string with other surroundings everywhere, among them shared ones: dealt out by window, the same bytes go."""
+    monkeypatch.setattr(substrings, "MOST_KINDS", 2)
+    monkeypatch.setattr(substrings, "WINDOWS_AT_A_TIME", held)
+    rng = np.random.default_rng(7)
+    word = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    sides = [word(40) for _ in range(6)]
+    rows = [(i, word(30) + sides[rng.integers(6)][rng.integers(30) :] + "the common string of all" + sides[rng.integers(6)][: rng.integers(10, 41)] + word(30)) for i in range(150)]
+    want = {i: sum(m) for (i, _), m in zip(rows, fx.covered([t.encode() for _, t in rows]), strict=True)}
+    got = substrings.removed_bytes(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5))
+    assert sum(want.values()) > 0 and {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
+def test_windows_of_divided_phrases_are_spread_by_their_bytes():
+    n, phrases = np.array([11, 11, 1]), [b"a" * 20 + b"b" * 40, b"a" * 20 + b"c" * 40, b"a" * 20 + b"b" * 30]
+    gone, sent = substrings._divided(np.array([5, 6, 7]), np.array([1, 2, 3]), np.array([0, 100, 200]), n, phrases, 50)
+    assert gone.select(["rid", "s", "n"]).to_pylist() == [{"rid": 7, "s": 200, "n": 50}]
+    assert sent.num_rows == 22 and len(set(sent.column("k").to_pylist())) == 22
+
+
 def test_removed_bytes_query(spark, sf_dir):
     rows = sorted((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     want = {i: (len(raw), sum(mark)) for (i, raw), mark in zip(rows, fx.covered([t for _, t in rows]), strict=True)}
