@@ -244,9 +244,10 @@ def test_leaks(spark):
     want = set()
     for d, text in docs:
         for i, item in items:
-            if item and len(item) >= decontam.Q:
-                e = edits = fx.edits(item.lower(), (text or "").lower())
-                if edits <= decontam.budget(len(item)):
+            q = decontam.Q if len(item or "") >= 10 * decontam.Q else decontam.Q // 2
+            if item and len(item) >= q:
+                e = fx.edits(item.lower(), (text or "").lower())
+                if e <= decontam.budget(len(item), q):
                     want.add((d, i, e))
     assert len(want) > 10 and {tuple(r) for r in decontam.leaks(df, bench).collect()} == want
     kept = decontam.without_leaks(df, bench)
@@ -254,6 +255,62 @@ def test_leaks(spark):
     assert decontam.leaks(df, bench.limit(0)).count() == 0 and decontam.leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_of_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "xx abcdefghijkl", 1, "a"), (1, "xx abcdefghijkl", 2, None), (2, "nothing", 3, "b"), (None, None, None, None)], "doc_id long, text string, item_id long, edits string")
+    bench = spark.createDataFrame([(5, "abcdefghijkl", 0), (5, "abcdefghijkl", 0), (6, "xx", 1)], "item_id long, text string, doc_id int")
+    assert sorted(tuple(r) for r in decontam.leaks(docs, bench).collect()) == [(1, 5, 0)] * 4
+    kept = decontam.without_leaks(docs, bench)
+    assert kept.dtypes == docs.dtypes and sorted(r.item_id or 0 for r in kept.collect()) == [0, 3]
+
+
+def test_leaks_query_equals_alignment_of_everything(spark, sf_dir):
+    """Each item against each whole text, a row of the edit table at a time."""
+    plain = lambda t: np.frombuffer(fx.lower(t or "").encode(), np.uint8)
+    docs, items = ({r[0]: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/{n}.parquet").collect()} for n in ("documents", "benchmark"))
+    want = set()
+    for d, text in docs.items():
+        steps = np.arange(len(text) + 1)
+        for i, item in items.items():
+            row, most = np.zeros(len(text) + 1, np.int64), decontam.budget(len(item))
+            for byte in item:
+                new = row + 1
+                new[1:] = np.minimum(new[1:], row[:-1] + (text != byte))
+                row = np.minimum.accumulate(new - steps) + steps
+                if row.min() > most:
+                    break
+            if row.min() <= most:
+                want.add((d, i, int(row.min())))
+    assert want and {tuple(r) for r in QUERIES["op8_benchmark_decontamination"](spark, sf_dir).collect()} == want
+
+
+def test_monotone_texts_and_items_take_little_memory():
+    import tracemalloc
+
+    matcher = decontam.Matcher([(1, " " * 400), (2, "=" * 300), (3, "ab" * 100)])
+    tracemalloc.start()
+    text = " " * 300_000 + "=" * 200_000 + "ba" * 60 + "x" + "ab" * 45
+    found = matcher.find_all([text, " " * 370, "=" * 269, "none"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 1, 0), (0, 2, 0), (0, 3, 1), (1, 1, 30)] and peak < 1 << 30
+
+
+def test_thinned_places_lose_no_band(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(decontam, "PAIRS", 500)
+    monkeypatch.setattr(decontam, "CELLS", 3000)
+    items = [(i, "".join(rng.choice("ab") * rng.randint(1, 30) for _ in range(12))) for i in range(6)]
+    matcher, texts = decontam.Matcher(items), []
+    for k in range(40):
+        x = list(items[k % 6][1])
+        for _ in range(rng.randint(0, len(x) // 8)):
+            x[rng.randrange(len(x))] = rng.choice("abc")
+        texts.append("".join(rng.choice("abc") * rng.randint(1, 40) for _ in range(rng.randint(0, 12))) + "".join(x) + "b" * rng.randint(0, 50))
+    q = lambda t: decontam.Q if len(t) >= 10 * decontam.Q else decontam.Q // 2
+    want = [(k, i, e) for k, t in enumerate(texts) for i, x in items if (e := fx.edits(x, t)) <= decontam.budget(len(x), q(x))]
+    assert len(want) > 20 and sorted(matcher.find_all(texts)) == sorted(want)
+
+
 # --- packing
 
 
