@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessella.llm.common import ascii_lower, cut, let, ship, shuffle_width, words
 from tessella.llm.components import components, forest
@@ -31,8 +33,8 @@ def shingle_hashes(text, size: int):
     return let(words(ascii_lower(text)), of)
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): a bit is set if more than half of the shingle hashes have it; no words give 0."""
+def fingerprints(docs: DataFrame, size: int = 3, also: str = "doc_id") -> DataFrame:
+    """(``also``, fp) of each row: a bit is set if more than half of the shingle hashes have it; no words give 0."""
     ship(docs.sparkSession)
     bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
     lanes = np.arange(8) * 256
@@ -51,9 +53,10 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
                         seen += np.bincount((own[at : at + (1 << 20)].view(np.uint8).reshape(-1, 8) + lanes).ravel(), minlength=8 * 256)
                     count = (seen.reshape(8, 256) @ bits).ravel()
                     out[k] = np.packbits(2 * count > len(own), bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], [also, "fp"])
 
-    return docs.select("doc_id", shingle_hashes(F.col("text"), size).alias("h")).mapInArrow(vote, "doc_id long, fp long")
+    schema = StructType([docs.schema[also], StructField("fp", LongType())])
+    return docs.select(also, shingle_hashes(F.col("text"), size).alias("h")).mapInArrow(vote, schema)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -95,28 +98,43 @@ def plan(n: int, both: np.ndarray, distance: int = 3) -> list[tuple[list[int], i
 
     If two fingerprints differ in at most ``distance`` bits, then for thresholds t with sum(t + 1) = distance + 1 they differ
     in at most t bits inside some part. For each number of parts, dynamic programming shares the distance + 1 units out among
-    them so that the estimated cost (probed rows, and pairs that agree by the bits' frequencies) is least.
+    them so that the estimated cost (probed rows, and pairs that agree by how often the bits, and neighbours among them, occur
+    together) is least.
     """
-    p = both.diagonal() / max(n, 1)
-    same = p * p + (1 - p) * (1 - p)
+    first = both.diagonal()
+    # how often two bits are (1, 1), (1, 0), (0, 1), (0, 0); squares summed: the chance that two rows agree in both
+    cells = np.stack([both, first[:, None] - both, first[None, :] - both, n - first[:, None] - first[None, :] + both]) / max(n, 1)
+    agree = (cells**2).sum(0)
+    same = agree.diagonal() / 1.0
+
+    def differing(bits: list[int], most: int) -> np.ndarray:
+        """The chance that two rows differ in 0 to ``most`` of these bits: a chain, in which each bit depends on the one before it,
+        the most alike of those that are left."""
+        rest, last = bits[1:], bits[0]
+        ways = np.zeros((most + 1, 2))  # bits that differ; whether the last one agrees
+        ways[0, 1] = same[last]
+        if most:
+            ways[1, 0] = 1 - same[last]
+        while rest:
+            b = max(rest, key=lambda x: (agree[last, x] - same[last] * same[x], -x))
+            rest = [x for x in rest if x != b]
+            both_same = agree[last, b] / max(same[last], 1e-9)  # given that the last one agrees, and that it differs
+            only_new = (same[b] - agree[last, b]) / max(1 - same[last], 1e-9)
+            new = np.zeros_like(ways)
+            new[:, 1] = ways[:, 1] * both_same + ways[:, 0] * only_new
+            new[1:, 0] = ways[:-1, 1] * (1 - both_same) + ways[:-1, 0] * (1 - only_new)
+            ways, last = new, b
+        return ways.sum(1)
 
     def cost(bits: list[int], units: int) -> float:
         if not units:
             return 0.0
-        if units > len(bits):
-            return float("inf")
-        ways = np.zeros(units)  # probability of so many differing bits
-        ways[0] = 1.0
-        rows, pairs = 0, 0.0
-        for b in bits:
-            ways[1:] = ways[1:] * same[b] + ways[:-1] * (1 - same[b])
-            ways[0] *= same[b]
-        masks = list(combinations(range(len(bits)), units - 1)) if units <= 3 else None
-        if masks is None:
+        if units > min(3, len(bits)):
             return float("inf")
-        rows = len(masks)
-        pairs = n / 2 * rows * float(ways.sum()) / max(1, units)
-        return n * (rows * ROW_COST + pairs * PAIR_COST)
+        k, t = len(bits), units - 1
+        # a pair that differs in d bits meets under each mask that frees those d
+        pairs = n / 2 * sum(p * comb(k - d, t - d) for d, p in enumerate(differing(bits, t)))
+        return n * (comb(k, t) * ROW_COST + pairs * PAIR_COST)
 
     best = (float("inf"), [])
     for parts in range(2, distance + 2):
@@ -240,6 +258,15 @@ def link(fps: DataFrame, distance: int = 3) -> DataFrame:
     return edges
 
 
+def _least(prints: DataFrame, value: str, distance: int) -> DataFrame:
+    """(fp, least), written: for each fingerprint the least value in its component. Written, so that the join of all rows with it has
+    plain sides, which Spark can split where a fingerprint has very many rows."""
+    nodes = cut(prints.groupBy("fp").agg(F.min(value).alias("own")))
+    reach = components(link(nodes, distance)).withColumnRenamed("node", "fp").join(nodes, "fp")
+    linked = reach.join(reach.groupBy("root").agg(F.min("own").alias("least")), "root").select("fp", "least")
+    return cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "own").alias("least")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable through links.
 
@@ -248,18 +275,27 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFr
     its whole component has none. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, size))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = components(link(nodes, distance)).withColumnRenamed("node", "fp")
-    reach = named.join(nodes, "fp")
-    least = reach.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = reach.join(least, "root").select("fp", "component_id")
-    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = prints.join(_least(prints, "doc_id", distance), "fp")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, or null; of equal doc_ids one row stays."""
-    kept = near_duplicates(docs, size, distance).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs``, with all their columns, of which one of each component of near duplicates stays.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id but not their text are judged each on its own. The row
+    with the least doc_id stays; of equal ones that with the least hash of its text, and of rows that are equal in both one, the
+    first by its other columns. A null doc_id comes last, and stays if its component has no other. Null and empty texts have the
+    fingerprint 0 and are one component with whatever is near it. Column names may be any. An empty table stays empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.char_length(text).alias("n"))
+    prints = cut(fingerprints(docs.select(key.alias("key"), "text"), size, "key"))
+    gone = prints.join(_least(prints, "key", distance), "fp").where("key <> least").select("key")
+    rows = docs.select(F.struct("*").alias("own"), key.alias("key")).join(gone, "key", "left_anti")
+    again = prints.groupBy("key").count().where("count > 1").select("key")
+    if again.isEmpty():
+        return rows.select("own.*")
+    # of equal rows one stays; Spark keeps one a task before it shuffles them
+    first = Window.partitionBy("key").orderBy(F.to_json("own"))
+    one = rows.join(again, "key", "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return rows.join(again, "key", "left_anti").select("own.*").union(one.select("own.*"))

@@ -43,7 +43,26 @@ def test_simhash_empty_and_repeated(spark):
     twice = fx.documents(spark, n=5)
     assert simhash.near_duplicates(twice.union(twice)).count() == 2 * twice.count()
     kept = simhash.first_of_each(twice.union(twice))
-    assert kept.columns == twice.columns and kept.count() == kept.select("doc_id").distinct().count()
+    assert kept.columns == twice.columns and kept.count() == kept.select("doc_id").distinct().count() > 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share a doc_id are judged by their texts, and no text without a near copy is lost."""
+    docs = fx.documents(spark, seed=9)
+    a, b, c = ("".join(f" {w}{i}" for i in range(40)) for w in "abc")
+    more = [(1000, a), (1005, a), (1005, b), (1005, c), (1005, c), (None, c), (None, "alone " + b + c), (None, "alone " + b + c), (None, None), (1006, None)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    component = component_ids(list(range(len(rows))), [fx.fingerprint(t) for _, t in rows])
+    want = {}
+    for (i, _), k in zip(rows, component, strict=True):
+        want[k] = min(want.get(k, (True, 0)), (i is None, i or 0))
+    kept = simhash.first_of_each(docs)
+    assert kept.dtypes == docs.dtypes
+    own = [rows.index((r.doc_id, r.text)) for r in kept.collect()]
+    assert sorted((component[k], rows[k][0]) for k in own) == sorted((k, None if none else i) for k, (none, i) in want.items())
+    assert (1005, b) in [rows[k] for k in own] and (1005, c) in [rows[k] for k in own] and (1005, a) not in [rows[k] for k in own]
+    assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("n", [50, 3000])
