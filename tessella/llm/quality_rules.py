@@ -14,14 +14,19 @@ from tessella.llm.common import SPACE_RUN, cut, let, words
 WINDOW = 8
 #: Groups with fewer documents are judged with the rest of their language, and then with all such rests.
 LEAST_GROUP = 50
-#: Share of a group that the covariance is fitted to, concentration steps, and the median of chi-square with 6 degrees.
-HALF, STEPS, CHI2_MEDIAN = 0.75, 3, 5.348
+#: Quartiles that the starts are centred on; concentration steps of every start, and of the best one; the median of chi-square with
+#: 6 degrees.
+STARTS, FIRST_STEPS, STEPS, CHI2_MEDIAN = (2, 1, 3), 2, 4, 5.348
 #: Variance below which no statistic counts as unusual: log word length, and roots of the other five ratios.
 FLOOR = (0.15**2, 0.1**2, 0.1**2, 0.3**2, 0.3**2, 0.2**2)
 #: Squared distance (as chi-square with 6 degrees) beyond which a document is rejected.
 CUTOFF = 40.0
 P = len(FLOOR)
 _PAIRS = [(j, k) for j in range(1, P + 1) for k in range(1, j + 1)]
+#: The median, and the size of the half that the covariance of a group of n is fitted to, as conditions on a running count.
+HALF_OF, NEAREST = "2 * upto >= n", f"2 * upto >= n + {P + 1}"
+#: Tables of up to so many groups are broadcast (some 300 bytes a group).
+MOST_GROUPS = 100_000
 
 # The characters that the counts are about.
 SYMBOLS, MARKS, UPPER = "#*$%&|<>", ".,;:!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,30 +91,30 @@ VECTOR = {
 
 
 def start_sql(x: str) -> str:
-    """Medians and quartile ranges of each statistic, from counts in steps of 1/64, as the first centre and scatter."""
+    """Several first centres and scatters of each group: each quartile of STARTS, with the quartile ranges, from counts in steps of 1/64."""
     long = " UNION ALL ".join(f"SELECT g, {j} AS j, CAST(floor(x{j} * 64) AS BIGINT) AS b FROM {x}" for j in range(1, P + 1))
     bins = f"SELECT g, j, b, count(*) AS c FROM ({long}) u GROUP BY g, j, b"
     run = f"SELECT g, j, b, sum(c) OVER (PARTITION BY g, j ORDER BY b) AS upto, sum(c) OVER (PARTITION BY g, j) AS n FROM ({bins}) v"
-    at = f"SELECT g, j, max(n) AS n, min(CASE WHEN 4 * upto >= n THEN b END) AS q1, min(CASE WHEN 2 * upto >= n THEN b END) AS q2, min(CASE WHEN 4 * upto >= 3 * n THEN b END) AS q3 FROM ({run}) w GROUP BY g, j"
-    centre = ", ".join(f"max(CASE WHEN j = {j} THEN (q2 + 0.5) / 64 END) AS m{j}" for j in range(1, P + 1))
+    at = f"SELECT g, j, max(n) AS n, min(CASE WHEN 4 * upto >= n THEN b END) AS q1, min(CASE WHEN {HALF_OF} THEN b END) AS q2, min(CASE WHEN 4 * upto >= 3 * n THEN b END) AS q3 FROM ({run}) w GROUP BY g, j"
     scatter = ", ".join(f"max(CASE WHEN j = {j} THEN sqrt(power((q3 - q1 + 1) / 64.0 / 1.349, 2) + {FLOOR[j - 1]!r}) END) AS l{j}{j}" if j == k else f"CAST(0 AS DOUBLE) AS l{j}{k}" for j, k in _PAIRS)
-    return f"SELECT g, max(n) AS n, {centre}, {scatter} FROM ({at}) y GROUP BY g"
+    one = [f"SELECT g, {s} AS s, max(n) AS n, {', '.join(f'max(CASE WHEN j = {j} THEN (q{q} + 0.5) / 64 END) AS m{j}' for j in range(1, P + 1))}, {scatter} FROM ({at}) y GROUP BY g" for s, q in enumerate(STARTS)]
+    return " UNION ALL ".join(one)
 
 
 def distance_sql(x: str, fit: str, keep: str) -> str:
-    """Each vector with its squared distance d2 from its group's centre: the system of the Cholesky factor, row by row."""
-    inner = f"SELECT x.*, p.n AS n, {', '.join(f'p.m{j}' for j in range(1, P + 1))}, {', '.join(f'p.l{j}{k}' for j, k in _PAIRS)} FROM {x} x JOIN {fit} p ON x.g = p.g"
+    """Each vector with its squared distance d2 from its group's centre, for each start s: the system of the Cholesky factor, row by row."""
+    inner = f"SELECT x.*, p.s AS s, p.n AS n, {', '.join(f'p.m{j}' for j in range(1, P + 1))}, {', '.join(f'p.l{j}{k}' for j, k in _PAIRS)} FROM {x} x JOIN {fit} p ON x.g = p.g"
     for j in range(1, P + 1):
         less = "".join(f" - l{j}{k} * y{k}" for k in range(1, j))
         inner = f"SELECT *, (x{j} - m{j}{less}) / l{j}{j} AS y{j} FROM ({inner}) d{j}"
-    return f"SELECT {keep}g, n, {', '.join(f'x{j}' for j in range(1, P + 1))}, {' + '.join(f'y{j} * y{j}' for j in range(1, P + 1))} AS d2 FROM ({inner}) d"
+    return f"SELECT {keep}g, s, n, {', '.join(f'x{j}' for j in range(1, P + 1))}, {' + '.join(f'y{j} * y{j}' for j in range(1, P + 1))} AS d2 FROM ({inner}) d"
 
 
-def level_sql(share: float, far: str) -> str:
-    """The step of the logarithm of d2 below which so large a share of the group lies."""
-    bins = f"SELECT g, n, b, count(*) AS c FROM {far} GROUP BY g, n, b"
-    run = f"SELECT g, n, b, sum(c) OVER (PARTITION BY g ORDER BY b) AS upto FROM ({bins}) v"
-    return f"SELECT g, min(CASE WHEN upto >= {share} * n THEN b END) AS level FROM ({run}) w GROUP BY g"
+def level_sql(enough: str, far: str) -> str:
+    """The step of the logarithm of d2 below which enough of the group lies."""
+    bins = f"SELECT g, s, n, b, count(*) AS c FROM {far} GROUP BY g, s, n, b"
+    run = f"SELECT g, s, n, b, sum(c) OVER (PARTITION BY g, s ORDER BY b) AS upto FROM ({bins}) v"
+    return f"SELECT g, s, coalesce(min(CASE WHEN {enough} THEN b END), max(b)) AS level FROM ({run}) w GROUP BY g, s"
 
 
 def binned_sql(x: str, fit: str, keep: str = "") -> str:
@@ -117,16 +122,23 @@ def binned_sql(x: str, fit: str, keep: str = "") -> str:
 
 
 def moments_sql(far: str, level: str) -> str:
-    """A concentration step: centre and Cholesky factor of the covariance (with the floor) of the nearest share."""
+    """A concentration step: centre and Cholesky factor of the covariance (with the floor) of the nearest half."""
     names = range(1, P + 1)
     sums = ", ".join([f"avg(x{j}) AS m{j}" for j in names] + [f"avg(x{j} * x{k}) AS p{j}{k}" for j, k in _PAIRS])
-    q = f"SELECT f.g AS g, max(f.n) AS n, {sums} FROM {far} f JOIN {level} t ON f.g = t.g WHERE f.b <= t.level GROUP BY f.g"
+    q = f"SELECT f.g AS g, f.s AS s, max(f.n) AS n, {sums} FROM {far} f JOIN {level} t ON f.g = t.g AND f.s = t.s WHERE f.b <= t.level GROUP BY f.g, f.s"
     for j, k in _PAIRS:
         less = "".join(f" - l{j}{i} * l{k}{i}" for i in range(1, k))
         body = f"p{j}{k} - m{j} * m{k}{less}"
         body = f"sqrt(greatest({body}, 0.0) + {FLOOR[j - 1]!r})" if j == k else f"({body}) / l{k}{k}"
         q = f"SELECT *, {body} AS l{j}{k} FROM ({q}) c{j}{k}"
-    return f"SELECT g, n, {', '.join(f'm{j}' for j in names)}, {', '.join(f'l{j}{k}' for j, k in _PAIRS)} FROM ({q}) z"
+    return f"SELECT g, s, n, {', '.join(f'm{j}' for j in names)}, {', '.join(f'l{j}{k}' for j, k in _PAIRS)} FROM ({q}) z"
+
+
+def best_sql(fit: str) -> str:
+    """Of the starts of each group the one with the least determinant (of Cholesky factors: the product of their diagonals)."""
+    key = f"CAST(floor(1000 * ({' + '.join(f'ln(l{j}{j})' for j in range(1, P + 1))})) AS BIGINT) * {len(STARTS)} + s"
+    cells = ", ".join(f"min_by({c}, k) AS {c}" for c in [*(f"m{j}" for j in range(1, P + 1)), *(f"l{j}{k}" for j, k in _PAIRS)])
+    return f"SELECT g, min_by(s, k) AS s, max(n) AS n, {cells} FROM (SELECT *, {key} AS k FROM {fit}) t GROUP BY g"
 
 
 def verdict_sql(far: str, level: str, keep: str) -> str:
@@ -138,10 +150,12 @@ def judged(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """One row a row of ``docs``: doc_id, the counts, base_failed and kept, and a struct ``row`` of the columns ``also``.
 
     A text with under 20 words, or with more than 30 % of them in repeated runs of 8 words, fails outright. The others are
-    vectors of six transformed statistics. For each language and source the covariance of least determinant is sought by
-    concentration steps from a robust start; orders are taken from counts of binned values, so that every step is a grouped
-    sum however large a group is. Vectors far from the centre are rejected. Null lang or source is a group like any other;
-    a group that is too small even with its neighbours rejects nothing. An empty table gives no rows.
+    vectors of six transformed statistics. For each language and source the covariance of least determinant of a half is sought:
+    concentration steps from several robust starts, then more from the one whose determinant is least. Orders are taken from
+    counts of binned values, so that every step is a grouped sum however large a group is. Vectors far from the centre are
+    rejected; equal rows are judged alike. Null lang or source is a group like any other; a group that is too small even with its
+    neighbours rejects nothing. A null text is empty and fails. Columns that are not named here are not read, and those in
+    ``also`` may have any names. An empty table gives no rows.
     """
     failed, good = _judged(docs, also)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -159,22 +173,29 @@ def _judged(docs: DataFrame, also: tuple[str, ...]) -> tuple[DataFrame, DataFram
     def q(text: str, **views: DataFrame) -> DataFrame:
         return spark.sql(text, **views)
 
-    groups = cut(q(groups_sql("{good}"), good=good))
+    def small(groups: DataFrame) -> DataFrame:
+        """A written table with a few rows a group: broadcast if it is known to be small, so that no vector is dealt out by its group."""
+        groups = cut(groups)
+        return F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
+
+    groups = small(q(groups_sql("{good}"), good=good))
     x = good.join(groups, "own")
     thin = cut(x.select("g", *(f"x{j}" for j in range(1, P + 1))))
-    fit = cut(q(start_sql("{x}"), x=thin))
-    for _ in range(STEPS):
+    fit = small(q(start_sql("{x}"), x=thin))
+    for step in range(FIRST_STEPS + STEPS):
         far = q(binned_sql("{x}", "{fit}"), x=thin, fit=fit)
-        level = cut(q(level_sql(HALF, "{far}"), far=far))
-        fit = cut(q(moments_sql("{far}", "{level}"), far=far, level=level))
-    level = cut(q(level_sql(0.5, "{far}"), far=q(binned_sql("{x}", "{fit}"), x=thin, fit=fit)))
+        level = small(q(level_sql(NEAREST, "{far}"), far=far))
+        fit = small(q(moments_sql("{far}", "{level}"), far=far, level=level))
+        if step == FIRST_STEPS - 1:
+            fit = small(q(best_sql("{fit}"), fit=fit))
+    level = small(q(level_sql(HALF_OF, "{far}"), far=q(binned_sql("{x}", "{fit}"), x=thin, fit=fit)))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *more]
     far = q(binned_sql("{x}", "{fit}", ", ".join(names) + ", "), x=x, fit=fit)
     return base.where("base_failed"), q(verdict_sql("{far}", "{level}", "".join(f"f.{n} AS {n}, " for n in names)), far=far, level=level)
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns, whatever their names; null and empty texts go."""
     return _judged(docs, tuple(docs.columns))[1].where("not outlier").select("row.*")
 
 
@@ -195,9 +216,14 @@ def oracle_ctes() -> str:
     """The common table expressions up to ``verdict`` (rid, which is doc_id there, and outlier), for DuckDB."""
     parts = [COUNTS_SQL, f"good AS (SELECT doc_id AS rid, {', '.join(f'{e} AS {n}' for n, e in VECTOR.items())} FROM base WHERE NOT base_failed)"]
     parts += [f"groups AS MATERIALIZED ({groups_sql('good')})", "x AS MATERIALIZED (SELECT good.*, groups.g FROM good JOIN groups ON good.own = groups.own)", f"fit0 AS MATERIALIZED ({start_sql('x')})"]
-    for k in range(STEPS):
-        parts += [f"far{k} AS MATERIALIZED ({binned_sql('x', f'fit{k}')})", f"level{k} AS MATERIALIZED ({level_sql(HALF, f'far{k}')})", f"fit{k + 1} AS MATERIALIZED ({moments_sql(f'far{k}', f'level{k}')})"]
-    parts += [f"far AS MATERIALIZED ({binned_sql('x', f'fit{STEPS}', 'rid, ')})", f"level AS MATERIALIZED ({level_sql(0.5, 'far')})", f"verdict AS MATERIALIZED ({verdict_sql('far', 'level', 'f.rid AS rid, ')})"]
+    fit = "fit0"
+    for k in range(FIRST_STEPS + STEPS):
+        parts += [f"far{k} AS MATERIALIZED ({binned_sql('x', fit)})", f"level{k} AS MATERIALIZED ({level_sql(NEAREST, f'far{k}')})", f"fit{k + 1} AS MATERIALIZED ({moments_sql(f'far{k}', f'level{k}')})"]
+        fit = f"fit{k + 1}"
+        if k == FIRST_STEPS - 1:
+            parts.append(f"best AS MATERIALIZED ({best_sql(fit)})")
+            fit = "best"
+    parts += [f"far AS MATERIALIZED ({binned_sql('x', fit, 'rid, ')})", f"level AS MATERIALIZED ({level_sql(HALF_OF, 'far')})", f"verdict AS MATERIALIZED ({verdict_sql('far', 'level', 'f.rid AS rid, ')})"]
     return "WITH " + ",\n".join(parts)
 
 
