@@ -4,7 +4,11 @@
    batch sends each bucket of keys one packed row: its distinct keys there and how often it has them. A word or pair that is
    everywhere is one entry a batch, and what is sent grows with the corpus.
 2. A bucket adds up all batches, which gives every word and pair of the corpus its own exact counts, and answers each batch.
-3. A batch meets the answers of all buckets and its documents are scored. The driver has only the totals of tokens.
+3. A batch meets the answers of all buckets and its documents are scored, each without what it has itself put into a model: a
+   document that was counted would else look familiar to the model that counted it. The driver has only the totals of tokens.
+
+The models are matched: one vocabulary, the same pairs and words, and the same shares for unseen words and for pairs, whatever
+the sizes of the two. The background is every document that is not in the target; it is not cut down to the target's size.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from tessella.llm.common import ascii_lower, cut, let, ship, shuffle_width, word
 
 #: Both models share one vocabulary: the words of the corpus, and at least so many; no word is unknown.
 WORDS = 1 << 19
-#: Weight of pair statistics against single words, and what is added to each word count.
-PAIR_WEIGHT, ADDED = 0.5, 0.1
+#: Weight of pair statistics against single words, and of an even chance for each word of the vocabulary against counts.
+PAIR_WEIGHT, EVEN = 0.5, 0.01
 #: Up to so many ids of target documents are broadcast (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Tokens that are counted or scored at a time, about; tokens of the corpus for each bucket of keys.
@@ -155,7 +159,7 @@ def _schema(**types) -> tuple[pa.Schema, str]:
 
 
 def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``docs`` with a column is_target: whether doc_id is in ``target``."""
+    """``docs`` (doc_id and text) with a column is_target: whether doc_id is in ``target``; a null id is not."""
     ids = target.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
     small = ids.count() <= MOST_BROADCAST
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
@@ -193,7 +197,10 @@ def _opened(row: dict):
 
 
 def fit(docs: DataFrame, target: DataFrame) -> dict:
-    """The corpus whose counts make the two models, in written batches, and the tokens of the target documents and of all others (the background)."""
+    """The corpus whose counts make the two models, in written batches, and the tokens of the target documents and of all others.
+
+    Of ``docs`` only doc_id and text are read, of ``target`` only doc_id, where nulls and repeats mean nothing; ids that ``docs`` lacks
+    neither. Each row of ``docs`` counts, repeats as often as they occur. An empty table of either is a model without counts."""
     texts = _batches(docs, target)
     tokens, chosen = (x or 0 for x in texts.agg(F.sum("tokens"), F.sum("target_tokens")).first())
     buckets = max(shuffle_width(docs.sparkSession), tokens // TOKENS_A_BUCKET)
@@ -239,11 +246,12 @@ def counted(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(ask, _ASKS_DDL).repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(settle, _ANSWERS_DDL)
 
 
-def losses(single: np.ndarray, pair: np.ndarray, second: np.ndarray, total: int, size: int) -> np.ndarray:
-    """Negative log-probability of each token: pairs seen in the model, interpolated with single words.
+def losses(single: np.ndarray, pair: np.ndarray, second: np.ndarray, total: np.ndarray | int, size: int) -> np.ndarray:
+    """Negative log-probability of each token: pairs seen in the model, interpolated with single words and an even chance.
 
-    ``single`` has each token's count; ``pair`` the count of each pair, whose second words are at ``second``."""
-    p = (single + ADDED) / (total + ADDED * size)
+    ``single`` has each token's count; ``pair`` the count of each pair, whose second words are at ``second``; ``total`` the tokens of
+    the model. What the pairs of a word lack of all its occurrences is the chance that the text ends after it."""
+    p = (1 - EVEN) * single / np.maximum(total, 1) + EVEN / size
     seen = single[second - 1]
     known = seen > 0
     at = second[known]
@@ -251,15 +259,23 @@ def losses(single: np.ndarray, pair: np.ndarray, second: np.ndarray, total: int,
     return -np.log(p)
 
 
+def _own(doc: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """For each token (or pair) how often its document has it."""
+    _, inverse, n = np.unique(doc * (int(which.max(initial=0)) + 1) + which, return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference, a token; lower is more like the target).
 
-    Every row of ``docs`` is scored whole; a text without words has no tokens, and null losses and score. Rows are judged one
-    by one, so repeats get equal scores. Only doc_id and text are read. An empty table gives no rows.
+    Every row of ``docs`` is scored whole; a text without words, or a null one, has no tokens, and null losses and score. If ``docs``
+    is what the model was fitted to, each row is scored by what the other rows have put into the models; a copy of a row is another
+    row. Repeats get equal scores, and null ids are kept. Of ``docs`` only doc_id and text are read. An empty table gives no rows.
     """
     totals = {name: int(model[f"{name}_count"]) for name in ("target", "background")}
     corpus = model["texts"].withColumn("counted", F.lit(True))
-    if docs.sameSemantics(model["docs"]):  # what is counted is also what asks
+    counted_too = docs.sameSemantics(model["docs"])
+    if counted_too:  # what is counted is also what asks
         texts, asking = model["texts"], corpus.withColumn("answered", F.lit(True))
     else:
         texts = _batches(docs, None)
@@ -278,13 +294,17 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                 distinct, which = np.unique(pair, return_inverse=True)
                 keys = np.sort(np.concatenate([vocabulary, distinct]))
                 single, double = np.searchsorted(keys, vocabulary)[token], np.searchsorted(keys, distinct)[which]
-                starts = _starts(lengths)
-                for name, c in (("target", t), ("background", n - t)):
-                    out[name][~none] = np.add.reduceat(losses(c[single], c[double], second, totals[name], size), starts) / lengths[~none]
+                starts, doc = _starts(lengths), np.repeat(np.arange(len(lengths)), lengths)
+                chosen = np.repeat(_unpacked(row["chosen"]) > 0, lengths)
+                own = (_own(doc, token), _own(doc[second], which)) if counted_too else (0 * token, 0 * which)
+                for name, c, mine in (("target", t, chosen), ("background", n - t, ~chosen)):
+                    total = totals[name] - (mine * lengths[doc] if counted_too else 0)
+                    loss = losses(c[single] - mine * own[0], c[double] - mine[second] * own[1], second, total, size)
+                    out[name][~none] = np.add.reduceat(loss, starts) / lengths[~none]
             a, b = out["target"], out["background"]
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    own = texts.select("batch", F.lit(-1).alias("b"), "ids", "lengths", "vocabulary", "token")
+    own = texts.select("batch", F.lit(-1).alias("b"), "ids", "lengths", "vocabulary", "token", "chosen")
     joined = own.unionByName(counted(asking, model["buckets"]), allowMissingColumns=True)
     dealt = joined.repartition(max(shuffle_width(docs.sparkSession), texts.count()), "batch").sortWithinPartitions("batch", "b")
     return dealt.mapInArrow(finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
