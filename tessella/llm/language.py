@@ -6,18 +6,25 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import ship
-from tessella.llm.ngram_vectors import blocks, gathered, inverse_document_frequency, sampled, vectors
+from tessella.llm.ngram_vectors import blocks, gathered, inverse_document_frequency, vectors
 
-#: Rows a language that are learnt from, and of all languages together (bounds on the fit alone); centroids a language.
-MOST_A_LANGUAGE, MOST, CENTROIDS, ROUNDS = 300, 3000, 4, 12
+#: Rows a language that are learnt from, of all languages together, and languages, the most frequent ones (bounds on the fit alone).
+MOST_A_LANGUAGE, MOST, MOST_LANGUAGES = 300, 3000, 1000
+#: Centroids a language, and rounds of k-means.
+CENTROIDS, ROUNDS = 4, 12
 #: A document is marked as rejected below this part of the cosine that the centroid's own members have at least.
 SLACK = 0.7
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter; the pattern takes numerals such as ½ for one too."""
+    return any(m[0].isalpha() for m in _WORD_SIGN.finditer(text or ""))
 
 
 def centroids(x: np.ndarray, most: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray]:
@@ -38,21 +45,29 @@ def centroids(x: np.ndarray, most: int = CENTROIDS) -> tuple[np.ndarray, np.ndar
     return c, least
 
 
+def chosen_rows(learn: DataFrame) -> DataFrame:
+    """(doc_id, lang, text): about as many rows of each language, in one pass, by a hash of doc_id and text."""
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    share = F.least(F.lit(MOST_A_LANGUAGE), F.floor(F.lit(MOST) / F.count(F.lit(1)).over(Window.partitionBy())) + 1)  # at most MOST_LANGUAGES rows
+    shares = sizes.withColumn("share", share).withColumn("part", (1 << 30) * F.col("share") / F.col("n"))
+    mark = F.xxhash64("doc_id", "text")
+    rows = learn.join(F.broadcast(shares), "lang").where(F.pmod(mark, F.lit(1 << 30)) < F.col("part"))
+    # equal rows have equal hashes: whatever the table holds, no more than twice the share comes through
+    first = Window.partitionBy("lang").orderBy(mark)
+    return rows.withColumn("place", F.row_number().over(first)).where("place <= 2 * share").select("doc_id", "lang", "text")
+
+
 def fit(learn: DataFrame) -> dict:
-    """idf over every row of ``learn`` (doc_id, text, lang), centroids from bounded samples of each language."""
+    """idf over every row of ``learn`` (doc_id, text, lang), centroids from bounded samples of each language.
+
+    Only these three columns are read. Rows with a null lang or text are not learnt from; an empty text is one like any other. An empty
+    table gives a model that knows no language.
+    """
     ship(learn.sparkSession)
-    learn = learn.where("lang is not null and text is not null")
+    learn = learn.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     idf = inverse_document_frequency(learn, lower=True)
-    sizes = {r[0]: r[1] for r in learn.groupBy("lang").count().collect()}
     model = {"idf": idf, "langs": [], "centroids": np.zeros((0, len(idf)), np.float32), "least": np.zeros(0)}
-    if not sizes:
-        return model
-    share = min(MOST_A_LANGUAGE, MOST // len(sizes) + 1)
-    chosen = None
-    for lang in sorted(sizes):
-        own = sampled(learn.where(F.col("lang") == lang), sizes[lang], share)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    lang, x = gathered(chosen, "lang", idf, lower=True)
+    lang, x = gathered(chosen_rows(learn), "lang", idf, lower=True)
     lang = np.array(lang)
     for name in sorted(set(lang.tolist())):
         c, least = centroids(x[lang == name])
@@ -67,7 +82,8 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or if nothing was learnt. A text farther from
     every centroid than that one's members are keeps its nearest language and is marked as rejected. Ties go to the
-    language that is first in order. Only doc_id and text are read. An empty table gives no rows.
+    language that is first in order. Rows are judged one by one, whole, so repeats get equal results, and null ids are kept. Only doc_id
+    and text are read. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -75,7 +91,7 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
         names = np.array([*held.value["langs"], "und"])
         for batch in batches:
             for part, texts in blocks(batch, 1, lower=True):
-                none = np.array([not (t and _LETTER.search(t)) for t in part.column(1).to_pylist()], bool)
+                none = np.array([not has_letter(t) for t in part.column(1).to_pylist()], bool)
                 best, score, rejected = np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.ones(len(texts), bool)
                 if len(names) > 1:
                     cosine = vectors(texts, held.value["idf"]) @ held.value["centroids"].T

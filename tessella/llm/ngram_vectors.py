@@ -9,21 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes, pairs and triples have ranges of their own in a vector, and eight places count repeats.
-PAIRS, TRIPLES, EXTRA = 1024, 2808, 8
+#: Bytes, pairs and triples have ranges of their own in a vector, and two places count repeats.
+PAIRS, TRIPLES, EXTRA = 1024, 2808, 2
 SIZE = 256 + PAIRS + TRIPLES + EXTRA
 BLOCK = 1 << 20
 
 _TWO = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PAIRS + 256
-_THREE = ((np.arange(1 << 24, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(30)).astype(np.uint32)
 
 
 def _three(code: np.ndarray) -> np.ndarray:
-    return _THREE[code] % TRIPLES + (256 + PAIRS)
+    """The places of triples of bytes, from their 24 bits."""
+    mixed = (code.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(30)
+    return (mixed.astype(np.uint32) % np.uint32(TRIPLES)).astype(np.int64) + (256 + PAIRS)
 
 
 def frequencies(raw: bytes) -> np.ndarray:
-    """How often each n-gram occurs; the last places count lines and 16-byte strings that occurred before in the text."""
+    """How often each n-gram occurs; the last places count lines and runs of three words that occurred before in the text."""
     out = np.zeros(SIZE, np.int64)
     b = np.frombuffer(raw, np.uint8)
     for at in range(0, len(b), BLOCK):
@@ -34,11 +35,9 @@ def frequencies(raw: bytes) -> np.ndarray:
         out += np.bincount(_TWO[two[:n]], minlength=SIZE)
         out += np.bincount(_three(two[: max(0, len(x) - 2)][:n] | (x[2:][:n] << 16)), minlength=SIZE)
     if len(b) > 64:
-        lines = raw.split(b"\n")
+        lines, w = raw.split(b"\n"), raw.split()
         out[-1] = 4 * (len(lines) - len(set(lines)))
-        w = raw.split()
-        pairs = list(zip(w[::1], w[1:], w[2:], strict=False)) if len(w) < 400 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        out[-2] = len(pairs) - len(set(pairs))
+        out[-2] = max(0, len(w) - 2) - len(set(zip(w, w[1:], w[2:], strict=False)))
     return out
 
 
@@ -103,5 +102,6 @@ def gathered(docs: DataFrame, value: str, idf: np.ndarray, lower: bool) -> tuple
 
 
 def sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
-    """About ``most`` of n rows, by a hash of doc_id alone; all of them if there are no more. The sample never exceeds twice that."""
+    """About ``most`` of n rows with different doc_ids, by a hash of doc_id alone; all of them if there are no more. The sample never
+    exceeds twice that."""
     return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(2 * most)
