@@ -9,6 +9,7 @@ lie in many partitions, whose matrices are combined before each partition writes
 from __future__ import annotations
 
 import heapq
+import re
 from functools import cache
 
 import numpy as np
@@ -125,6 +126,19 @@ def boundaries(rows: list[tuple]) -> dict[tuple[int, object], tuple[int, int | N
     return out
 
 
+_MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
+
+
+def escaped(text: str) -> str:
+    """A text in which nothing reads as a control marker: ``<|`` gets a backslash between, ``<\\|`` one more, and so on."""
+    return _MARK.sub(r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    """The text that ``escaped`` was given."""
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def _runs(batches):
     """The conversations of a partition, each as (conv_id, turns, roles, texts)."""
     own, rows = None, []
@@ -147,7 +161,8 @@ def repaired(conversations: DataFrame) -> DataFrame:
 
     One row a turn of the input and a row for each empty turn: conv_id, block and place (their order), turn (null for an empty
     turn), role, text, action (keep, merge, relabel, relabel and merge, insert) and rendered; the rendered pieces of a
-    conversation in order are its chat text. Turns are in order of turn, role and text (nulls first), so ties and repeated rows
+    conversation in order are its chat text, in which ``<|`` stands for a control marker alone (see ``escaped``). A conversation may be
+    longer than a task can hold, so its pieces are never put together here. Turns are in order of turn, role and text (nulls first), so ties and repeated rows
     have a fixed order. Unknown and null roles are relabelled; a null text is empty; a null conv_id is a conversation like any
     other. Only these four columns are read. An empty table gives no rows.
 
@@ -193,7 +208,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
                     place, opened = place + 1, True
                 text = text or ""
                 head = "\n" if action.endswith("merge") else ("<|end|>\n" if opened else "") + f"<|{NAMES[state]}|>\n"
-                out.append((conv, pid, place, turn, NAMES[state], text, action, head + text))
+                out.append((conv, pid, place, turn, NAMES[state], text, action, head + escaped(text)))
                 place, opened = place + 1, True
             for s in tail:
                 out.append((conv, pid, place, None, NAMES[s], "", "insert", f"<|end|>\n<|{NAMES[s]}|>\n"))

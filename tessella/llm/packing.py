@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -31,11 +32,20 @@ _LONG = re.compile(r"\s")
 _ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 
 
+# The normaliser and split steps of the tokenizer files whose words WordTokenizer takes apart itself.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class WordTokenizer:
     """Token ids of whole texts by a word-level BPE tokenizer file, with the ids of frequent words kept.
 
     The tokenizer drops white space, so the ids of a text are those of its words in order; a word's ids never depend on its
-    neighbours. Words seen before cost one dictionary lookup; the tables are emptied when they hold ``keep`` words.
+    neighbours. Words seen before cost one dictionary lookup; the tables are emptied when they hold ``keep`` words. A file with
+    other steps than these is used as it is, on whole texts.
     """
 
     def __init__(self, path: str, keep: int = 500_000):
@@ -45,10 +55,14 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.by_word = all(spec.get(k) == v for k, v in _STEPS.items()) and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("ignore_merges")
+        if not self.by_word:
+            return
         self.by_run = Tokenizer(self.whole.model)
         self.by_run.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        # The pattern of the tokenizer file's own Split step.
-        self.runs_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.runs_of = regex.compile(_SPLIT).findall
         vocabulary = self.by_run.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a run
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -107,12 +121,14 @@ class WordTokenizer:
         return b"".join([known[w] for w in parts])
 
     def _part(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.by_word or _ODD.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self._ids(text.split())
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words are learnt for all of them at once, which is cheaper than text by text."""
+        if not self.by_word:
+            return [self(t) for t in texts]
         parts = [None if len(t) >= 1 << 20 or _ODD.search(t) else t.split() for t in texts]
         new = [w for w in set().union(*[p for p in parts if p]) if w not in self.words]
         if len(new) <= self.keep // 2:
@@ -121,7 +137,7 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text. Long texts are taken in parts that end at white space."""
-        if len(text) <= 1 << 20:
+        if len(text) <= 1 << 20 or not self.by_word:
             return self._part(text)
         out, at = [], 0
         while at < len(text):

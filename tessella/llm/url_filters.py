@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from tessella.llm.common import ascii_lower, ship
 STRICT = ("casino", "porn", "xxx", "viagra", "escort", "camgirls", "spam")
 SOFT = ("ads", "adult", "bet", "bets", "betting", "cheap", "dating", "free", "loan", "loans", "pills", "poker", "sex", "slots", "track", "tracker", "win", "x")
 SOFT_HITS = 2
+#: Terms of a vocabulary that is read from a table, at most.
+MOST_TERMS = 1_000_000
 
 
 def parts(url):
@@ -31,8 +35,18 @@ def ruled(host, path, rules: list[tuple[str, str, str]]):
     return found
 
 
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) terms of a table (term, strict) of at most MOST_TERMS rows; a term that is listed as both is strict. Null and empty
+    terms mean nothing."""
+    rows = terms.select(F.lower("term").alias("term"), "strict").where("term <> ''").groupBy("term").agg(F.coalesce(F.bool_or("strict"), F.lit(False)).alias("strict")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return tuple(sorted(r.term for r in rows if r.strict)), tuple(sorted(r.term for r in rows if not r.strict))
+
+
 def term_hits(urls: DataFrame, strict=STRICT, soft=SOFT) -> DataFrame:
-    """Adds n_strict and n_soft: how many different terms stand in url between characters that are no letters or digits."""
+    """Adds n_strict and n_soft: how many different terms stand in url between characters that are no letters or digits. Where the url
+    has percent signs, terms that stand in it once it is decoded count as well."""
     ship(urls.sparkSession)
     weight = {**{t.lower(): False for t in soft}, **{t.lower(): True for t in strict}}
     place = urls.columns.index("url")
@@ -47,11 +61,12 @@ def term_hits(urls: DataFrame, strict=STRICT, soft=SOFT) -> DataFrame:
         for batch in batches:
             hard, easy = [], []
             for url in batch.column(place).to_pylist():
-                text, seen = (url or "").lower(), set()
-                for end, found in machine.iter(text):
-                    start = end - len(found[0]) + 1
-                    if not (start and text[start - 1].isalnum()) and not text[end + 1 : end + 2].isalnum():
-                        seen.add(found)
+                plain, seen = url or "", set()
+                for text in {plain.lower(), unquote(plain).lower()} if "%" in plain else (plain.lower(),):
+                    for end, found in machine.iter(text) if weight else ():
+                        start = end - len(found[0]) + 1
+                        if not (start and text[start - 1].isalnum()) and not text[end + 1 : end + 2].isalnum():
+                            seen.add(found)
                 hard.append(sum(s for _, s in seen))
                 easy.append(sum(not s for _, s in seen))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hard, pa.int32()), pa.array(easy, pa.int32())], [*batch.schema.names, "n_strict", "n_soft"])
@@ -65,7 +80,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], strict=STRICT, s
 
     A rule decides if one fits, the longest first. Else the URL is blocked if one strict term or ``soft_hits`` different soft
     terms stand in it as whole words. A null url, or one without ``://``, has an empty host and path and fits no rule; its
-    terms still count. Only page_id and url are read. An empty table gives no rows.
+    terms still count. Rows are judged one by one: repeats alike, null ids kept. Only page_id and url are read. An empty table gives no
+    rows; without terms only the rules decide.
     """
     host, path = parts(F.col("url"))
     hits = term_hits(pages.select("page_id", "url"), strict, soft)
@@ -76,8 +92,11 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], strict=STRICT, s
 
 
 def oracle_sql(rules: list[tuple[str, str, str]], strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> str:
+    plain, decoded = "coalesce(url, '')", "CASE WHEN contains(url, '%') THEN coalesce(TRY(url_decode(url)), '') ELSE '' END"
+
     def hits(terms):
-        return " + ".join(f"CAST(regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') AS INTEGER)" for t in terms)
+        stands = lambda text, t: f"regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])')"
+        return " + ".join(f"CAST({stands(plain, t)} OR {stands(decoded, t)} AS INTEGER)" for t in terms)
 
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in order]
