@@ -1,8 +1,8 @@
 """Column strategies: how a column is aggregated in a period, merged across periods, and read.
 
-Every strategy has the same four methods. ``delta`` is an aggregate over one period's rows; ``merge`` combines the cumulative
-state with a newer delta; ``running`` is the cumulative state of every period in one window pass; ``read`` turns a state into
-the value that readers see. States are plain Spark types (numbers, structs, arrays, bit strings).
+Every strategy has the same four methods. ``delta`` is an aggregate over one period's rows; ``merge`` combines two states,
+whichever is newer; ``running`` is the cumulative state of every period in one window pass; ``read`` turns a state into the
+value that readers see. A delta is a state too. States are plain Spark types (numbers, structs, arrays).
 """
 
 from __future__ import annotations
@@ -29,13 +29,15 @@ def _plus(a: Column, b: Column) -> Column:
 class Lifetime:
     """An aggregate over the whole life of an entity. fn: sum, count, count_if, min, max, avg, first, last, count_distinct,
     approx_count_distinct, stddev or variance; expr is its argument, when an optional filter. The function's name alone
-    decides how states merge. Aggregates without a mergeable state (percentiles) are refused."""
+    decides how states merge. Aggregates without a mergeable state (percentiles) are refused. The state of count_distinct is the
+    set itself: for entities with very many values take approx_count_distinct, whose state has a fixed size."""
 
     fn: str
     expr: str | None = None
     when: str | None = None
 
-    FIELDS = {"avg": ("s", "n"), "stddev": ("n", "s", "q"), "variance": ("n", "s", "q")}
+    FIELDS = {"avg": ("s", "n")}
+    MOMENTS = ("stddev", "variance")
     KNOWN = ("sum", "count", "count_if", "min", "max", "avg", "first", "last", "count_distinct", "approx_count_distinct", "stddev", "variance")
 
     def __post_init__(self):
@@ -53,9 +55,9 @@ class Lifetime:
             return getattr(F, self.fn)(v)
         if self.fn == "avg":
             return F.struct(F.sum(v).cast("double").alias("s"), F.count(v).alias("n"))
-        if self.fn in ("stddev", "variance"):
+        if self.fn in self.MOMENTS:  # number, mean, and squared distances from the mean: sums of squares would cancel
             d = v.cast("double")
-            return F.struct(F.count(d).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
+            return F.struct(F.count(d).alias("n"), F.avg(d).alias("m"), (F.var_pop(d) * F.count(d)).alias("q"))
         if self.fn in ("first", "last"):
             pick = F.min if self.fn == "first" else F.max
             return pick(F.when(v.isNotNull(), F.struct(*ORDER, v.alias("v"))))
@@ -75,7 +77,12 @@ class Lifetime:
             return high()
         return sets()
 
-    def merge(self, old: Column, new: Column, gap: Column | None = None) -> Column:
+    def merge(self, old: Column, new: Column) -> Column:
+        if self.fn in self.MOMENTS:
+            n, step = old["n"] + new["n"], new["m"] - old["m"]
+            both = F.struct(n.alias("n"), (old["m"] + step * new["n"] / n).alias("m"), (old["q"] + new["q"] + step * step * old["n"] * new["n"] / n).alias("q"))
+            return F.when((new["n"] > 0) & (old["n"] > 0), both).when(old["n"] > 0, old).otherwise(F.coalesce(new, old))
+
         def part(c: Column, f: str | None) -> Column:
             return c if f is None else c[f]
 
@@ -83,16 +90,25 @@ class Lifetime:
         union = F.array_union(F.coalesce(old, empty), F.coalesce(new, empty)) if self.fn == "count_distinct" else F.coalesce(F.hll_union(old, new), old, new)
         return self._fold(lambda f: _plus(part(old, f), part(new, f)), lambda: F.least(old, new), lambda: F.greatest(old, new), lambda: union)
 
-    def running(self, delta: Column, over: WindowSpec, day: Column) -> Column:
+    def anchor(self, delta: Column, life: Life) -> Column | None:
+        """What ``running`` needs beforehand: for moments a value near the mean, to which distances are taken."""
+        return F.first(delta["m"], ignorenulls=True).over(life.all) if self.fn in self.MOMENTS else None
+
+    def running(self, delta: Column, life: Life, anchor: Column | None = None) -> Column:
+        over = life.all
+        if self.fn in self.MOMENTS:
+            n, off = F.sum(delta["n"]).over(over), delta["m"] - anchor
+            mean = F.try_divide(F.sum(delta["n"] * off).over(over), n)
+            far = F.sum(delta["q"] + delta["n"] * off * off).over(over)
+            return F.struct(n.alias("n"), (anchor + mean).alias("m"), F.greatest(far - n * mean * mean, F.lit(0.0)).alias("q"))
         sets = F.array_distinct(F.flatten(F.collect_list(delta).over(over))) if self.fn == "count_distinct" else F.hll_union_agg(delta).over(over)
         return self._fold(lambda f: F.sum(delta if f is None else delta[f]).over(over), lambda: F.min(delta).over(over), lambda: F.max(delta).over(over), lambda: sets)
 
     def read(self, state: Column) -> Column:
         if self.fn == "avg":
             return F.try_divide(state["s"], state["n"])
-        if self.fn in ("variance", "stddev"):
-            n, s, q = state["n"], state["s"], state["q"]
-            var = F.when(n > 1, F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
+        if self.fn in self.MOMENTS:
+            var = F.when(state["n"] > 1, state["q"] / (state["n"] - 1))
             return var if self.fn == "variance" else F.sqrt(var)
         if self.fn in ("first", "last"):
             return state["v"]
@@ -103,30 +119,38 @@ class Lifetime:
 
 @dataclass(frozen=True)
 class PrependList:
-    """The newest ``length`` values of an expression, newest first. Rows must be limited to the newest ones beforehand
-    (``entity.family_delta`` does), so that no list grows past its length while it is gathered."""
+    """The newest ``length`` values of an expression, newest first. A state keeps each value's time, so rows that come late find their
+    place. Rows must be limited to the newest ones beforehand (``entity.family_delta`` does), so that no list grows past its length
+    while it is gathered."""
 
     expr: str
     length: int
 
     def delta(self) -> Column:
-        pairs = F.sort_array(F.collect_list(F.struct(*ORDER, F.expr(self.expr).alias("v"))), asc=False)
-        return F.slice(F.transform(pairs, lambda p: p["v"]), 1, self.length)
+        return self._newest(F.collect_list(F.struct(*ORDER, F.expr(self.expr).alias("v"))))
 
-    def merge(self, old: Column, new: Column, gap: Column | None = None) -> Column:
-        return F.slice(F.concat(F.coalesce(new, F.array()), F.coalesce(old, F.array())), 1, self.length)
+    def _newest(self, pairs: Column) -> Column:
+        return F.slice(F.sort_array(pairs, asc=False), 1, self.length)
+
+    def merge(self, old: Column, new: Column) -> Column:
+        return F.coalesce(self._newest(F.concat(old, new)), old, new)
 
-    def running(self, delta: Column, over: WindowSpec, day: Column) -> Column:
+    def anchor(self, delta: Column, life: Life) -> None:
+        return None
+
+    def running(self, delta: Column, life: Life, anchor: Column | None = None) -> Column:
         # a period with a row has a value, so the frame need not reach back further than ``length`` periods
-        return F.slice(F.flatten(F.reverse(F.collect_list(delta).over(over.rowsBetween(1 - self.length, 0)))), 1, self.length)
+        return self._newest(F.flatten(F.collect_list(delta).over(life.rows(self.length))))
 
     def read(self, state: Column) -> Column:
-        return state
+        return F.transform(state, lambda p: p["v"])
 
 
 @dataclass(frozen=True)
 class BitmapActivity:
-    """A bit string of ``window`` slots, the newest last: 1 where the entity was active. Slots are days or hours."""
+    """A bit string of ``window`` slots, the newest last: 1 where the entity was active. Slots are days or hours. A state is the slots
+    themselves (numbers since the epoch), of which only those within the window of the newest are kept; the bits are drawn when it
+    is known at which slot they end."""
 
     granularity: str = "day"
     window: int = 30
@@ -135,25 +159,54 @@ class BitmapActivity:
         """Number of a time's slot since the epoch."""
         return F.floor(F.unix_seconds(time.cast("timestamp")) / (86400 if self.granularity == "day" else 3600)).cast("long")
 
+    def last(self, day: Column) -> Column:
+        """The last slot of a day (days since the epoch)."""
+        return day if self.granularity == "day" else day * 24 + 23
+
     def bits(self, slots: Column, last: Column) -> Column:
         return F.array_join(F.transform(F.sequence(last - (self.window - 1), last), lambda s: F.when(F.array_contains(slots, s), "1").otherwise("0")), "")
 
+    def _recent(self, slots: Column) -> Column:
+        return F.filter(slots, lambda s: s > F.array_max(slots) - self.window)
+
     def delta(self) -> Column:
         """The period's slots."""
         return F.sort_array(F.collect_set(self.slot(F.col(ORDER[0]))))
 
     def merge(self, old: Column, new: Column, gap: Column | None = None) -> Column:
-        """Bit strings: the old one moves on by ``gap`` slots, then either's ones count."""
+        """States; with a gap, bit strings as readers have them: the old one moves on by ``gap`` slots, then either's ones count."""
+        if gap is None:
+            return F.coalesce(self._recent(F.array_sort(F.array_union(old, new))), old, new)
         moved = F.right(F.concat(F.coalesce(old, F.repeat(F.lit("0"), F.lit(self.window))), F.repeat(F.lit("0"), gap.cast("int"))), F.lit(self.window))
         both = F.zip_with(F.split(moved, ""), F.split(F.coalesce(new, moved), ""), lambda a, b: F.greatest(a, b))
         return F.array_join(both, "")
 
-    def running(self, delta: Column, over: WindowSpec, day: Column) -> Column:
-        return F.array_distinct(F.flatten(F.collect_list(delta).over(over)))
+    def anchor(self, delta: Column, life: Life) -> None:
+        return None
+
+    def running(self, delta: Column, life: Life, anchor: Column | None = None) -> Column:
+        # older days are outside the window at every later period, so the frame does not reach back further
+        days = self.window if self.granularity == "day" else -(-self.window // 24) + 1
+        return self._recent(F.array_sort(F.array_distinct(F.flatten(F.collect_list(delta).over(life.days(days))))))
 
     def read(self, state: Column) -> Column:
         return state
 
 
-def over_life(keys: list[str], period: str) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+@dataclass(frozen=True)
+class Life:
+    """The windows over a key's periods: ``all`` up to each, the last so many ``rows``, or those of the last so many ``days``."""
+
+    keys: tuple[str, ...]
+    period: str
+    day: Column
+
+    @property
+    def all(self) -> WindowSpec:
+        return self.rows(None)
+
+    def rows(self, most: int | None) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(self.period).rowsBetween(Window.unboundedPreceding if most is None else 1 - most, 0)
+
+    def days(self, most: int) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(self.day).rangeBetween(1 - most, 0)

@@ -50,6 +50,20 @@ def schema_problems(columns: Sequence[str], keys: Sequence[str]) -> list[str]:
     return out + [f"unmapped key: {k}" for k in keys if k not in columns]
 
 
+def schema_contract(df: DataFrame, declared: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
+    """A declared source against a table: for each declared column and each key its problem (reserved, duplicate, unmapped key; null if
+    none) and, where the table has it, its nulls and the values that do not fit the declared type."""
+    problems = {p.split(": ")[1]: p.split(": ")[0] for p in schema_problems(list(declared), keys)}
+    have = {c: t for c, t in declared.items() if c in df.columns}
+    quality = column_quality(df, have)
+    missing = [c for c in [*declared, *keys] if c not in have]
+    none = F.lit(None).cast("bigint")
+    rest = [df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(F.array(*map(F.lit, dict.fromkeys(missing)))).alias("column"), none.alias("nulls"), none.alias("misfits"))] if missing else []
+    found = reduce(DataFrame.unionByName, rest, quality)
+    named = F.create_map(*(F.lit(x) for pair in problems.items() for x in pair)) if problems else F.create_map().cast("map<string,string>")
+    return found.withColumn("problem", F.try_element_at(named, F.col("column")))
+
+
 def column_quality(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     """For each declared column: nulls, and values that do not fit its type."""
     parts = []

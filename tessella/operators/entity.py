@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.states import ORDER, BitmapActivity, PrependList, over_life
+from tessella.functions.states import ORDER, BitmapActivity, Life, Lifetime, PrependList
 from tessella.plans.spec import EntityTable, Family
 
 
@@ -39,19 +41,17 @@ def family_delta(events: DataFrame, family: Family, period: Sequence[str] = ("ds
     return stitch(parts, group)
 
 
-def seed(delta: DataFrame, family: Family, day: str | None = None) -> DataFrame:
+def seed(delta: DataFrame, family: Family) -> DataFrame:
     """The first load: the cumulative state is the delta."""
-    return delta.withColumns({n: (s.bits(F.col(f"{n}__delta"), F.lit(day_number(day))) if isinstance(s, BitmapActivity) and day else F.col(f"{n}__delta")) for n, s in family.columns.items()})
+    return delta.withColumns({n: F.col(f"{n}__delta") for n in family.columns})
 
 
 def day_number(day: str) -> int:
-    from datetime import date
-
     return (date.fromisoformat(day) - date(1970, 1, 1)).days
 
 
-def merge(previous: DataFrame, delta: DataFrame, family: Family, keys: Sequence[str], gap_days: int = 1, day: str | None = None) -> DataFrame:
-    """Previous cumulative states and one period's deltas: every key of either, with both columns kept."""
+def merge(previous: DataFrame, delta: DataFrame, family: Family, keys: Sequence[str]) -> DataFrame:
+    """Cumulative states and one period's deltas: every key of either, with both columns kept."""
     old = previous.select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.col(n).alias(f"__{n}") for n in family.columns))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
     # a key that is null on both sides is the same key; the flags tell it from a missing side
@@ -59,44 +59,40 @@ def merge(previous: DataFrame, delta: DataFrame, family: Family, keys: Sequence[
     out = [F.when(F.col("__new") == 1, F.col(k)).otherwise(F.col(f"__{k}")).alias(k) for k in keys]
     for n, s in family.columns.items():
         d, o = F.col(f"{n}__delta"), F.col(f"__{n}")
-        if isinstance(s, BitmapActivity):
-            fresh = F.when(d.isNotNull(), s.bits(d, F.lit(day_number(day))))
-            out += [d, s.merge(o, fresh, F.lit(gap_days)).alias(n)]
-        else:
-            out += [d, s.merge(o, d).alias(n)]
+        out += [d, s.merge(o, d).alias(n)]
     return both.select(*out)
 
 
 def cumulate(deltas: DataFrame, family: Family, keys: Sequence[str], period: str = "ds", before: DataFrame | None = None) -> DataFrame:
     """Every period's cumulative states in one pass: a window over each key's periods instead of a loop of merges.
 
-    ``before``: the states at the end of an earlier period, which count as a first row of each key.
+    ``before``: the states of each key at an earlier period (with that period), which count as its first row.
     """
-    rows = deltas
+    rows = deltas.withColumn("__kept", F.lit(True))
     if before is not None:
-        rows = before.select(*keys, F.lit("").alias(period), *(F.col(n).alias(f"{n}__delta") for n in family.columns)).unionByName(deltas)
-    over = over_life(list(keys), period)
-    day = F.datediff(F.to_date(F.col(period)), F.lit("1970-01-01").cast("date"))
-    states = rows.select(*keys, period, *(F.col(f"{n}__delta") for n in family.columns), *(s.running(F.col(f"{n}__delta"), over, day).alias(n) for n, s in family.columns.items()))
-    return states if before is None else states.where(F.col(period) != "")
+        rows = before.select(*keys, period, *(F.col(n).alias(f"{n}__delta") for n in family.columns), F.lit(False).alias("__kept")).unionByName(rows)
+    life = Life(tuple(keys), period, F.datediff(F.to_date(F.substring(F.col(period), 1, 10)), F.lit("1970-01-01").cast("date")))
+    anchors = {f"{n}__anchor": a for n, s in family.columns.items() if (a := s.anchor(F.col(f"{n}__delta"), life)) is not None}
+    running = {n: s.running(F.col(f"{n}__delta"), life, F.col(f"{n}__anchor") if f"{n}__anchor" in anchors else None) for n, s in family.columns.items()}
+    states = rows.withColumns(anchors).select(*keys, period, "__kept", *(F.col(f"{n}__delta") for n in family.columns), *(c.alias(n) for n, c in running.items()))
+    return (states if before is None else states.where("__kept")).drop("__kept")
 
 
 def render(states: DataFrame, family: Family, as_of: str | None = None, period: str = "ds") -> DataFrame:
     """States as readers see them; bitmaps end at ``as_of``, or at each row's own period."""
-    out = {}
-    for n, s in family.columns.items():
-        if isinstance(s, BitmapActivity):
-            last = F.lit(day_number(as_of)) if as_of else F.datediff(F.to_date(F.col(period)), F.lit("1970-01-01").cast("date"))
-            if s.granularity == "hour":
-                last = last * 24 + 23
-            out[n] = s.bits(F.col(n), last)
-        else:
-            out[n] = s.read(F.col(n))
-    return states.withColumns(out)
+    day = F.lit(day_number(as_of)) if as_of else F.datediff(F.to_date(F.col(period)), F.lit("1970-01-01").cast("date"))
+    return states.withColumns({n: s.bits(F.col(n), s.last(day)) if isinstance(s, BitmapActivity) else s.read(F.col(n)) for n, s in family.columns.items()})
+
+
+def state_at(events: DataFrame, family: Family, day: str, period: str = "ds") -> DataFrame:
+    """The newest state of each key at the end of a day, and its period: from the events up to then, as if they were one period."""
+    dated = replace(family, columns={**family.columns, period: Lifetime("max", period)})
+    return total(events.where(F.col(period) <= day), dated)
 
 
 def as_of(states: DataFrame, keys: Sequence[str], day: str, period: str = "ds") -> DataFrame:
-    """The newest state of each key at the end of a day; no row for each key and day is ever made."""
+    """The newest of stored states of each key at the end of a day; no row for each key and day is ever made. Where states are not
+    stored, ``state_at`` aggregates the events up to the day, which reads less than making all days' states first."""
     names = [c for c in states.columns if c not in keys]
     top = states.where(F.col(period) <= day).groupBy(*keys).agg(F.max_by(F.struct(*names), period).alias("s"))
     return top.select(*keys, "s.*")
@@ -129,25 +125,29 @@ def overwrite_period(df: DataFrame, path: str, period: str = "ds") -> None:
 # --- the stitched table ---------------------------------------------------------------------------------------------------
 
 
-def stitch(families: Sequence[DataFrame], keys: Sequence[str], zero: Sequence[str] = ()) -> DataFrame:
+def stitch(families: Sequence[DataFrame], keys: Sequence[str], zero: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """One row for each key of any family; columns of an absent family are null (0 for those in ``zero``).
 
     A union and one grouped pass instead of a chain of full outer joins: one shuffle, null keys are keys like any other, and
-    filters on the keys reach every scan. A column must belong to one family.
+    filters on the keys reach every scan. A column must belong to one family. A family has one row a key; where a load may have
+    more, ``order`` names the columns (of each load) by which its newest row is taken, whole; they are not in the result.
     """
+    if order:
+        families = [newest_row(df, keys, order).drop(*order) for df in families]
+    owned = [c for df in families for c in df.columns if c not in keys]
+    if twice := sorted({c for c in owned if owned.count(c) > 1}):
+        raise ValueError(f"{twice} are in several families")
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), families)
-    if len(families) == 1:
-        return families[0]
-    rest = [c for c in both.columns if c not in keys]
-    if not rest:
-        return both.distinct()
-    out = both.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in rest))
+    out = both if len(families) == 1 else both.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in owned)) if owned else both.distinct()
     return out.fillna({c: 0 for c in zero}) if zero else out
 
 
 def stitch_joined(families: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """The same by full outer joins, for families that are bucketed alike on their keys (no shuffle there)."""
-    return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), families)
+    """The same by full outer joins, for families that are bucketed alike on their keys (no shuffle there). Rows with a null in their
+    key, which such a join would not match, are stitched on their own."""
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    joined = reduce(lambda a, b: a.join(b, list(keys), "full_outer"), [df.where(known) for df in families])
+    return joined.unionByName(stitch([df.where(~known) for df in families], keys))
 
 
 def select_columns(families: Mapping[str, DataFrame], keys: Sequence[str], columns: Sequence[str], all_keys: bool = False) -> DataFrame:
@@ -197,4 +197,4 @@ def build(events: DataFrame, table: EntityTable, day: str) -> DataFrame:
     rows = events.where(F.col("ds") <= day)
     keys = list(table.primary_key)
     parts = [render(total(rows, f), f, day).select(*keys, *f.columns) for f in table.families]
-    return derive(stitch(parts, keys), table.derived)
+    return derive(stitch(parts, keys, table.zero), table.derived)

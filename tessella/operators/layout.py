@@ -62,3 +62,15 @@ def read_load(spark, path: str, columns: Sequence[str], bucket: int | None = Non
 def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], n: int) -> None:
     """A table whose files are dealt out by key; two such tables with the same number of buckets join without a shuffle."""
     df.write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+
+
+def buckets_for(df: DataFrame) -> int:
+    """A power-of-two number of buckets of about TARGET_BYTES, from the size that Spark's statistics give for a table."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return math.prod(bucket_levels(size, 1, 1))
+
+
+def allow_unlike_buckets(spark) -> None:
+    """From now on this session reads, of two bucketed tables that are joined, the one with more buckets in as many as the other has,
+    where their numbers divide; else Spark shuffles one of them."""
+    spark.conf.set("spark.sql.bucketing.coalesceBucketsInJoin.enabled", "true")

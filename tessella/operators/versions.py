@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.entity import stitch
+
 
 def carry_forward(loads: DataFrame) -> DataFrame:
     """The full column to load map at each version: what a version loads overrides, the rest stays (``loads``: the changes).
@@ -89,10 +91,18 @@ def columns_by_load(resolved: DataFrame, columns: Sequence[str] | None = None) -
     return rows.groupBy("table_name", "load_id").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
 
 
+def write_loads(data: DataFrame, path: str) -> None:
+    """Writes loads, each a folder under ``path`` by its load_id; they are never changed afterwards, so a load is written once."""
+    data.write.mode("append").partitionBy("load_id").parquet(path)
+
+
 def read_loads(data: DataFrame, resolved: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The stitched rows of the resolved loads. ``data``: load_id, keys and columns of all loads; the map is small and names
-    each column's load, so every cell is taken from the load that owns its column."""
-    owner = resolved.where(F.col("column_name").isin(list(columns))).groupBy("load_id").agg(F.collect_set("column_name").alias("owned"))
-    rows = data.join(F.broadcast(owner), "load_id")
-    cells = [F.max_by(F.when(F.array_contains("owned", c), F.col(c)), F.when(F.array_contains("owned", c) & F.col(c).isNotNull(), 1)).alias(c) for c in columns]
-    return rows.groupBy(*keys).agg(*cells)
+    """The stitched rows of the resolved loads. ``data``: load_id, keys and columns of all loads. Each asked column has one load at most,
+    whose name is looked up first: the filter on it is known when the read is planned, so only the folders of those loads are read,
+    and of each only its own columns. A column without a load is null for every key."""
+    named = resolved.where(F.col("column_name").isin(list(columns))).select("column_name", "load_id").distinct()
+    owner = {r.column_name: r.load_id for r in named.limit(len(columns)).collect()}
+    parts = [data.where(F.col("load_id") == load).select(*keys, *(c for c in columns if owner.get(c) == load)) for load in sorted(set(owner.values()))]
+    found = stitch(parts, keys) if parts else data.where(F.lit(False)).select(*keys)
+    kinds = dict(data.dtypes)
+    return found.select(*keys, *(F.col(c) if c in owner else F.lit(None).cast(kinds[c]).alias(c) for c in columns))

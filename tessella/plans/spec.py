@@ -22,13 +22,15 @@ class Family:
 
 @dataclass(frozen=True)
 class EntityTable:
-    """One row for each key. ``derived`` columns are expressions over the stitched columns."""
+    """One row for each key. ``derived`` columns are expressions over the stitched columns; columns in ``zero`` are 0 for keys that
+    their family has not seen, all others null."""
 
     name: str
     primary_key: tuple[str, ...]
     families: tuple[Family, ...]
     derived: Mapping[str, str] = field(default_factory=dict)
     lookback_days: int = 30
+    zero: tuple[str, ...] = ()
 
     def family_of(self, column: str) -> Family:
         return next(f for f in self.families if column in f.columns)

@@ -154,7 +154,7 @@ def d2_totals_agree(spark, d):
     return checks.totals_agree(whole(spark, d, SUMS, "spend"), ev(spark, d).where("event_type = 'purchase'"), "sum(spend)", "sum(value)", 2)
 
 
-@query("SELECT count(*) FILTER (WHERE false) AS recent, count(*) FILTER (WHERE false) AS active FROM events")
+@query(f"WITH {EV}, c AS (SELECT user_id, least(count(*), 50) AS recent, 30 AS active FROM ev WHERE event_type = 'click' GROUP BY 1) SELECT count(*) FILTER (WHERE recent > 50) AS recent, count(*) FILTER (WHERE active <> 30) AS active FROM c")
 def d3_size_violations(spark, d):
     f = Family("f", {"recent": PrependList("k", 50), "active": BitmapActivity("day", 30)}, KEYS, "event_type = 'click'")
     return checks.size_violations(whole(spark, d, f, "recent", "active"), {"recent": 50}, {"active": 30})
@@ -171,6 +171,12 @@ def d5_column_quality(spark, d):
     return checks.column_quality(table(spark, d, "events"), {"user_id": "int32", "event_type": "double"})
 
 
+@query("""SELECT c AS "column", (SELECT count(*) FROM events) AS rows, n AS nulls, CASE WHEN c IN ('event_id', 'event_timestamp', 'ds', 'hour') THEN 'reserved' WHEN c = 'account_id' THEN 'unmapped key' END AS problem FROM (
+SELECT 'event_id' AS c, count(*) FILTER (WHERE event_id IS NULL) AS n FROM events UNION ALL SELECT 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM events UNION ALL SELECT 'value', count(*) FILTER (WHERE value IS NULL) FROM events UNION ALL SELECT 'hour', NULL UNION ALL SELECT 'account_id', NULL) t""")
+def d5_schema_contract(spark, d):
+    return checks.schema_contract(table(spark, d, "events"), {"event_id": "int64", "user_id": "int32", "value": "double", "hour": "int32"}, ["user_id", "account_id"]).drop("misfits")
+
+
 @query("SELECT l_partkey, count(*) AS rows FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) GROUP BY 1")
 def d6_unknown_keys(spark, d):
     return checks.unknown_keys(table(spark, d, "lineitem"), table(spark, d, "part").where("p_size < 40"), {"l_partkey": "p_partkey"})
@@ -223,8 +229,7 @@ def h8_other_predicate(spark, d):
 
 @query(f"WITH {EV} SELECT count(DISTINCT user_id) AS rows FROM ev WHERE event_type = 'purchase' AND ds <= '2024-01-03'")
 def h9_rows_as_of(spark, d):
-    states = entity.cumulate(entity.family_delta(ev(spark, d), SUMS), SUMS, ID)
-    return entity.as_of(states, ID, "2024-01-03").agg(F.count(F.lit(1)).alias("rows"))
+    return entity.state_at(ev(spark, d), SUMS, "2024-01-03").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

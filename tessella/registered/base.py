@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,6 +44,10 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 EV = "ev AS (SELECT *, strftime(ts, '%Y-%m-%d') AS ds, strftime(ts, '%H') AS hour, json_extract_string(props, '$.k') AS k FROM events)"
 DAY = "CAST(CAST(ds AS DATE) - DATE '1970-01-01' AS BIGINT)"
 
+def bits_sql(days: str, last: int, n: int) -> str:
+    return f"list_aggregate(list_transform(range({last - n + 1}, {last + 1}), lambda s: CASE WHEN list_contains({days}, s) THEN '1' ELSE '0' END), 'string_agg', '')"
+
+
 KEYS = {"user_id": "entity_id"}
 BROWSING = Family("browsing", {"view_count": Lifetime("count"), "view_value": Lifetime("sum", "value")}, KEYS, "event_type = 'view'")
 ENGAGEMENT = Family("engagement", {"recent": PrependList("k", 50), "active": BitmapActivity("day", 30)}, KEYS, "event_type = 'click'")
@@ -73,6 +78,10 @@ st AS (SELECT entity_id, view_count, view_value, clicks, top_k, spend, purchases
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that all executors see: in spark.checkpoint.dir, or, if all run in one process and it is unset, a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tessella.functions.states import BitmapActivity, Lifetime, PrependList
 from tessella.operators import entity
 from tessella.plans.spec import Family
-from tessella.registered.base import BEHAVIOUR, DAY, EV, KEYS, ev, query, states, work_dir
+from tessella.registered.base import BEHAVIOUR, DAY, EV, KEYS, bits_sql, ev, query, states, work_dir
 
 BUY = "event_type = 'purchase'"
 ID = ["entity_id"]
@@ -67,16 +69,21 @@ def c6_latest_earliest(spark, d):
     return whole(spark, d, fam("event_type = 'signup'", latest=Lifetime("last", "k"), earliest=Lifetime("first", "k")), "latest", "earliest")
 
 
+def once(spark, d, family, *keep, day="2024-01-30"):
+    """The same in one grouped pass over the log, for states that are as large as what they have seen."""
+    return entity.render(entity.total(ev(spark, d).where(F.col("ds") <= day), family), family, day).select("entity_id", *keep)
+
+
 @query(f"WITH {EV} SELECT user_id AS entity_id, count(DISTINCT k) AS ks FROM ev GROUP BY ALL")
 def c7_count_distinct(spark, d):
-    return whole(spark, d, fam(None, ks=Lifetime("count_distinct", "k")), "ks")
+    return once(spark, d, fam(None, ks=Lifetime("count_distinct", "k")), "ks")
 
 
-@query(f"WITH {EV} SELECT user_id AS entity_id, true AS near FROM ev GROUP BY ALL")
+@query(f"WITH {EV} SELECT user_id AS entity_id, count(DISTINCT k) AS e, true AS near FROM ev GROUP BY ALL")
 def c7_sketch(spark, d):
     near = F.abs(F.col("a") - F.col("e")) <= F.greatest(F.lit(1), F.col("e") * 0.1)
-    f = fam(None, a=Lifetime("approx_count_distinct", "k"), e=Lifetime("count_distinct", "k"))
-    return whole(spark, d, f, "a", "e").select("entity_id", near.alias("near"))
+    exact = once(spark, d, fam(None, e=Lifetime("count_distinct", "k")), "e")
+    return whole(spark, d, fam(None, a=Lifetime("approx_count_distinct", "k")), "a").join(exact, "entity_id").select("entity_id", "e", near.alias("near"))
 
 
 @query(f"WITH {EV} SELECT user_id AS entity_id, count(*) FILTER (WHERE value > 50) AS n, round(sum(value) FILTER (WHERE k > '3'), 2) AS s, round(avg(value) FILTER (WHERE k > '3'), 8) AS a FROM ev GROUP BY ALL")
@@ -93,13 +100,14 @@ def c9_moments(spark, d):
 LIST = "array_to_string(list(k ORDER BY ts DESC, event_id DESC)[1:{n}], ',')"
 
 
-@query(f"WITH {EV} SELECT {PER}, {LIST.format(n=5)} AS ks FROM ev GROUP BY ALL")
-def c10_prepend_list(spark, d):
-    return delta(spark, d, fam(None, ks=PrependList("k", 5)), F.array_join("ks__delta", ",").alias("ks"))
+def joined(c):
+    """A list state as text."""
+    return F.array_join(F.transform(F.col(c), lambda p: p["v"]), ",").alias("ks")
 
 
-def bits_sql(days: str, last: int, n: int) -> str:
-    return f"list_aggregate(list_transform(range({last - n + 1}, {last + 1}), lambda s: CASE WHEN list_contains({days}, s) THEN '1' ELSE '0' END), 'string_agg', '')"
+@query(f"WITH {EV} SELECT {PER}, {LIST.format(n=5)} AS ks FROM ev GROUP BY ALL")
+def c10_prepend_list(spark, d):
+    return delta(spark, d, fam(None, ks=PrependList("k", 5)), joined("ks__delta"))
 
 
 LAST = entity.day_number("2024-01-30")
@@ -110,14 +118,14 @@ def c11_bitmap_day(spark, d):
     return whole(spark, d, fam("event_type = 'click'", active=BitmapActivity("day", 30)), "active")
 
 
-@query(f"WITH {EV} SELECT user_id AS entity_id, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', LAST * 24 + 23, 72)} AS active FROM ev WHERE ds >= '2024-01-20' GROUP BY ALL")
+@query(f"WITH {EV} SELECT user_id AS entity_id, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', LAST * 24 + 23, 72)} AS active FROM ev GROUP BY ALL")
 def c12_bitmap_hour(spark, d):
-    return whole(spark, d, fam("ds >= '2024-01-20'", active=BitmapActivity("hour", 72)), "active")
+    return whole(spark, d, fam(None, active=BitmapActivity("hour", 72)), "active")
 
 
 @query(f"WITH {EV} SELECT user_id AS entity_id, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', LAST * 24 + 23, 72)} AS active FROM ev GROUP BY ALL")
 def c12_bitmap_hour_whole(spark, d):
-    return whole(spark, d, fam(None, active=BitmapActivity("hour", 72)), "active")
+    return once(spark, d, fam(None, active=BitmapActivity("hour", 72)), "active")
 
 
 BUILT = f"""WITH {EV}, u AS (SELECT * FROM ev WHERE ds <= '2024-01-15'),
@@ -137,6 +145,12 @@ def c13_build_entity_table(spark, d):
     return shown(entity.build(ev(spark, d), BEHAVIOUR, "2024-01-15"))
 
 
+@query(f"SELECT entity_id, coalesce(view_count, 0) AS view_count, view_value, coalesce(purchases, 0) AS purchases, spend, avg_order_value FROM ({BUILT}) t")
+def c13_build_zero(spark, d):
+    counted = replace(BEHAVIOUR, zero=("view_count", "purchases"))
+    return shown(entity.build(ev(spark, d), counted, "2024-01-15")).select("entity_id", "view_count", "view_value", "purchases", "spend", "avg_order_value")
+
+
 @query(f"WITH {EV}, h AS (SELECT user_id AS entity_id, ds || hour AS period, sum(value) AS s FROM ev WHERE {BUY} GROUP BY ALL) SELECT entity_id, period, round(sum(s) OVER (PARTITION BY entity_id ORDER BY period), 2) AS spend FROM h")
 def c14_hourly(spark, d):
     f = fam(spend=Lifetime("sum", "value"))
@@ -166,8 +180,8 @@ def m1_seed(spark, d):
 
 
 def two_days(spark, d, family):
-    old = entity.seed(day(spark, d, family, "2024-01-01"), family, "2024-01-01")
-    return entity.merge(old, day(spark, d, family, "2024-01-02"), family, ID, 1, "2024-01-02")
+    old = entity.seed(day(spark, d, family, "2024-01-01"), family)
+    return entity.merge(old, day(spark, d, family, "2024-01-02"), family, ID)
 
 
 TWO = f"WITH {EV}, w AS (SELECT *, ds = '2024-01-02' AS new FROM ev WHERE ds IN ('2024-01-01', '2024-01-02'))"
@@ -196,12 +210,19 @@ def m5_last_writer(spark, d):
 
 @query(f"{TWO} SELECT user_id AS entity_id, {LIST.format(n=4)} AS ks FROM w GROUP BY 1")
 def m6_list(spark, d):
-    return two_days(spark, d, fam(None, ks=PrependList("k", 4))).select("entity_id", F.array_join("ks", ",").alias("ks"))
+    return two_days(spark, d, fam(None, ks=PrependList("k", 4))).select("entity_id", joined("ks"))
 
 
 @query(f"{TWO} SELECT user_id AS entity_id, {bits_sql(f'list(DISTINCT {DAY})', LAST - 28, 7)} AS active FROM w GROUP BY 1")
 def m7_bitmap(spark, d):
-    return two_days(spark, d, fam(None, active=BitmapActivity("day", 7))).select("entity_id", "active")
+    f = fam(None, active=BitmapActivity("day", 7))
+    return entity.render(two_days(spark, d, f), f, "2024-01-02").select("entity_id", "active")
+
+
+@query(f"{TWO} SELECT user_id AS entity_id, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', (LAST - 28) * 24 + 23, 30)} AS active FROM w GROUP BY 1")
+def m7_bitmap_hour(spark, d):
+    f = fam(None, active=BitmapActivity("hour", 30))
+    return entity.render(two_days(spark, d, f), f, "2024-01-02").select("entity_id", "active")
 
 
 @query(f"{TWO} SELECT user_id AS entity_id, round(avg(value), 8) AS a, round(stddev_samp(value), 4) AS sd, count(DISTINCT k) AS ks FROM w GROUP BY 1")
@@ -226,12 +247,20 @@ def m9_cumulate(spark, d):
 
 @query(f"{CUM}, t AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ds DESC) AS r FROM cum WHERE ds <= '2024-01-20') SELECT entity_id, ds, round(spend, 2) AS spend, purchases, low, high FROM t WHERE r = 1")
 def m10_as_of_fill(spark, d):
-    return cum_out(entity.as_of(states(spark, d, SUMS), ID, "2024-01-20"))
+    return cum_out(entity.state_at(ev(spark, d), SUMS, "2024-01-20"))
+
+
+@query(f"{CUM}, t AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ds DESC) AS r FROM cum WHERE ds <= '2024-01-20') SELECT entity_id, ds, round(spend, 2) AS spend, purchases, low, high FROM t WHERE r = 1")
+def m10_as_of_stored(spark, d):
+    path = work_dir(spark)
+    states(spark, d, SUMS).write.partitionBy("ds").parquet(path)
+    stored = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
+    return cum_out(entity.as_of(stored.withColumn("ds", F.col("ds").cast("string")), ID, "2024-01-20"))
 
 
 @query(f"{CUM} {CUM_OUT} WHERE ds BETWEEN '2024-01-10' AND '2024-01-15'")
 def m11_backfill(spark, d):
-    before = entity.as_of(states(spark, d, SUMS), ID, "2024-01-09")
+    before = entity.state_at(ev(spark, d), SUMS, "2024-01-09")
     return cum_out(entity.backfill(ev(spark, d), SUMS, ID, "2024-01-10", "2024-01-15", before))
 
 
@@ -245,7 +274,7 @@ def m12_cascade(spark, d):
 @query(f"WITH {EV} SELECT {PER}, {LIST.format(n=3)} AS ks, count(DISTINCT {DAY}) AS days FROM ev GROUP BY ALL")
 def m13_parallel_deltas(spark, d):
     f = fam(None, ks=PrependList("k", 3), active=BitmapActivity("day", 30))
-    return delta(spark, d, f, F.array_join("ks__delta", ",").alias("ks"), F.size("active__delta").cast("long").alias("days"))
+    return delta(spark, d, f, joined("ks__delta"), F.size("active__delta").cast("long").alias("days"))
 
 
 @query(f"WITH {EV} SELECT ds, count(DISTINCT user_id) AS entities, round(sum(value), 2) AS spend FROM ev WHERE {BUY} AND ds BETWEEN '2024-01-01' AND '2024-01-05' GROUP BY ds")
@@ -258,7 +287,7 @@ def m14_idempotent(spark, d):
     return back.agg(F.count(F.lit(1)).alias("entities"), F.round(F.sum("spend__delta"), 2).alias("spend"))
 
 
-@query(f"WITH {EV} SELECT min(ds) AS first_ds, true AS before_lookback, true AS before_source FROM ev")
+@query(f"WITH {EV} SELECT min(ds) AS first_ds, '2023-12-25' < strftime(DATE '2024-01-30' - 30, '%Y-%m-%d') AS before_lookback, '2023-12-25' < min(ds) AS before_source FROM ev")
 def m15_backfill_check(spark, d):
     return entity.backfill_check(ev(spark, d), "2023-12-25", "2024-01-30")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions.states import Lifetime
-from tessella.operators import layout
+from tessella.functions.states import BitmapActivity, Lifetime, PrependList
+from tessella.operators import entity, layout
 from tessella.plans.spec import Family
-from tessella.registered.base import EV, ev, query, table, work_dir
+from tessella.registered.base import DAY, EV, bits_sql, ev, query, table, work_dir
 from tessella.sources import events as log
 from tessella.streaming import jobs
 
@@ -67,7 +67,7 @@ def _stream(spark, d, name="events"):
 @query(f"WITH {EV} SELECT ds, hour, count(*) AS n, round(sum(value), 2) AS total FROM ev GROUP BY ds, hour")
 def s7_stream_ingest(spark, d):
     out = work_dir(spark)
-    jobs.ingest(log.derive_partition(_stream(spark, d), "ts"), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    jobs.ingest(log.derive_partition(_stream(spark, d), "ts"), f"{out}/data", f"{out}/checkpoint", max_rows=10_000).awaitTermination()
     back = spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data")
     return back.groupBy(F.date_format("ds", "yyyy-MM-dd").alias("ds"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
@@ -98,6 +98,29 @@ def s10_replay_after(spark, d):
     return log.replay_after(rows.select(F.col("event_id").alias("offset"), (F.col("user_id") % 4).cast("int").alias("partition")), marks)
 
 
+def _ingested(spark, d):
+    """What a load of the log up to the middle of the month has written: a table by event type. One type has not been loaded at all."""
+    path = work_dir(spark)
+    rows = ev(spark, d).where("ds < '2024-01-16' and event_type <> 'error'")
+    rows.select("event_id", "ts", "user_id", "event_type").write.partitionBy("event_type").parquet(path)
+    return spark.read.parquet(path)
+
+
+POSITION = ["ts", "event_id"]
+MARKS = "m AS (SELECT event_type, max((ts, event_id)) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-16' AND event_type <> 'error' GROUP BY 1), late AS (SELECT e.* FROM events e LEFT JOIN m USING (event_type) WHERE mark IS NULL OR (ts, event_id) > mark)"
+
+
+@query(f"WITH {MARKS} SELECT event_type, mark[2] AS event_id, {_sql_time('mark[1]')} AS ts FROM m")
+def s9_ingest_marks(spark, d):
+    return _times(log.ingest_marks(_ingested(spark, d), "event_type", POSITION).select("event_type", "mark.event_id", "mark.ts"), "ts")
+
+
+@query(f"WITH {MARKS} SELECT event_id, user_id, event_type FROM late")
+def s10_rows_after_marks(spark, d):
+    marks = log.ingest_marks(_ingested(spark, d), "event_type", POSITION)
+    return log.rows_after(ev(spark, d), marks, "event_type", POSITION).select("event_id", "user_id", "event_type")
+
+
 @query("SELECT user_id, count(*) AS n, CAST(1 AS BIGINT) AS buckets FROM events GROUP BY user_id")
 def s11_write_load(spark, d):
     path = work_dir(spark)
@@ -117,7 +140,7 @@ def s13_retention(spark, d):
     return log.apply_retention(ev(spark, d), 10, "2024-01-30").groupBy("ds").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 100 AS truncated FROM orders ORDER BY o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 100 AS truncated, row_number() OVER (ORDER BY o_orderkey) <= 20 AS sampled FROM orders ORDER BY o_orderkey LIMIT 100")
 def s14_preview(spark, d):
     return log.preview(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 100)
 
@@ -169,6 +192,12 @@ def t6_freshness(spark, d):
     return log.freshness(commits, "2024-01-20").withColumn("last_commit", F.date_format("last_commit", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(f"WITH {MARKS} SELECT event_type, count(*) AS rows_behind, epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 AS seconds FROM late GROUP BY 1")
+def t7_ingest_lag(spark, d):
+    marks = log.ingest_marks(_ingested(spark, d), "event_type", POSITION)
+    return log.ingest_lag(ev(spark, d), marks, "event_type", POSITION, "ts")
+
+
 @query("WITH e AS (SELECT CAST(user_id % 4 AS INTEGER) AS partition, max(event_id) AS end_offset FROM events GROUP BY 1), m AS (SELECT CAST(user_id % 4 AS INTEGER) AS p, max(event_id) AS hwm FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id % 4 <> 3 GROUP BY 1) SELECT partition, end_offset, end_offset - coalesce(hwm, -1) AS lag FROM e LEFT JOIN m ON partition = p")
 def t7_consumer_lag(spark, d):
     rows = ev(spark, d)
@@ -178,14 +207,27 @@ def t7_consumer_lag(spark, d):
 
 @query("SELECT user_id AS entity_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total, max(value) AS top FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def t8_stream_family(spark, d):
-    out = work_dir(spark)
-    log_path = f"{out}/log"
-    rows = table(spark, d, "events").where("event_type = 'purchase'")
-    rows.repartition(3, "event_id").write.parquet(log_path)
     family = Family("commerce", {"n": Lifetime("count"), "total": Lifetime("sum", "value"), "top": Lifetime("max", "value")}, {"user_id": "entity_id"})
-    jobs.stream_family(jobs.event_stream(spark, log_path, "*.parquet", rows.schema, 1), family, f"{out}/state", f"{out}/checkpoint").awaitTermination()
-    last = spark.read.parquet(f"{out}/state").agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{out}/state/v={last}").select("entity_id", "n", F.round("total", 2).alias("total"), "top")
+    return _streamed(spark, d, family, "event_type = 'purchase'").select("entity_id", "n", F.round("total", 2).alias("total"), "top")
+
+
+def _streamed(spark, d, family, where, day=None):
+    """A family kept up to date by a stream of files in no order of time, one a batch."""
+    out = work_dir(spark)
+    rows = ev(spark, d).where(where)
+    rows.repartition(3, "event_id").write.parquet(f"{out}/log")
+    jobs.stream_family(jobs.event_stream(spark, f"{out}/log", "*.parquet", rows.schema, 1), family, f"{out}/state", f"{out}/checkpoint", 4).awaitTermination()
+    return entity.render(jobs.family_states(spark, f"{out}/state"), family, day)
+
+
+_LAST = entity.day_number("2024-01-30")
+
+
+@query(f"WITH {EV} SELECT user_id AS entity_id, {bits_sql(f'list(DISTINCT {DAY})', _LAST, 30)} AS days, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', _LAST * 24 + 23, 48)} AS hours, array_to_string(list(k ORDER BY ts DESC, event_id DESC)[1:5], ',') AS ks, round(stddev_samp(value), 4) AS sd FROM ev GROUP BY 1")
+def t8_stream_bitmap(spark, d):
+    columns = {"days": BitmapActivity("day", 30), "hours": BitmapActivity("hour", 48), "ks": PrependList("k", 5), "sd": Lifetime("stddev", "value")}
+    got = _streamed(spark, d, Family("activity", columns, {"user_id": "entity_id"}), "true", "2024-01-30")
+    return got.select("entity_id", "days", "hours", F.array_join("ks", ",").alias("ks"), F.round("sd", 4).alias("sd"))
 
 
 @query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),

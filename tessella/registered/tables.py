@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,15 @@ def r9_duplicate_key(spark, d):
     return entity.newest_row(rows, ID, ["ts", "event_id"]).select("entity_id", "value", F.lit(None).cast("bigint").alias("other"))
 
 
+@query(f"WITH {EV}, n AS (SELECT user_id AS entity_id, arg_max((value, k), (ts, event_id)) AS r FROM ev WHERE event_type <> 'purchase' GROUP BY 1), p AS (SELECT user_id AS entity_id, arg_max(value, (ts, event_id)) AS paid FROM ev WHERE event_type = 'purchase' GROUP BY 1) SELECT entity_id, r[1] AS value, r[2] AS k, paid FROM n FULL JOIN p USING (entity_id)")
+def r9_stitch_duplicate_keys(spark, d):
+    """Loads with several rows a key: the newest row of each is taken whole, nulls and all."""
+    rows = ev(spark, d).withColumnRenamed("user_id", "entity_id")
+    a = rows.where("event_type <> 'purchase'").select("entity_id", "ts", "event_id", "value", "k")
+    b = rows.where("event_type = 'purchase'").select("entity_id", "ts", "event_id", F.col("value").alias("paid"))
+    return entity.stitch([a, b], ID, order=["ts", "event_id"])
+
+
 @query(f"WITH {LOADS} SELECT entity_id, view_count, spend, CAST(NULL AS BIGINT) AS refunds FROM v FULL JOIN p USING (entity_id)")
 def r10_missing_column(spark, d):
     v, _, p = loads(spark, d)
@@ -102,6 +113,13 @@ def r12_key_prefix(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(orders, "l_orderkey", "left")
 
 
+@query(f"WITH {EV}, n AS (SELECT nullif(user_id, 3) AS entity_id, event_type FROM ev) SELECT entity_id, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS views, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS clicks FROM n WHERE event_type IN ('view', 'click') GROUP BY 1")
+def r8_null_key_joined(spark, d):
+    rows = ev(spark, d).withColumn("entity_id", F.nullif(F.col("user_id"), F.lit(3)))
+    parts = [rows.where(f"event_type = '{t}'").groupBy("entity_id").agg(F.count(F.lit(1)).alias(c)) for t, c in (("view", "views"), ("click", "clicks"))]
+    return entity.stitch_joined(parts, ID)
+
+
 # --- versions: a commit for each day and family, at the next midnight ----------------------------------------------------
 
 COLUMNS = {"view": ["view_count", "view_value"], "click": ["recent", "active"], "purchase": ["spend", "purchases"]}
@@ -222,12 +240,29 @@ m AS (SELECT * FROM mf WHERE version = (SELECT max(version) FROM cm WHERE commit
 SELECT entity_id, view_count, spend FROM (SELECT entity_id, n AS view_count FROM lv WHERE load_id = (SELECT load_id FROM m WHERE column_name = 'view_count')) a FULL JOIN (SELECT entity_id, s AS spend FROM lv WHERE load_id = (SELECT load_id FROM m WHERE column_name = 'spend')) b USING (entity_id)"""
 
 
+def written(spark, d):
+    """The loads of each day and event type, written under their names, and read back with them."""
+    path = work_dir(spark)
+    data = ev(spark, d).groupBy(F.col("user_id").alias("entity_id"), F.concat("event_type", F.lit("-"), "ds").alias("load_id")).agg(F.count(F.lit(1)).alias("view_count"), F.round(F.sum("value"), 2).alias("spend"))
+    versions.write_loads(data, path)
+    return spark.read.parquet(path)
+
+
 @query(READ)
 def v12_read_as_of(spark, d):
     c = change_log(spark, d)
-    data = ev(spark, d).groupBy(F.col("user_id").alias("entity_id"), F.concat("event_type", F.lit("-"), "ds").alias("load_id")).agg(F.count(F.lit(1)).alias("view_count"), F.round(F.sum("value"), 2).alias("spend"))
     at = versions.resolve_wall_time(commits(c), versions.carry_forward(c), "2024-01-12 10:00:00")
-    return versions.read_loads(data, at, ID, ["view_count", "spend"])
+    return versions.read_loads(written(spark, d), at, ID, ["view_count", "spend"])
+
+
+@query(f"""WITH {CHANGES}, lv AS (SELECT user_id AS entity_id, event_type || '-' || ds AS load_id, count(*) AS n, round(sum(value), 2) AS s FROM ev GROUP BY ALL)
+SELECT entity_id, view_count, spend FROM (SELECT entity_id, n AS view_count FROM lv WHERE load_id = 'view-2024-01-10') a FULL JOIN (SELECT entity_id, s AS spend FROM lv WHERE load_id = 'purchase-2024-01-10') b USING (entity_id)""")
+def v12_write_commit_read(spark, d):
+    """Loads are written, then committed as a log of changes that is a table itself, and a day is read back through it."""
+    data, path = written(spark, d), work_dir(spark)
+    done = data.select("load_id").distinct().join(change_log(spark, d), "load_id")
+    done.repartition(1).write.parquet(path)
+    return versions.read_loads(data, versions.resolve_ds(spark.read.parquet(path), "2024-01-10"), ID, ["view_count", "spend"])
 
 
 # --- layout --------------------------------------------------------------------------------------------------------------
@@ -264,15 +299,44 @@ def b4_bucket_stats(spark, d):
     return layout.bucket_stats(table(spark, d, "lineitem"), F.col("l_orderkey") % 16, 1800)
 
 
-@query("SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def bucketed(spark, d, name, key, n):
+    """A table of the warehouse, dealt out by its key; a later call over the same input replaces it, so none are left behind."""
+    saved = f"{name}_by_{n}_{zlib.crc32(d.encode()):08x}"
+    layout.save_bucketed(table(spark, d, name).withColumnRenamed(key, "k"), saved, ["k"], n)
+    return spark.table(saved)
+
+
+JOINED = "SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
+
+
+def by_status(lines, orders):
+    return lines.hint("merge").join(orders, "k").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query(JOINED)
 def b5_co_partitioned(spark, d):
-    import uuid
+    return by_status(bucketed(spark, d, "lineitem", "l_orderkey", 8), bucketed(spark, d, "orders", "o_orderkey", 8))
+
+
+@query(JOINED)
+def b3_join_of_unlike_buckets(spark, d):
+    """Tables of 8 and of 4 buckets: Spark reads two of the 8 as one of the 4, and neither side is shuffled."""
+    layout.allow_unlike_buckets(spark)
+    return by_status(bucketed(spark, d, "lineitem", "l_orderkey", 8), bucketed(spark, d, "orders", "o_orderkey", 4))
+
 
-    suffix = uuid.uuid4().hex[:12]
-    layout.save_bucketed(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "k"), f"lines_{suffix}", ["k"], 8)
-    layout.save_bucketed(table(spark, d, "orders").withColumnRenamed("o_orderkey", "k"), f"orders_{suffix}", ["k"], 8)
-    both = spark.table(f"lines_{suffix}").hint("merge").join(spark.table(f"orders_{suffix}"), "k")
-    return both.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+@query("SELECT l_orderkey AS k, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (1, 33, 70)")
+def b2_bucketed_lookup(spark, d):
+    """Keys of a bucketed table: only the buckets that may have them are read."""
+    return bucketed(spark, d, "lineitem", "l_orderkey", 8).where(F.col("k").isin(1, 33, 70)).select("k", "l_linenumber", "l_quantity")
+
+
+@query("SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1")
+def b1_sized_buckets(spark, d):
+    """As many buckets as the table's own size asks for; a count by key then needs no shuffle."""
+    rows = table(spark, d, "lineitem")
+    n = layout.buckets_for(rows)
+    return bucketed(spark, d, "lineitem", "l_orderkey", n).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 33")

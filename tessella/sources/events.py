@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Declared types and the Spark types they are stored as.
 TYPES = {"string": "string", "int32": "int", "int64": "bigint", "float": "float", "double": "double", "boolean": "boolean", "timestamp": "timestamp", "date": "date", "json": "string"}
@@ -68,32 +72,75 @@ def apply_retention(df: DataFrame, days: int, as_of: str) -> DataFrame:
     return df.where(F.col("ds") >= F.date_format(F.date_sub(F.to_date(F.lit(as_of)), days), "yyyy-MM-dd"))
 
 
-def preview(df: DataFrame, order: list[str], max_rows: int = 10_000) -> DataFrame:
-    """The first rows of a result, with a flag that says whether there are more."""
+def preview(df: DataFrame, order: list[str], max_rows: int = 10_000, sample: int = 20) -> DataFrame:
+    """The first rows of a result, with a flag that says whether there are more, and one for the rows of the sample (the first ones)."""
     head = df.orderBy(*order).limit(max_rows + 1)
     rank = F.row_number().over(Window.orderBy(*order))
-    return head.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy()), "r": rank}).where(F.col("r") <= max_rows).withColumn("truncated", F.col("n") > max_rows).drop("n", "r")
+    numbered = head.withColumns({"__n": F.count(F.lit(1)).over(Window.partitionBy()), "__r": rank}).where(F.col("__r") <= max_rows)
+    return numbered.withColumns({"truncated": F.col("__n") > max_rows, "sampled": F.col("__r") <= sample}).drop("__n", "__r")
+
+
+def ingest_marks(ingested: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """How far an ingested table has come in each part of its log: the greatest position (a struct of the order's columns)."""
+    return ingested.groupBy(part).agg(F.max(F.struct(*order)).alias("mark"))
+
+
+def rows_after(rows: DataFrame, marks: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """The rows of a log that an ingested table lacks: those past the mark of their part, and all of a part without one. Marks are one
+    row a part, so they are joined to the log without a shuffle of it wherever Spark finds them small."""
+    at = marks.withColumnRenamed(part, "__part")
+    return rows.join(at, F.col(part).eqNullSafe(F.col("__part")), "left").where(F.col("mark").isNull() | (F.struct(*order) > F.col("mark"))).drop("__part", "mark")
+
+
+def ingest_lag(rows: DataFrame, marks: DataFrame, part: str, order: list[str], time: str) -> DataFrame:
+    """For each part with rows past its mark: how many, and how many seconds of time they span."""
+    late = rows_after(rows, marks, part, order)
+    span = F.unix_seconds(F.max(time).cast("timestamp")) - F.unix_seconds(F.min(time).cast("timestamp"))
+    return late.groupBy(part).agg(F.count(F.lit(1)).alias("rows_behind"), span.alias("seconds"))
 
 
 # --- duplicates, lateness, health ----------------------------------------------------------------------------------------
 
 
 def dedup_ttl(df: DataFrame, key: list[str], time: str, seconds: int) -> DataFrame:
-    """An event is accepted if no accepted event of its key lies within ``seconds`` before it: (key, time) of those accepted.
+    """The events (whole rows) that are accepted: those without an accepted event of their key up to ``seconds`` before them. Of events
+    of one key and time the first by its other columns counts. ``time`` is a number of seconds or a timestamp.
 
-    Events are first cut into bursts, at gaps longer than the window; a burst's first event is accepted whatever came before,
-    so each burst is folded alone and a hot key is shared by as many groups as it has bursts.
+    Events are first cut into bursts, at gaps longer than the window; a burst's first event is accepted whatever came before. Bursts
+    are dealt out, so a hot key is shared by as many tasks as it has bursts, and each is read through in order of time with the
+    last accepted time at hand: nothing is gathered. A key that never pauses is one burst, which one task reads through.
     """
-    own = Window.partitionBy(*key).orderBy(time)
-    starts = F.coalesce((F.col(time) - F.lag(time).over(own)) > seconds, F.lit(True))
-    burst = df.select(*key, time).withColumn("burst", F.sum(starts.cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    times = burst.groupBy(*key, "burst").agg(F.sort_array(F.collect_list(time)).alias("times"))
-    none = F.array().cast(f"array<{dict(df.dtypes)[time]}>")
-
-    def fold(kept, t):
-        return F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > seconds), F.concat(kept, F.array(t))).otherwise(kept)
-
-    return times.select(*key, F.explode(F.aggregate("times", none, fold)).alias(time))
+    kind = dict(df.dtypes)[time]
+    clock, width = (F.unix_micros(F.col(time).cast("timestamp")), seconds * 1_000_000) if kind.startswith("timestamp") else (F.col(time).cast("long"), seconds)
+    rows = df.select(F.struct(*df.columns).alias("row"), clock.alias("t"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(key)))
+    names = [f"k{i}" for i in range(len(key))]
+    own = Window.partitionBy(*names).orderBy("t")
+    head = F.coalesce((F.col("t") - F.lag("t").over(own)) > width, F.lit(True))
+    cut = rows.withColumn("head", head).withColumn("burst", F.sum(F.col("head").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut.repartition(*names, "burst").sortWithinPartitions(*names, "burst", "t", F.to_json("row")).select("row", "t", "burst", *names)
+
+    def accept(batches):
+        last, before = None, None
+        for batch in batches:
+            t = batch.column(1).to_numpy(zero_copy_only=False)
+            groups = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
+            keep, at = np.zeros(len(t), bool), 0
+            new = [True] * len(t)
+            for k, now in enumerate(zip(*groups, strict=True)):
+                new[k], before = now != before, now
+            edges = [0, *(k for k in range(1, len(t)) if new[k]), len(t)]
+            for at, end in pairwise(edges):
+                if at < end and new[at]:
+                    last = None
+                while at < end:
+                    if last is not None:
+                        at += int(np.searchsorted(t[at:end], last + width, "right"))
+                        if at >= end:
+                            break
+                    keep[at], last = True, t[at]
+            yield batch.select(["row"]).filter(pa.array(keep))
+
+    return runs.mapInArrow(accept, StructType([StructField("row", runs.schema["row"].dataType)])).select("row.*")
 
 
 def dedup_exact(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,12 +18,14 @@ def event_stream(spark, folder: str, pattern: str, schema, per_batch: int | None
     return (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).parquet(folder)
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, partitions: Sequence[str] = ("ds", "hour"), every: str | None = None) -> StreamingQuery:
+def ingest(stream: DataFrame, path: str, checkpoint: str, partitions: Sequence[str] = ("ds", "hour"), every: str | None = None, max_rows: int | None = None) -> StreamingQuery:
     """Appends batches to files by partition. The checkpoint makes every file count once, also after a restart.
 
-    ``every``: a processing interval ("5 seconds"); None takes what is there and stops.
+    ``every``: a processing interval ("5 seconds"); None takes what is there and stops. ``max_rows``: rows of a file, at most.
     """
     writer = stream.writeStream.format("parquet").partitionBy(*partitions).option("checkpointLocation", checkpoint)
+    if max_rows:
+        writer = writer.option("maxRecordsPerFile", max_rows)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start(path)
 
 
@@ -32,21 +34,64 @@ def dedup_stream(stream: DataFrame, time: str, keys: Sequence[str], window: str)
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, window).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_family(stream: DataFrame, family: Family, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a family's states up to date: each batch is aggregated and merged into the newest version under ``path``.
+def stream_family(stream: DataFrame, family: Family, path: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Keeps a family's states up to date under ``path``: each batch is aggregated and merged into the states it touches.
 
-    A version is written under the batch's number, and the next batch reads the one before it; a batch that is run again
-    after a failure writes the same version again, so nothing is added twice.
+    States lie in buckets by a hash of the key; a batch writes new files for the buckets that have its keys, under its number, and
+    leaves the others. The newest files of each bucket are its states (``family_states``); older ones than those a batch has read are
+    removed. A batch that is run again after a failure reads what it read and writes the same files again, so nothing counts twice.
+    States are ordered or sets, so rows may come late.
     """
     keys = list(family.keys.values())
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        delta = family_delta(batch, family, ())
-        if number == 0:
-            state = seed(delta, family)
-        else:
-            state = merge(spark.read.parquet(f"{path}/v={number - 1}"), delta, family, keys)
-        state.select(*keys, *family.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        delta = family_delta(batch, family, ()).withColumn("bucket", _bucket(keys, buckets)).persist()
+        touched = [r[0] for r in delta.select("bucket").distinct().collect()]  # at most ``buckets``
+        places = _newest(spark, path, number)
+        old = [places[b] for b in touched if b in places]
+        fresh = delta.drop("bucket")
+        state = merge(_read(spark, path, old), fresh, family, keys) if old else seed(fresh, family)
+        out = state.select(*keys, *family.columns).withColumn("bucket", _bucket(keys, buckets))
+        out.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        delta.unpersist()
+        _remove(spark, [p for p in _places(spark, path) if p[0] < places.get(p[1], (number,))[0]])
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def family_states(spark: SparkSession, path: str) -> DataFrame:
+    """The states that ``stream_family`` keeps under ``path``."""
+    return _read(spark, path, list(_newest(spark, path).values())).drop("v", "bucket")
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _places(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """(batch, bucket, folder) of all files of states."""
+    jvm = spark._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/bucket=*")
+    found = glob.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(glob) or []
+    names = [str(f.getPath().toString()) for f in found]
+    return [(int(n.split("/v=")[-1].split("/")[0]), int(n.split("/bucket=")[-1]), n) for n in names]
+
+
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, tuple[int, str]]:
+    """For each bucket the newest (batch, folder), of batches before one if it is given."""
+    newest: dict[int, tuple[int, str]] = {}
+    for v, b, folder in sorted(_places(spark, path)):
+        if before is None or v < before:
+            newest[b] = (v, folder)
+    return newest
+
+
+def _read(spark: SparkSession, path: str, places: Sequence[tuple[int, str]]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*(folder for _, folder in places))
+
+
+def _remove(spark: SparkSession, places: Sequence[tuple[int, int, str]]) -> None:
+    for _, _, folder in places:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
