@@ -1,8 +1,12 @@
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import fixtures as fx
-from tessella.llm import decontam
+from tessella.llm import decontam, quality_rules
+from tessella.llm.queries import _tokenizer_path
 
 
 def test_stages(spark, sf_dir):
@@ -36,6 +40,59 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == left
 
 
+def plain(spark, docs, items):
+    """doc_id to text after the four stages that decide on texts, by brute force; of the first only its own verdicts are taken."""
+    kept = {r.doc_id for r in quality_rules.judged(docs).where("kept").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    prints, comp = {i: fx.fingerprint(t) for i, t in texts.items()}, {i: i for i in texts}
+    while True:
+        new = {i: min(comp[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3) for i in prints}
+        if new == comp:
+            break
+        comp = new
+    rows = sorted((i, t.encode()) for i, t in texts.items() if comp[i] == i)
+    left = {i: bytes(c for c, m in zip(t, mark, strict=True) if not m).decode("utf-8", "ignore") for (i, t), mark in zip(rows, fx.covered([t for _, t in rows]), strict=True)}
+    found = decontam.Matcher(items).find_all(list(left.values()))
+    return {i: t for k, (i, t) in enumerate(left.items()) if k not in {f[0] for f in found}}
+
+
 def test_run(spark, sf_dir):
+    """Every token of every text that the stages leave, in pieces that join, and nothing else."""
+    from tokenizers import Tokenizer
+
     assert corpus_pipeline.ORACLE_SQL is None
-    assert corpus_pipeline.run(spark, sf_dir).where("length <= 0").count() == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = plain(spark, docs, [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+    whole = Tokenizer.from_file(_tokenizer_path())
+    whole.encode_special_tokens = True
+    pieces = {}
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert pieces.keys() == want.keys()
+    for doc, own in pieces.items():
+        ids = np.array([*whole.encode(want[doc], add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for start, length, crc, total in sorted(own):
+            assert (start, total) == (at, len(ids)) and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+
+
+def test_run_of_empty_tables(spark, tmp_path):
+    fx.empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_rows_with_everything_wrong(spark, sf_dir):
+    """Nulls, repeats, repeated ids with other texts, clashing columns, a text of very many words."""
+    docs = fx.documents(spark, seed=21)
+    long = " ".join(f"word{i % 977} and{i % 1009}" for i in range(60_000)) + "."
+    more = spark.createDataFrame([(1, long, None), (1, long, None), (None, long[50_000:] + " other", "x"), (None, None, None)], "doc_id long, text string, fp string")
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes and 0 < out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    rows = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import duck_rows, spark_rows
 from tests.llm import fixtures as fx
-from tessella.llm import chat_format, decontam, language, lm_scoring, neighbour_votes, ngram_vectors, packing, quality_rules, queries, url_filters
+from tessella.llm import chat_format, decontam, language, lm_scoring, neighbour_votes, ngram_vectors, packing, quality_rules, queries, simhash, url_filters
 from tessella.llm.queries import ORACLES, QUERIES, _tokenizer_path
 
 
@@ -53,6 +53,20 @@ def test_quality_edges(spark):
     assert kept.dtypes == docs.dtypes
 
 
+def test_a_text_of_very_many_words(spark):
+    """Counts, fingerprint and losses of one text of 200 000 words, beside a short one."""
+    rng = random.Random(14)
+    w = [f"w{rng.randrange(3000)}" for _ in range(100_000)]
+    w[50_000:50_000] = w[:100_000]
+    docs = spark.createDataFrame([(1, " ".join(w), "en", "a"), (2, "short text", "en", "a")], "doc_id long, text string, lang string, source string")
+    got = quality_rules.judged(docs).where("doc_id = 1").first()
+    assert (got.n_words, got.word_chars) == (200_000, sum(map(len, w))) and got.n_repeat_words >= 199_900 and got.base_failed
+    prints = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()}
+    assert prints == {r.doc_id: f"{fx.fingerprint(r.text):016x}" for r in docs.collect()}
+    scores = {r.doc_id: r for r in lm_scoring.scored(docs, lm_scoring.fit(docs, docs.where("doc_id = 2"))).collect()}
+    assert scores[1].n_tokens == 200_000 and scores[1].background_loss > scores[2].target_loss - 1e-9 > 0
+
+
 # --- classifiers
 
 
