@@ -60,8 +60,9 @@ def read_load(spark, path: str, columns: Sequence[str], bucket: int | None = Non
 
 
 def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], n: int) -> None:
-    """A table whose files are dealt out by key; two such tables with the same number of buckets join without a shuffle."""
-    df.write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    """A table whose files are dealt out by key; two such tables with the same number of buckets join without a shuffle. Rows are dealt out
+    before they are written, so a bucket is one file and not one for each task."""
+    df.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
 
 
 def buckets_for(df: DataFrame) -> int:

@@ -92,8 +92,9 @@ def columns_by_load(resolved: DataFrame, columns: Sequence[str] | None = None) -
 
 
 def write_loads(data: DataFrame, path: str) -> None:
-    """Writes loads, each a folder under ``path`` by its load_id; they are never changed afterwards, so a load is written once."""
-    data.write.mode("append").partitionBy("load_id").parquet(path)
+    """Writes loads, each a folder under ``path`` by its load_id; they are never changed afterwards, so a load is written once. Spark gathers
+    the rows of small loads into one file each and divides large ones."""
+    data.hint("rebalance", "load_id").write.mode("append").partitionBy("load_id").parquet(path)
 
 
 def read_loads(data: DataFrame, resolved: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
