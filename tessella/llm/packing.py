@@ -9,7 +9,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +38,20 @@ _STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
+# The same runs, faster to find, in lower-cased texts of few letters.
+_ASCII_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
+_LATIN_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
 
 
 class WordTokenizer:
     """Token ids of whole texts by a word-level BPE tokenizer file, with the ids of frequent words kept.
 
-    The tokenizer drops white space, so the ids of a text are those of its words in order; a word's ids never depend on its
-    neighbours. Words seen before cost one dictionary lookup; the tables are emptied when they hold ``keep`` words. A file with
-    other steps than these is used as it is, on whole texts.
+    The tokenizer drops white space and splits what is left into runs (of letters, or of other signs, or single digits), whose ids never
+    depend on their neighbours: the ids of a text are those of its runs in order. Runs seen before cost one dictionary lookup; the
+    table is emptied when it holds ``keep`` of them. A file with other steps than these is used as it is, on whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -62,11 +65,11 @@ class WordTokenizer:
             return
         self.by_run = Tokenizer(self.whole.model)
         self.by_run.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.runs_of = regex.compile(_SPLIT).findall
+        self.any_runs = regex.compile(_SPLIT).findall
         vocabulary = self.by_run.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a run
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.keep, self.words, self.runs = keep, {}, {}
+        self.keep, self.known = keep, {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         alphabet = {}
         for code in range(0x80, 0x800):  # the two bytes of each of these show how every byte from 0x80 to 0xdf is written
@@ -83,57 +86,75 @@ class WordTokenizer:
             return run
         return run.encode().decode("latin-1").translate(self.alphabet)
 
-    def _runs(self, word: str) -> list[str]:
-        """What the tokenizer's normaliser and split step make of a word."""
-        plain = word if word.isascii() else unicodedata.normalize("NFC", word)
+    def _runs(self, text: str) -> list[str]:
+        """What the tokenizer's normaliser and split step make of a text."""
+        if text.isascii():
+            return _ASCII_RUNS(text.lower())
+        plain = unicodedata.normalize("NFC", text)
         plain = "".join([c.lower() for c in plain]) if "Σ" in plain else plain.lower()
-        if plain.isalpha():
-            return [plain]
-        if plain[:-1].isalpha() and not plain[-1].isnumeric() and not plain[-1].isalpha():
-            return [plain[:-1], plain[-1]]
-        return self.runs_of(plain)
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > self.keep:
-            self.words.clear()
-        if len(self.runs) > self.keep:
-            self.runs.clear()
-        known, split = self.runs, [self._runs(word) for word in new]
-        unseen = [r for r in set(chain.from_iterable(split)) if r not in known]
-        if unseen:
-            ids = np.array(self.by_run.encode_batch_fast([" ".join(map(self._spelled, unseen))], add_special_tokens=False)[0].ids, "<u4")
+        try:
+            plain.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any_runs(plain)
+        return _LATIN_RUNS(plain)
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > self.keep:
+            self.known.clear()
+        runs = list(new)
+        if runs:
+            ids = np.array(self.by_run.encode_batch_fast([" ".join(map(self._spelled, runs))], add_special_tokens=False)[0].ids, "<u4")
             ends = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
             data = ids.tobytes()
-            known.update(zip(unseen, [data[i:k] for i, k in pairwise(ends)], strict=True))
-        self.words.update(zip(new, [known[r[0]] if len(r) == 1 else b"".join([known[x] for x in r]) for r in split], strict=True))
+            self.known.update(zip(runs, [data[i:k] for i, k in pairwise(ends)], strict=True))
 
-    def _ids(self, parts: list[str]) -> bytes:
-        known = self.words
+    def _ids(self, runs: list[str]) -> bytes:
+        get = self.known.get
         try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
+            return b"".join(map(get, runs))
+        except TypeError:  # a run is not known
             pass
-        if len(parts) > self.keep // 4:
-            return b"".join(self._ids(parts[i : i + self.keep // 8]) for i in range(0, len(parts), self.keep // 8))
-        self._learn([w for w in set(parts) if w not in known])
-        if any(w not in known for w in parts):  # the table has been emptied
-            self._learn([w for w in set(parts) if w not in known])
-        return b"".join([known[w] for w in parts])
+        if len(runs) > self.keep // 4:
+            return b"".join(self._ids(runs[i : i + self.keep // 8]) for i in range(0, len(runs), self.keep // 8))
+        self._learn(set(runs) - self.known.keys())
+        if missing := set(runs) - self.known.keys():  # the table has been emptied
+            self._learn(missing)
+        return b"".join(map(get, runs))
 
     def _part(self, text: str) -> bytes:
         if not self.by_word or _ODD.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self._ids(text.split())
+        return self._ids(self._runs(text))
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; new words are learnt for all of them at once, which is cheaper than text by text."""
+        """The ids of each text; new runs are learnt for all of them at once, which is cheaper than text by text."""
         if not self.by_word:
             return [self(t) for t in texts]
-        parts = [None if len(t) >= 1 << 20 or _ODD.search(t) else t.split() for t in texts]
-        new = [w for w in set().union(*[p for p in parts if p]) if w not in self.words]
-        if len(new) <= self.keep // 2:
-            self._learn(new)
-        return [self(t) if p is None else self._ids(p) for t, p in zip(texts, parts, strict=True)]
+        parts = [None if len(t) >= 1 << 20 or _ODD.search(t) else self._runs(t) for t in texts]
+        get, out, new, open_ = self.known.get, [], set(), []
+        for k, runs in enumerate(parts):
+            if runs is None:
+                out.append(self(texts[k]))
+                continue
+            found = list(map(get, runs))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # some are not known
+                holes = [i for i, ids in enumerate(found) if ids is None]
+                new.update([runs[i] for i in holes])
+                open_.append((k, found, holes))
+                out.append(b"")
+        if len(new) > self.keep // 2:
+            for k, _, _ in open_:
+                out[k] = self._ids(parts[k])
+            return out
+        self._learn(new)
+        for k, found, holes in open_:
+            runs = parts[k]
+            for i in holes:
+                found[i] = self.known[runs[i]]
+            out[k] = b"".join(found)
+        return out
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text. Long texts are taken in parts that end at white space."""

@@ -511,7 +511,8 @@ def test_tokens_equal_the_tokenizer():
     whole.encode_special_tokens = True
     rng = random.Random(8)
     for _ in range(3000):
-        text = "".join(rng.choice("abXY 01'\n\t.,!éÉßΣσ’—中😀́\xa0 \x1c\x85İst<|endoftext|>") for _ in range(rng.randint(0, 40)))
+        signs = rng.choice(["abXY 01'\n\t.,!éÉßΣσ’—中😀́\xa0 \x1c\x85İst<|endoftext|>", "abXYZ 0123'\n\t.,!-_'s't'll \x0b\x0c\x7f\x01", "aB 1'éÉßüÿÀþ²¼½ªµº×÷«»\xa0\xad \n's'T" + "".join(map(chr, range(0xA1, 0x100)))])
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))
         assert np.frombuffer(fast(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
     assert fast.many(["a b", ""]) == [fast("a b"), b""]
 
