@@ -26,12 +26,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tessella.llm.common import cut, ship, shuffle_width
 from tessella.llm.parsing import mixed, parse
 
-#: Phrases that one task of step 2 gathers, about; bytes of text in one partition of steps 3 and 4.
-PHRASES_A_TASK, BYTES_A_TASK = 600_000, 48 << 20
+#: Phrases that one task of step 2 gathers, about; bytes of text in one partition of steps 3 and 4, and in one go of step 1.
+PHRASES_A_TASK, BYTES_A_TASK, BYTES_AT_A_TIME = 400_000, 48 << 20, 4 << 20
 #: Different phrases of one trigger that one task sorts; more are divided into windows.
-MOST_KINDS = 20_000
-#: Windows of divided phrases that are held at a time, about.
-WINDOWS_AT_A_TIME = 200_000
+MOST_KINDS = 8_000
+#: Windows of divided phrases that are held at a time, about, and phrases of whole triggers that are sorted together, unless one has more.
+WINDOWS_AT_A_TIME, SORTED_TOGETHER = 200_000, 5_000
 
 _FLAT = "kind int, rid long, k long, s int, n int"
 
@@ -140,7 +140,7 @@ def _divided(rid, doc, s, n, phrases: list[bytes], span: int):
 _WIDTH = {"k": 6, "c": 5, "i": 4, "s": 4, "n": 1, "d": 8, "r": 8}
 
 
-def _portions(batches, text: int, most: int = 8 << 20):
+def _portions(batches, text: int, most: int = BYTES_AT_A_TIME):
     """Batches in slices of about so many bytes of text, so that the arrays of a slice stay small; a row is never divided."""
     for batch in batches:
         total = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
@@ -149,17 +149,17 @@ def _portions(batches, text: int, most: int = 8 << 20):
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+            pa.default_memory_pool().release_unused()
 
 
 def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a key rid, dealt out by it, and (rid, spans): the (s, n) with n bytes from s that are to go, some overlapping."""
     spark = docs.sparkSession
     ship(spark)
-    # doc_id is the key of a row unless two rows share one
-    alone = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    # never null, so that both joins below deal the texts out in the same way and Spark does it once
-    mixed_key = F.xxhash64("doc_id", "text")
-    rows = docs.withColumn("rid", F.coalesce("doc_id", mixed_key) if alone else mixed_key)
+    # doc_id is the key of a row, unless two rows share one or a row has none: then rows are numbered, and written, so that the numbers
+    # stay. The key is never null, so that both joins below deal the texts out in the same way and Spark does it once
+    alone = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    rows = docs.withColumn("rid", F.coalesce("doc_id", F.lit(0))) if alone else cut(docs.withColumn("rid", F.monotonically_increasing_id()))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), size // 15 // PHRASES_A_TASK)
     texts = rows.repartition(max(shuffle_width(spark), size // BYTES_A_TASK), "rid")
@@ -176,7 +176,8 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             both = mixed(p.trigger.copy(), p.phrase)
             by = np.argsort(both, kind="stable")
             doc = ids[p.text[by]]
-            later = doc > _least(_heads(both[by]), doc)
+            # equal phrases of the batch: 128 bits of hashes are equal, those of trigger and text together and those of the text
+            later = doc > _least(_heads(both[by], p.phrase[by]), doc)
             out = by[later]
             row, s, n = p.text[out], p.start[out], p.count[out]
             at = np.lexsort((s, row))
@@ -246,12 +247,12 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         yield from done()
 
     first = rows.where("doc_id is not null").select("rid", "doc_id", "text").mapInArrow(parsed, "kind int, b int, " + ", ".join(f"{c} binary" for c in payload))
-    flat = cut(first.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(matched, _FLAT))
+    flat = cut(first.repartitionById(buckets, "b").sortWithinPartitions("b").mapInArrow(matched, _FLAT))
 
     asked = flat.where("kind > 1").groupBy("rid").agg(F.collect_list(F.struct("k", "s", "n", "kind")).alias("ask"))
 
     def fetched(batches):
-        for batch in batches:
+        for batch in _portions(batches, batches_text):
             asks = batch.column("ask")
             flatten = asks.flatten()
             counts = asks.value_lengths().to_numpy(zero_copy_only=False)
@@ -289,16 +290,18 @@ def repeated_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             keys = held.column("k").to_numpy()
             end = int(np.searchsorted(keys, keys[-1]))  # the last trigger may go on
-            if end > 20_000:
-                for a, z in _pieces(keys[:end], 20_000):
+            if end > SORTED_TOGETHER:
+                for a, z in _pieces(keys[:end], SORTED_TOGETHER):
                     yield windows(held.slice(a, z - a))
                 held = held.slice(end)
         if held is not None and held.num_rows:
-            for a, z in _pieces(held.column("k").to_numpy(), 20_000):
+            for a, z in _pieces(held.column("k").to_numpy(), SORTED_TOGETHER):
                 yield windows(held.slice(a, z - a))
 
     # all columns, here and where the spans are applied: then both joins read one and the same shuffle of the texts
-    second = texts.join(asked, "rid").mapInArrow(fetched, "k long, rid long, doc long, s int, n int, phrase binary")
+    joined = texts.join(asked, "rid")
+    batches_text = joined.columns.index("text")
+    second = joined.mapInArrow(fetched, "k long, rid long, doc long, s int, n int, phrase binary")
     ends = second.repartition(buckets, "k").sortWithinPartitions("k").mapInArrow(sorted_, "rid long, s int, n int")
     spans = flat.where("kind = 1").select("rid", "s", "n").union(ends)
     return texts, spans.groupBy("rid").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
@@ -352,7 +355,12 @@ def removed_bytes(docs: DataFrame, span: int = 50) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
-    """``docs`` with the repeated bytes out of text, and n_chars to match; bytes left of a character that was cut are dropped."""
+    """``docs`` with the bytes that ``removed_bytes`` counts out of text, and n_chars (if there is one) to match; bytes left of a character
+    that was cut are dropped.
+
+    One row a row of ``docs``, with all its columns, whatever their names. Null texts stay null, empty ones empty; a row without doc_id
+    stays whole and removes nothing, and rows that share a doc_id leave each other alone. An empty table stays empty.
+    """
     cast = {f.name: f.dataType for f in docs.schema.fields}
 
     def keep(batches):
