@@ -69,7 +69,7 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text; none for a null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -46,7 +46,7 @@ def _repeat_words(w):
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(rows, of))
 
     n = F.size(w)
-    hashed = let(F.transform(w, lambda x: F.xxhash64(x)), lambda v: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.slice(v, i + 1, WINDOW))))
+    hashed = let(F.transform(w, lambda x: F.xxhash64(x)), lambda v: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(v, i + k) for k in range(WINDOW)))))
     return F.when(n < WINDOW, F.lit(0)).otherwise(let(hashed, covered))
 
 
