@@ -29,8 +29,8 @@ WORDS = 1 << 19
 PAIR_WEIGHT, EVEN = 0.5, 0.01
 #: Up to so many ids of target documents are broadcast (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
-#: Tokens that are counted or scored at a time, about; tokens of the corpus for each bucket of keys.
-TOKENS_A_BATCH, TOKENS_A_BUCKET = 1_500_000, 1_500_000
+#: Tokens of a batch, about; tokens of the corpus for each bucket of keys; tokens whose chances are worked out at a time.
+TOKENS_A_BATCH, TOKENS_A_BUCKET, TOKENS_AT_A_TIME = 1_500_000, 1_500_000, 200_000
 #: Bytes of packed rows that go back to Spark at a time, about.
 BYTES_A_SLICE = 8 << 20
 
@@ -142,6 +142,7 @@ def _sent(rows, schema: pa.Schema):
         if held >= BYTES_A_SLICE:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
             waiting, held = [], 0
+            pa.default_memory_pool().release_unused()
     if waiting:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
 
@@ -293,14 +294,26 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                 size = max(WORDS, sum(x[2] for x in found))
                 distinct, which = np.unique(pair, return_inverse=True)
                 keys = np.sort(np.concatenate([vocabulary, distinct]))
-                single, double = np.searchsorted(keys, vocabulary)[token], np.searchsorted(keys, distinct)[which]
-                starts, doc = _starts(lengths), np.repeat(np.arange(len(lengths)), lengths)
-                chosen = np.repeat(_unpacked(row["chosen"]) > 0, lengths)
-                own = (_own(doc, token), _own(doc[second], which)) if counted_too else (0 * token, 0 * which)
-                for name, c, mine in (("target", t, chosen), ("background", n - t, ~chosen)):
-                    total = totals[name] - (mine * lengths[doc] if counted_too else 0)
-                    loss = losses(c[single] - mine * own[0], c[double] - mine[second] * own[1], second, total, size)
-                    out[name][~none] = np.add.reduceat(loss, starts) / lengths[~none]
+                single, double = np.searchsorted(keys, vocabulary), np.searchsorted(keys, distinct)
+                marks = _unpacked(row["chosen"]) > 0
+                # a stretch of documents at a time, so that the arrays of single tokens stay small
+                ends, first_pair = np.cumsum(lengths), np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))])
+                docs_at = 0
+                while docs_at < len(lengths):
+                    begin = int(ends[docs_at - 1]) if docs_at else 0
+                    docs_end = max(docs_at + 1, int(np.searchsorted(ends, begin + TOKENS_AT_A_TIME, "right")))
+                    some, own_lengths = slice(docs_at, docs_end), lengths[docs_at:docs_end]
+                    tokens, pairs = slice(begin, int(ends[docs_end - 1])), slice(int(first_pair[docs_at]), int(first_pair[docs_end]))
+                    after = second[pairs] - begin
+                    doc = np.repeat(np.arange(len(own_lengths)), own_lengths)
+                    chosen = np.repeat(marks[some], own_lengths)
+                    one, two = single[token[tokens]], double[which[pairs]]
+                    own = (_own(doc, token[tokens]), _own(doc[after], which[pairs])) if counted_too else (0, 0)
+                    for name, c, mine in (("target", t, chosen), ("background", n - t, ~chosen)) if len(doc) else ():
+                        total = totals[name] - (mine * own_lengths[doc] if counted_too else 0)
+                        loss = losses(c[one] - mine * own[0], c[two] - mine[after] * own[1], after, total, size)
+                        out[name][some][own_lengths > 0] = np.add.reduceat(loss, _starts(own_lengths)) / own_lengths[own_lengths > 0]
+                    docs_at = docs_end
             a, b = out["target"], out["background"]
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), *(pa.array(x, mask=none) for x in (a, b, a - b))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 

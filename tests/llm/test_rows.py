@@ -205,6 +205,7 @@ def test_losses_are_those_of_exact_counts(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice(vocab) if rng.random() < 0.3 else f"n{rng.randrange(1 << 40)}" for _ in range(rng.choice([0, 1, 40, 4000])))) for i in range(200)]
     docs = spark.createDataFrame([*rows, (None, "w1 w2"), (7, rows[5][1])], "doc_id long, text string").repartition(3)
     monkeypatch.setattr(lm_scoring, "TOKENS_A_BATCH", 20_000, raising=False)
+    monkeypatch.setattr(lm_scoring, "TOKENS_AT_A_TIME", 5_000)
     marked = set(range(0, 200, 3))
     counts = {True: {}, False: {}}
     for r in docs.collect():
