@@ -17,6 +17,8 @@ from tessella.llm.components import components, forest
 BITS = 64
 #: Rows of one key that one task compares in one piece; larger keys are dealt out as pairs of tiles.
 TILE = 8192
+#: Keys of rows that go (some 100 bytes each as Spark holds them) that are broadcast, at most; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Cost of a probed row and of a compared pair, in the same unit; only their ratio matters.
 ROW_COST, PAIR_COST = 200.0, 1.0
 
@@ -290,7 +292,9 @@ def first_of_each(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFram
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.char_length(text).alias("n"))
     prints = cut(fingerprints(docs.select(key.alias("key"), "text"), size, "key"))
-    gone = prints.join(_least(prints, "key", distance), "fp").where("key <> least").select("key")
+    gone = cut(prints.join(_least(prints, "key", distance), "fp").where("key <> least").select("key").distinct())
+    # the keys that go are few beside the texts: as long as they are few in number too, no text is shuffled
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
     rows = docs.select(F.struct("*").alias("own"), key.alias("key")).join(gone, "key", "left_anti")
     again = prints.groupBy("key").count().where("count > 1").select("key")
     if again.isEmpty():
