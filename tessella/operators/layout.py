@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a bucket, and the most buckets of a table.
@@ -59,19 +61,43 @@ def read_load(spark, path: str, columns: Sequence[str], bucket: int | None = Non
     return (rows if bucket is None else rows.where(F.col("_bucket") == bucket)).select(*columns)
 
 
-def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], n: int) -> None:
-    """A table whose files are dealt out by key; two such tables with the same number of buckets join without a shuffle. Rows are dealt out
-    before they are written, so a bucket is one file and not one for each task."""
-    df.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], n: int, path: str) -> None:
+    """A table whose files, in a folder of its own, are dealt out by key; two such tables with the same number of buckets join without a
+    shuffle. Rows are dealt out before they are written, so a bucket is one file and not one for each task. A table of that name must
+    not exist: nothing is replaced under a reader. It is dropped from the catalogue when the program ends; its files stay where they are."""
+    df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    atexit.register(_forget, df.sparkSession, table)
 
 
-def buckets_for(df: DataFrame) -> int:
-    """A power-of-two number of buckets of about TARGET_BYTES, from the size that Spark's statistics give for a table."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return math.prod(bucket_levels(size, 1, 1))
+def _forget(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and its catalogue with it
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+
+
+#: Bytes of a value of the types that have a fixed width; any other is measured.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
 
 
-def allow_unlike_buckets(spark) -> None:
-    """From now on this session reads, of two bucketed tables that are joined, the one with more buckets in as many as the other has,
-    where their numbers divide; else Spark shuffles one of them."""
-    spark.conf.set("spark.sql.bucketing.coalesceBucketsInJoin.enabled", "true")
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the columns that a table has, not of the files it comes from: rows times the widths of its types, and the measured
+    lengths of texts, binaries and nested values. One scan, of the columns without a fixed width."""
+    fixed = sum(WIDTHS.get(kind, 16 if kind.startswith("decimal") else 0) for _, kind in df.dtypes)
+    loose = [(c, kind) for c, kind in df.dtypes if kind not in WIDTHS and not kind.startswith("decimal")]
+    length = [F.octet_length(F.col(f"`{c}`") if kind in ("string", "binary") else F.to_json(F.struct(F.col(f"`{c}`")))) for c, kind in loose]
+    rows, text = df.agg(F.count(F.lit(1)), F.sum(reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0)).cast("long") for n in length), F.lit(0).cast("long")))).first()
+    return rows * fixed + (text or 0)
+
+
+def buckets_for(df: DataFrame) -> int:
+    """A power-of-two number of buckets of about TARGET_BYTES each."""
+    return math.prod(bucket_levels(table_bytes(df), 1, 1))
+
+
+def session_of_unlike_buckets(spark: SparkSession) -> SparkSession:
+    """A session beside this one, over the same catalogue, that reads, of two bucketed tables that are joined, the one with more buckets
+    in as many as the other has, where their numbers divide; else Spark shuffles one of them. This one's settings stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.bucketing.coalesceBucketsInJoin.enabled", "true")
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    return own

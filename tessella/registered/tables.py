@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -300,9 +300,9 @@ def b4_bucket_stats(spark, d):
 
 
 def bucketed(spark, d, name, key, n):
-    """A table of the warehouse, dealt out by its key; a later call over the same input replaces it, so none are left behind."""
-    saved = f"{name}_by_{n}_{zlib.crc32(d.encode()):08x}"
-    layout.save_bucketed(table(spark, d, name).withColumnRenamed(key, "k"), saved, ["k"], n)
+    """A table dealt out by its key, under a name and in a folder of its own, so that no call meets the files of another."""
+    saved = f"{name}_by_{n}_{uuid.uuid4().hex}"
+    layout.save_bucketed(table(spark, d, name).withColumnRenamed(key, "k"), saved, ["k"], n, work_dir(spark))
     return spark.table(saved)
 
 
@@ -321,8 +321,8 @@ def b5_co_partitioned(spark, d):
 @query(JOINED)
 def b3_join_of_unlike_buckets(spark, d):
     """Tables of 8 and of 4 buckets: Spark reads two of the 8 as one of the 4, and neither side is shuffled."""
-    layout.allow_unlike_buckets(spark)
-    return by_status(bucketed(spark, d, "lineitem", "l_orderkey", 8), bucketed(spark, d, "orders", "o_orderkey", 4))
+    own = layout.session_of_unlike_buckets(spark)
+    return by_status(bucketed(own, d, "lineitem", "l_orderkey", 8), bucketed(own, d, "orders", "o_orderkey", 4))
 
 
 @query("SELECT l_orderkey AS k, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (1, 33, 70)")
