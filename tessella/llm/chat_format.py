@@ -156,14 +156,14 @@ def _runs(batches):
 _OUT = pa.schema([("conv_id", pa.int64()), ("block", pa.int32()), ("place", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("action", pa.string()), ("rendered", pa.string())])
 
 
-def repaired(conversations: DataFrame) -> DataFrame:
+def repaired(conversations: DataFrame, width: int | None = None) -> DataFrame:
     """The legal turns of every conversation at the least cost.
 
     One row a turn of the input and a row for each empty turn: conv_id, block and place (their order), turn (null for an empty
     turn), role, text, action (keep, merge, relabel, relabel and merge, insert) and rendered; the rendered pieces of a
     conversation in order are its chat text, in which ``<|`` stands for a control marker alone (see ``escaped``). A conversation may be
-    longer than a task can hold, so its pieces are never put together here. Turns are in order of turn, role and text (nulls first), so ties and repeated rows
-    have a fixed order. Unknown and null roles are relabelled; a null text is empty; a null conv_id is a conversation like any
+    longer than a task can hold, so its pieces are never put together here. Turns are in order of turn, role, the text's first 64 characters and a hash of it (nulls first);
+    partitions are cut along the same order, so ties and repeated rows have a fixed one, whatever the number of partitions (``width``). Unknown and null roles are relabelled; a null text is empty; a null conv_id is a conversation like any
     other. Only these four columns are read. An empty table gives no rows.
 
     Rows are dealt out by ranges of conversation and turn, so a conversation of any length is shared by many tasks; two
@@ -172,9 +172,10 @@ def repaired(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     ship(spark)
     shared_dir(spark)
-    order = ["conv_id", "turn", "role", "text"]
-    dealt = conversations.select(*order).repartitionByRange(shuffle_width(spark), "conv_id", "turn", F.xxhash64("role", "text"))
-    base = dealt.sortWithinPartitions(*order).checkpoint()
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    order = ["conv_id", "turn", "role", F.left("text", F.lit(64)), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(width or shuffle_width(spark), *order)
+    base = dealt.sortWithinPartitions(*order, "text").checkpoint()
 
     def summed(batches):
         first = last = None
