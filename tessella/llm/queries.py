@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontam, language, lm_scoring, neighbour_votes, packing, quality_rules, simhash, substrings, url_filters
+from tessella.llm import chat_format, decontam, hard_negatives, language, lm_scoring, neighbour_votes, packing, projection_forest, quality_rules, simhash, substrings, url_filters
 from tessella.llm.common import read_table
 
 
@@ -77,6 +77,15 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(read_table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 100 = 0")
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
@@ -88,8 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
 }
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op6_url_filters": url_filters.oracle_sql(URL_RULES),
 }
