@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontam, hard_negatives, language, lm_scoring, neighbour_votes, packing, projection_forest, quality_rules, simhash, substrings, url_filters
+from tessella.llm import chat_format, collocations, decontam, hard_negatives, language, lm_scoring, neighbour_votes, packing, projection_forest, quality_rules, simhash, substrings, url_filters
 from tessella.llm.common import read_table
 
 
@@ -86,6 +86,10 @@ def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
@@ -99,9 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op6_url_filters": url_filters.oracle_sql(URL_RULES),
 }
