@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +11,7 @@ from tessella.functions.states import BitmapActivity, Lifetime, PrependList
 from tessella.operators import entity
 from tessella.plans.spec import EntityTable, Family
 from tessella.sources.events import derive_partition
+from tessella.sources.shared import work_dir  # noqa: F401  for the queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,12 +74,3 @@ c AS (SELECT user_id AS entity_id, count(*) AS clicks, max(k) AS top_k FROM ev W
 p AS (SELECT user_id AS entity_id, round(sum(value), 2) AS spend, count(*) AS purchases FROM ev WHERE event_type = 'purchase' GROUP BY 1),
 st AS (SELECT entity_id, view_count, view_value, clicks, top_k, spend, purchases FROM v FULL JOIN c USING (entity_id) FULL JOIN p USING (entity_id))"""
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or, if all run in one process and it is unset, a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -7,10 +7,13 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tessella.sources.shared import shared_dir
+
 #: Declared types and the Spark types they are stored as.
 TYPES = {"string": "string", "int32": "int", "int64": "bigint", "float": "float", "double": "double", "boolean": "boolean", "timestamp": "timestamp", "date": "date", "json": "string"}
 IMPLICIT = {"event_id": "string", "event_timestamp": "timestamp", "ds": "string", "hour": "string"}
@@ -103,35 +106,69 @@ def ingest_lag(rows: DataFrame, marks: DataFrame, part: str, order: list[str], t
 
 
 def dedup_ttl(df: DataFrame, key: list[str], time: str, seconds: int) -> DataFrame:
-    """The events (whole rows) that are accepted: those without an accepted event of their key up to ``seconds`` before them. Of events
-    of one key and time the first by its other columns counts. ``time`` is a number of seconds or a timestamp.
-
-    Events are first cut into bursts, at gaps longer than the window; a burst's first event is accepted whatever came before. Bursts
-    are dealt out, so a hot key is shared by as many tasks as it has bursts, and each is read through in order of time with the
-    last accepted time at hand: nothing is gathered. A key that never pauses is one burst, which one task reads through.
+    """The events (whole rows) that are accepted: those without an accepted event of their key up to ``seconds`` before them. ``time`` is a
+    number of seconds or a timestamp; events without one are dropped. Of events of one key and time the first
+    counts, by its JSON text's first 64 characters and then a hash of it. A null key is a key like any other.
+
+    Events are dealt out by ranges of key and time, so a hot key is shared by as many tasks as it fills, and each is read through in order
+    with the last accepted time at hand. What a task must know is that time as its first event comes. The part of a key that begins in an
+    earlier task is a function from the last accepted time on entry to that on exit, a table of jumps; the tables of a key are put
+    together in order, and one time a task comes to the driver. A table has an entry for each change of the exit among the events of the first
+    window at most: 16 bytes each, while rows stay where they are.
     """
+    spark = df.sparkSession
+    shared_dir(spark)
     kind = dict(df.dtypes)[time]
     clock, width = (F.unix_micros(F.col(time).cast("timestamp")), seconds * 1_000_000) if kind.startswith("timestamp") else (F.col(time).cast("long"), seconds)
-    rows = df.select(F.struct(*df.columns).alias("row"), clock.alias("t"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(key)))
-    names = [f"k{i}" for i in range(len(key))]
-    own = Window.partitionBy(*names).orderBy("t")
-    head = F.coalesce((F.col("t") - F.lag("t").over(own)) > width, F.lit(True))
-    cut = rows.withColumn("head", head).withColumn("burst", F.sum(F.col("head").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = cut.repartition(*names, "burst").sortWithinPartitions(*names, "burst", "t", F.to_json("row")).select("row", "t", "burst", *names)
+    text = F.to_json(F.struct(*df.columns))
+    rows = df.select(F.to_json(F.struct(*key)).alias("g"), clock.alias("t"), F.struct(*df.columns).alias("row"), F.left(text, F.lit(64)).alias("a"), F.xxhash64(text).alias("b")).where("t is not null")
+    order = ["g", "t", "a", "b"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("g", "t", "row").checkpoint()
+
+    def tables(batches):
+        """Of the first and the last key of a partition: its jumps, or, where it begins there, the last accepted time alone."""
+        first, first_t, last, last_t = None, [], None, []
+        for batch in batches:
+            t = batch.column(1).to_numpy(zero_copy_only=False)
+            for g, at, end in _key_runs(batch.column(0)):
+                first = g if first is None else first
+                if g == first:
+                    first_t.append(t[at:end])
+                if g != last:
+                    last, last_t = g, []
+                last_t.append(t[at:end])
+        part = TaskContext.get().partitionId()
+        if first is not None:
+            yield _jump_row(part, first, True, *jumps(np.concatenate(first_t), width))
+            if last != first:
+                exits = jumps(np.concatenate(last_t), width)[1]
+                yield _jump_row(part, last, False, exits[:0], exits[:1])
+
+    def walked(batches):
+        key_now, now = None, None
+        for batch in batches:
+            for part, g, entered, ends, exits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != key_now:
+                    key_now, now = g, None
+                if not entered:
+                    now = exits[0]
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([now], pa.int64())], ["part", "entry"])
+                now = after(np.array(ends), np.array(exits), now, width)
+
+    found = dealt.select("g", "t").mapInArrow(tables, "part int, g string, entered boolean, ends array<long>, exits array<long>")
+    entries = found.repartition("g").sortWithinPartitions("g", "part").mapInArrow(walked, "part int, entry long")
+    entry = {r.part: r.entry for r in entries.collect() if r.entry is not None}  # one row a task
 
     def accept(batches):
-        last, before = None, None
+        last, before, begun = entry.get(TaskContext.get().partitionId()), None, False
         for batch in batches:
-            t = batch.column(1).to_numpy(zero_copy_only=False)
-            groups = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
-            keep, at = np.zeros(len(t), bool), 0
-            new = [True] * len(t)
-            for k, now in enumerate(zip(*groups, strict=True)):
-                new[k], before = now != before, now
-            edges = [0, *(k for k in range(1, len(t)) if new[k]), len(t)]
-            for at, end in pairwise(edges):
-                if at < end and new[at]:
+            t, keep = batch.column(1).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+            for g, at, end in _key_runs(batch.column(0)):
+                if begun and g != before:
                     last = None
+                before, begun = g, True
                 while at < end:
                     if last is not None:
                         at += int(np.searchsorted(t[at:end], last + width, "right"))
@@ -140,7 +177,42 @@ def dedup_ttl(df: DataFrame, key: list[str], time: str, seconds: int) -> DataFra
                     keep[at], last = True, t[at]
             yield batch.select(["row"]).filter(pa.array(keep))
 
-    return runs.mapInArrow(accept, StructType([StructField("row", runs.schema["row"].dataType)])).select("row.*")
+    return dealt.mapInArrow(accept, StructType([StructField("row", dealt.schema["row"].dataType)])).select("row.*")
+
+
+def _key_runs(keys: pa.Array) -> list[tuple[str, int, int]]:
+    """(key, from, to) of the runs of equal keys of a batch."""
+    codes = keys.dictionary_encode()
+    at = codes.indices.to_numpy()
+    edges = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)] if len(at) else np.zeros(1, int)
+    return [(codes.dictionary[int(at[a])].as_py(), int(a), int(b)) for a, b in pairwise(edges)]
+
+
+def jumps(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last accepted time on exit from events at sorted times, by the time before which none can be accepted: ``exits[i]`` holds for the
+    first ``ends`` beyond it. Nobody enters with more than one window to wait."""
+    n = len(t)
+    follow = np.searchsorted(t, t + width, "right")  # the next event that is accepted after each
+    last = np.where(follow < n, follow, np.arange(n))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    reach = min(n, int(np.searchsorted(t, t[0] + width, "right")) + 1)
+    exits = t[last[:reach]]
+    change = np.flatnonzero(np.r_[exits[1:] != exits[:-1], True])
+    return t[change], exits[change]
+
+
+def after(ends: np.ndarray, exits: np.ndarray, entry: int | None, width: int) -> int:
+    """The last accepted time on exit, for the one on entry."""
+    k = 0 if entry is None else int(np.searchsorted(ends, entry + width, "right"))
+    return int(exits[k]) if k < len(exits) else entry
+
+
+def _jump_row(part: int, g: str, entered: bool, ends: np.ndarray, exits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([g]), pa.array([entered]), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([exits.tolist()], pa.list_(pa.int64()))], ["part", "g", "entered", "ends", "exits"])
 
 
 def dedup_exact(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

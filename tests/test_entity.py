@@ -213,3 +213,48 @@ def test_entry_works_without_the_optional_folders(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) <= set(q), any(n.startswith('op') for n in q))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, check=False)
     assert said.stdout.split()[1:] == ["True", "False"], said.stderr[-500:]
+
+
+def ttl(times, width):
+    kept = []
+    for t in sorted(times):
+        if not kept or t - kept[-1] > width:
+            kept.append(t)
+    return kept
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_ttl_of_a_hot_key(spark, parts):
+    """One key has most events and never pauses; its part of every task depends on the one before. No exchange is by the key alone."""
+    import random
+
+    rng = random.Random(6)
+    rows = [("hot", rng.randrange(5000)) for _ in range(3000)] + [("same", 77)] * 500 + [(f"k{rng.randrange(40)}", rng.randrange(900)) for _ in range(400)] + [(None, t) for t in (1, 2, 90)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for width in (3, 60, 4000):
+            out = log.dedup_ttl(spark.createDataFrame(rows, "id string, t long"), ["id"], "t", width)
+            got = {}
+            for r in out.collect():
+                got.setdefault(r.id, []).append(r.t)
+            assert {k: sorted(v) for k, v in got.items()} == {k: ttl([t for i, t in rows if i == k], width) for k in {i for i, _ in rows}}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_jumps_compose():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(300):
+        width = rng.randrange(1, 30)
+        t = np.sort(np.array([rng.randrange(100) for _ in range(rng.randrange(1, 40))]))
+        cut = rng.randrange(len(t) + 1)
+        now = None
+        for part in (t[:cut], t[cut:]):
+            if len(part):
+                now = log.after(*log.jumps(part, width), now, width)
+        assert now == ttl(t.tolist(), width)[-1]
