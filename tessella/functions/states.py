@@ -25,6 +25,12 @@ def _plus(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
+def _folded(strategy, state: Column) -> Column:
+    """States merged one after the other. For a number of states that something else bounds: all of them are gathered."""
+    states = F.collect_list(F.struct(state.alias("s")))  # in a struct, so that nulls are not left out of sight of merge
+    return F.when(F.size(states) > 0, F.reduce(F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(0))), F.element_at(states, 1)["s"], lambda a, b: strategy.merge(a, b["s"])))
+
+
 @dataclass(frozen=True)
 class Lifetime:
     """An aggregate over the whole life of an entity. fn: sum, count, count_if, min, max, avg, first, last, count_distinct,
@@ -90,6 +96,12 @@ class Lifetime:
         union = F.array_union(F.coalesce(old, empty), F.coalesce(new, empty)) if self.fn == "count_distinct" else F.coalesce(F.hll_union(old, new), old, new)
         return self._fold(lambda f: _plus(part(old, f), part(new, f)), lambda: F.least(old, new), lambda: F.greatest(old, new), lambda: union)
 
+    def combine(self, state: Column) -> Column:
+        """An aggregate over several states of a key, in any order."""
+        if self.fn in self.MOMENTS or self.fn == "count_distinct":
+            return _folded(self, state)
+        return self._fold(lambda f: F.sum(state if f is None else state[f]), lambda: F.min(state), lambda: F.max(state), lambda: F.hll_union_agg(state))
+
     def anchor(self, delta: Column, life: Life) -> Column | None:
         """What ``running`` needs beforehand: for moments a value near the mean, to which distances are taken."""
         return F.first(delta["m"], ignorenulls=True).over(life.all) if self.fn in self.MOMENTS else None
@@ -135,6 +147,9 @@ class PrependList:
     def merge(self, old: Column, new: Column) -> Column:
         return F.coalesce(self._newest(F.concat(old, new)), old, new)
 
+    def combine(self, state: Column) -> Column:
+        return _folded(self, state)
+
     def anchor(self, delta: Column, life: Life) -> None:
         return None
 
@@ -181,6 +196,9 @@ class BitmapActivity:
         both = F.zip_with(F.split(moved, ""), F.split(F.coalesce(new, moved), ""), lambda a, b: F.greatest(a, b))
         return F.array_join(both, "")
 
+    def combine(self, state: Column) -> Column:
+        return _folded(self, state)
+
     def anchor(self, delta: Column, life: Life) -> None:
         return None
 

@@ -169,6 +169,19 @@ def t2_dedup_stream(spark, d):
     return spark.read.parquet(f"{out}/data").groupBy(F.col("event_type").cast("string").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query(_TTL)
+def t2_dedup_ttl_stream(spark, d):
+    """The same events as a stream of files in no order of time, within the delay; a last file moves the watermark past them all."""
+    own, out = jobs.rocks(spark), work_dir(spark)
+    rows = table(own, d, "events").select((F.col("event_id") % 50).alias("id"), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at"))
+    rows.repartition(3).write.parquet(f"{out}/log")
+    end = rows.agg(F.lit(-1).cast("long").alias("id"), (F.max("at") + F.expr("interval 100 days")).alias("at"))
+    end.coalesce(1).write.mode("append").parquet(f"{out}/log")
+    stream = jobs.event_stream(own, f"{out}/log", "*.parquet", rows.schema, 2)
+    jobs.ingest(jobs.dedup_ttl_stream(stream, ["id"], "at", 43200, "60 days"), f"{out}/data", f"{out}/checkpoint", ()).awaitTermination()
+    return own.read.parquet(f"{out}/data").where("id >= 0").select("id", F.unix_seconds("at").alias("t"))
+
+
 @query("SELECT event_id, user_id, value FROM events")
 def t3_dedup_exact(spark, d):
     rows = table(spark, d, "events")
@@ -215,9 +228,9 @@ def _streamed(spark, d, family, where, day=None):
     """A family kept up to date by a stream of files in no order of time, one a batch."""
     out = work_dir(spark)
     rows = ev(spark, d).where(where)
-    rows.repartition(3, "event_id").write.parquet(f"{out}/log")
-    jobs.stream_family(jobs.event_stream(spark, f"{out}/log", "*.parquet", rows.schema, 1), family, f"{out}/state", f"{out}/checkpoint", 4).awaitTermination()
-    return entity.render(jobs.family_states(spark, f"{out}/state"), family, day)
+    rows.repartition(5, "event_id").write.parquet(f"{out}/log")
+    jobs.stream_family(jobs.event_stream(spark, f"{out}/log", "*.parquet", rows.schema, 1), family, f"{out}/state", f"{out}/checkpoint", 2).awaitTermination()
+    return entity.render(jobs.family_states(spark, f"{out}/state", family), family, day)
 
 
 _LAST = entity.day_number("2024-01-30")

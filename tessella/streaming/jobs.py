@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tessella.operators.entity import family_delta, merge, seed
+from tessella.operators.entity import total
 from tessella.plans.spec import Family
+from tessella.sources.shared import remove
 
 
 def event_stream(spark, folder: str, pattern: str, schema, per_batch: int | None = None) -> DataFrame:
@@ -34,64 +36,153 @@ def dedup_stream(stream: DataFrame, time: str, keys: Sequence[str], window: str)
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, window).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_family(stream: DataFrame, family: Family, path: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
-    """Keeps a family's states up to date under ``path``: each batch is aggregated and merged into the states it touches.
+def stream_family(stream: DataFrame, family: Family, path: str, checkpoint: str, fan: int = 8) -> StreamingQuery:
+    """Keeps a family's states up to date under ``path``, in runs that are written once.
 
-    States lie in buckets by a hash of the key; a batch writes new files for the buckets that have its keys, under its number, and
-    leaves the others. The newest files of each bucket are its states (``family_states``); older ones than those a batch has read are
-    removed. A batch that is run again after a failure reads what it read and writes the same files again, so nothing counts twice.
-    States are ordered or sets, so rows may come late.
+    A batch is aggregated and written as a run of its own, so it writes in proportion to the keys it touches. When a level has ``fan`` runs
+    they are combined into one of the next level: a state is written again once a level, of which there are as many as the logarithm
+    of the number of batches to the base ``fan``. After its runs a batch writes a log entry that names all that are live, and only what the
+    newest entry names is read (``family_states``): a batch that has not ended does not show, and one that is run again after a failure
+    finds its entry, or writes the same run again, so nothing counts twice. Runs and entries that the last but one entry does not name are
+    removed. States merge in any order, so rows may come late.
     """
     keys = list(family.keys.values())
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        delta = family_delta(batch, family, ()).withColumn("bucket", _bucket(keys, buckets)).persist()
-        touched = [r[0] for r in delta.select("bucket").distinct().collect()]  # at most ``buckets``
-        places = _newest(spark, path, number)
-        old = [places[b] for b in touched if b in places]
-        fresh = delta.drop("bucket")
-        state = merge(_read(spark, path, old), fresh, family, keys) if old else seed(fresh, family)
-        out = state.select(*keys, *family.columns).withColumn("bucket", _bucket(keys, buckets))
-        out.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
-        delta.unpersist()
-        _remove(spark, [p for p in _places(spark, path) if p[0] < places.get(p[1], (number,))[0]])
+        logged = _log(spark, path)
+        if number in logged:
+            return
+        live = logged[max(logged)] if logged else []
+        fresh = _name(0, number, number)
+        total(batch, family).write.mode("overwrite").parquet(f"{path}/{fresh}")
+        runs, level = [*live, fresh], 0
+        while len(full := [r for r in runs if _level(r) == level]) >= fan:
+            up = _name(level + 1, _batches(full[0])[0], _batches(full[-1])[1])
+            combined(_runs(spark, path, full), family, keys).write.mode("overwrite").parquet(f"{path}/{up}")
+            runs, level = [*(r for r in runs if r not in full), up], level + 1
+        spark.createDataFrame([(sorted(runs, key=_batches),)], "runs array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/log/v={number}")
+        for v in sorted(logged)[:-1]:
+            for r in logged[v]:
+                if r not in live and r not in runs:
+                    remove(spark, f"{path}/{r}")
+            remove(spark, f"{path}/log/v={v}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def family_states(spark: SparkSession, path: str) -> DataFrame:
-    """The states that ``stream_family`` keeps under ``path``."""
-    return _read(spark, path, list(_newest(spark, path).values())).drop("v", "bucket")
+def combined(states: DataFrame, family: Family, keys: Sequence[str]) -> DataFrame:
+    """One state for each key of the states of several runs, by the strategies' own rules."""
+    return states.groupBy(*keys).agg(*(s.combine(F.col(n)).alias(n) for n, s in family.columns.items()))
 
 
-def _bucket(keys: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+def family_states(spark: SparkSession, path: str, family: Family) -> DataFrame:
+    """The states that ``stream_family`` keeps under ``path``, as of the newest batch that has ended."""
+    logged = _log(spark, path)
+    return combined(_runs(spark, path, logged[max(logged)]), family, list(family.keys.values()))
 
 
-def _places(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
-    """(batch, bucket, folder) of all files of states."""
-    jvm = spark._jvm
-    glob = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/bucket=*")
-    found = glob.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(glob) or []
-    names = [str(f.getPath().toString()) for f in found]
-    return [(int(n.split("/v=")[-1].split("/")[0]), int(n.split("/bucket=")[-1]), n) for n in names]
+def _name(level: int, first: int, last: int) -> str:
+    return f"runs/{level}-{first}-{last}"
 
 
-def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, tuple[int, str]]:
-    """For each bucket the newest (batch, folder), of batches before one if it is given."""
-    newest: dict[int, tuple[int, str]] = {}
-    for v, b, folder in sorted(_places(spark, path)):
-        if before is None or v < before:
-            newest[b] = (v, folder)
-    return newest
+def _level(run: str) -> int:
+    return int(run.split("/")[1].split("-")[0])
 
 
-def _read(spark: SparkSession, path: str, places: Sequence[tuple[int, str]]) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(*(folder for _, folder in places))
+def _batches(run: str) -> tuple[int, int]:
+    _, first, last = run.split("/")[1].split("-")
+    return int(first), int(last)
 
 
-def _remove(spark: SparkSession, places: Sequence[tuple[int, int, str]]) -> None:
-    for _, _, folder in places:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def _log(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """The runs that the entries of the log name; there are three entries at most."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log/v=*/_SUCCESS")
+    ended = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(folder) or []
+    names = [str(f.getPath().getParent().toString()) for f in ended]
+    if not names:
+        return {}
+    rows = spark.read.schema("runs array<string>").json(names).select("runs", F.input_file_name().alias("at")).collect()
+    return {int(r["at"].split("/v=")[-1].split("/")[0].replace("%3D", "=")): r["runs"] for r in rows}
+
+
+def _runs(spark: SparkSession, path: str, runs: Sequence[str]) -> DataFrame:
+    return spark.read.parquet(*(f"{path}/{r}" for r in runs))
+
+
+class _TimeToLive(StatefulProcessor):
+    """Of a key: the last accepted time, and the rows that wait for the watermark."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+        self.waiting = handle.getListState("waiting", "t long, row string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for batch in rows:
+            self.waiting.appendList(list(zip(batch["t"].tolist(), batch["row"].tolist(), strict=True)))
+            self.handle.registerTimer(_milliseconds(int(batch["t"].min())))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        rows = sorted(self.waiting.get())
+        due = [r for r in rows if _milliseconds(r[0]) <= now]  # of these none comes any more
+        last = before = self.last.get()[0] if self.last.exists() else None
+        for t, row in due:
+            if last is None or t - last > self.width:
+                last = t
+                out.append(row)
+        if rest := rows[len(due) :]:
+            self.waiting.put(rest)
+            self.handle.registerTimer(_milliseconds(rest[0][0]))
+        elif rows:
+            self.waiting.clear()
+        if last != before:
+            self.last.update((last,))
+        if last is not None and not rest:
+            if _milliseconds(last + self.width) < now:  # its window is over
+                self.last.clear()
+            else:
+                self.handle.registerTimer(_milliseconds(last + self.width) + 1)
+        return iter([pd.DataFrame({"row": out})] if out else ())
+
+    def close(self) -> None:
+        pass
+
+
+def _milliseconds(t: int) -> int:
+    """A time in microseconds, rounded up: no later event of that millisecond comes once the watermark is there."""
+    return -(-t // 1000)
+
+
+def rocks(spark: SparkSession) -> SparkSession:
+    """A session beside this one whose streams keep their state in RocksDB, which states with timers need."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
+
+
+#: Times in a waiting row's text, to the microsecond.
+STAMPS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def dedup_ttl_stream(stream: DataFrame, key: Sequence[str], time: str, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """``sources.events.dedup_ttl`` on a stream: an event passes if no accepted event of its key lies up to ``seconds`` before it.
+
+    An event waits until the watermark (the newest time seen less ``delay``) has passed it, so events that come late by no more than
+    ``delay`` take their place in order of time; later ones are dropped, as Spark does. Of a key there is kept the last accepted time, until
+    its window is over, and what waits; both in the state store, with timers. Of events of one key and time one waits, the first in order
+    of its JSON text. The session must keep states in RocksDB (``rocks``).
+    """
+    clock = F.col(time).cast("timestamp")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    rows = stream.select(F.to_json(F.struct(*key)).alias("g"), F.unix_micros(clock).alias("t"), F.to_json(F.struct(*stream.columns), STAMPS).alias("row"), clock.alias("at"))
+    ready = rows.where(F.col("t").isNotNull()).withWatermark("at", delay)
+    once = ready.groupBy("g").transformWithStateInPandas(_TimeToLive(seconds * 1_000_000), "row string", "Append", "EventTime")
+    return once.select(F.from_json("row", schema, STAMPS).alias("r")).select("r.*")
