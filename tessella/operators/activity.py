@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.states import PackedActivity, current_streak, longest_streak, masked
+
 EPOCH = "1970-01-01"
 
 
@@ -59,3 +64,72 @@ def retention(days: DataFrame, key: str) -> DataFrame:
     """Entities by first active day and days since then."""
     first = days.withColumn("cohort", F.min("day").over(Window.partitionBy(key)))
     return first.groupBy("cohort", (F.col("day") - F.col("cohort")).alias("offset")).agg(F.count(F.lit(1)).alias("entities"))
+
+
+# --- from states: no event is read again ----------------------------------------------------------------------------------
+
+
+def sketches_by_day(events: DataFrame, key: str, size: int = 12) -> DataFrame:
+    """(day, s): a theta sketch of each day's active entities, the logarithm of whose size is given."""
+    day = F.datediff(F.to_date("ds"), F.lit(EPOCH).cast("date")).alias("day")
+    return events.where(F.col(key).isNotNull()).groupBy(day).agg(F.theta_sketch_agg(key, size).alias("s"))
+
+
+def churn_from_sketches(days: DataFrame, last: int, width: int) -> DataFrame:
+    """``churn`` from the sketches of days alone: retained, churned, resurrected, new and inactive entities by unions, intersections and
+    differences. Exact as long as no set outgrows its sketch."""
+    def of(condition: Column) -> Column:
+        return F.coalesce(F.theta_union_agg(F.when(condition, F.col("s"))), F.theta_sketch_agg(F.lit(None).cast("long")))
+
+    day = F.col("day")
+    sets = days.where(day <= last).agg(of(day > last - width).alias("now"), of((day <= last - width) & (day > last - 2 * width)).alias("before"), of(day <= last - 2 * width).alias("ever"))
+    both, only = F.theta_intersection, F.theta_difference
+    kinds = {"retained": both("now", "before"), "churned": only("before", "now"), "resurrected": both(only("now", "before"), F.col("ever")), "new": only(only("now", "before"), F.col("ever")), "inactive": only(only("ever", "now"), F.col("before"))}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("state"), F.theta_sketch_estimate(s).alias("entities")) for k, s in kinds.items()))).alias("r")
+    return sets.select(each).select("r.*").where("entities > 0")
+
+
+def retention_from_sketches(days: DataFrame) -> DataFrame:
+    """``retention`` from the sketches of days alone. A cohort is a day's set without those of all days before; it meets each later day's set.
+    Each cohort goes to all days from its own on; what is joined is a sketch a day, however many entities there are."""
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.theta_union_agg("s").over(earlier), F.theta_sketch_agg(F.lit(None).cast("long")).over(earlier))
+    end = F.max("day").over(Window.partitionBy())
+    cohorts = days.select(F.col("day").alias("cohort"), F.theta_difference("s", seen).alias("c"), end.alias("end"))
+    met = cohorts.select("cohort", "c", F.explode(F.sequence("cohort", "end")).alias("day")).join(days, "day")
+    return met.select("cohort", (F.col("day") - F.col("cohort")).alias("offset"), F.theta_sketch_estimate(F.theta_intersection("c", "s")).alias("entities")).where("entities > 0")
+
+
+def reached(sketches: Sequence[Column]) -> dict[str, Column]:
+    """How many entities several sketches hold together, and all of them hold."""
+    union, common = reduce(F.theta_union, sketches), reduce(F.theta_intersection, sketches)
+    return {"any": F.theta_sketch_estimate(union), "all": F.theta_sketch_estimate(common)}
+
+
+def days_of(states: DataFrame, key: str, column: str, activity: PackedActivity, last: int) -> DataFrame:
+    """(key, day number) of the active days that packed states hold, of the window that ends on ``last``."""
+
+    def slots(back: int) -> Column:
+        """Of the 64 slots that end ``back`` before the last, the active ones."""
+        word, width = activity.word(F.col(column), F.lit(last), back), min(64, activity.window - back)
+        every = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.getbit(word, i) == 1, F.lit(last - back) - i))
+        return F.filter(every, lambda s: s.isNotNull())
+
+    return states.where(F.col(key).isNotNull()).select(key, F.explode(F.concat(*(slots(k) for k in range(0, activity.window, 64)))).alias("day"))
+
+
+def streaks_from_states(states: DataFrame, key: str, column: str, activity: PackedActivity, last: int) -> DataFrame:
+    """``streaks`` by bit operations on packed states, whose window must have 64 days at most: streaks are those within it."""
+    if activity.window > 64:
+        raise ValueError("streaks are read from one word: a window of 64 slots at most")
+    word = masked(activity.word(F.col(column), F.lit(last)), activity.window)
+    found = states.select(key, word.alias("x")).where("x <> 0")
+    return found.select(key, longest_streak(F.col("x")).cast("long").alias("longest"), current_streak(F.col("x")).cast("long").alias("current"))
+
+
+def churn_from_states(states: DataFrame, key: str, column: str, activity: PackedActivity, last: int, width: int) -> DataFrame:
+    """``churn`` by counts of bits in the two windows and before, as far as the states' own window goes back."""
+    n = lambda w, back: activity.active(F.col(column), F.lit(last), w, back) > 0
+    flags = states.select(n(width, 0).alias("now"), n(width, width).alias("before"), n(activity.window - 2 * width, 2 * width).alias("ever")).where("now or before or ever")
+    state = F.when(F.col("now") & F.col("before"), "retained").when(F.col("before"), "churned").when(F.col("now") & F.col("ever"), "resurrected").when(F.col("now"), "new").otherwise("inactive")
+    return flags.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("entities"))

@@ -7,10 +7,11 @@ from dataclasses import replace
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from tessella.functions.states import ORDER, BitmapActivity, Life, Lifetime, PrependList
+from tessella.functions.states import ORDER, BitmapActivity, Life, Lifetime, PackedActivity, PrependList
 from tessella.plans.spec import EntityTable, Family
 
 
@@ -66,22 +67,49 @@ def merge(previous: DataFrame, delta: DataFrame, family: Family, keys: Sequence[
 def cumulate(deltas: DataFrame, family: Family, keys: Sequence[str], period: str = "ds", before: DataFrame | None = None) -> DataFrame:
     """Every period's cumulative states in one pass: a window over each key's periods instead of a loop of merges.
 
-    ``before``: the states of each key at an earlier period (with that period), which count as its first row.
+    ``before``: the states of each key at an earlier period (with that period), which count as its first row. Exact counts of distinct values
+    are not sets here but numbers: every value counts in the period in which it is first seen, and the counts are added up.
     """
     rows = deltas.withColumn("__kept", F.lit(True))
     if before is not None:
         rows = before.select(*keys, period, *(F.col(n).alias(f"{n}__delta") for n in family.columns), F.lit(False).alias("__kept")).unionByName(rows)
+    sets = [n for n, s in family.columns.items() if isinstance(s, Lifetime) and s.fn == "count_distinct"]
+    if sets:
+        firsts = [first_seen(rows.select(*keys, period, F.explode(f"{n}__delta").alias("v")), [*keys, "v"], period) for n in sets]
+        news = [f.groupBy(*keys, period).agg(F.count(F.lit(1)).alias(f"{n}__new")) for n, f in zip(sets, firsts, strict=True)]
+        rows = stitch([rows, *news], [*keys, period], zero=[f"{n}__new" for n in sets])
     life = Life(tuple(keys), period, F.datediff(F.to_date(F.substring(F.col(period), 1, 10)), F.lit("1970-01-01").cast("date")))
     anchors = {f"{n}__anchor": a for n, s in family.columns.items() if (a := s.anchor(F.col(f"{n}__delta"), life)) is not None}
-    running = {n: s.running(F.col(f"{n}__delta"), life, F.col(f"{n}__anchor") if f"{n}__anchor" in anchors else None) for n, s in family.columns.items()}
-    states = rows.withColumns(anchors).select(*keys, period, "__kept", *(F.col(f"{n}__delta") for n in family.columns), *(c.alias(n) for n, c in running.items()))
+    running = {n: s.running(F.col(f"{n}__delta"), life, F.col(f"{n}__anchor") if f"{n}__anchor" in anchors else None) for n, s in family.columns.items() if n not in sets}
+    running |= {n: F.sum(f"{n}__new").over(life.all) for n in sets}
+    states = rows.withColumns(anchors).select(*keys, period, "__kept", *(F.col(f"{n}__delta") for n in family.columns), *(running[n].alias(n) for n in family.columns))
     return (states if before is None else states.where("__kept")).drop("__kept")
 
 
+def first_seen(rows: DataFrame, values: Sequence[str], period: str) -> DataFrame:
+    """The period in which each value was first seen. Such tables merge by taking the lesser period, and grow with the values, not with
+    values times periods."""
+    return rows.groupBy(*values).agg(F.min(period).alias(period))
+
+
+def running_distinct(events: DataFrame, keys: Sequence[str], value: str, period: str = "ds") -> DataFrame:
+    """(keys, period, new, total): how many values of each key are first seen in a period, and up to it; periods without a new one have no
+    row. No set is held, so a key may have any number of values: they are spread over all tasks by value."""
+    rows = events.where(F.col(value).isNotNull()).select(*keys, value, period)
+    new = first_seen(rows, [*keys, value], period).groupBy(*keys, period).agg(F.count(F.lit(1)).alias("new"))
+    return new.withColumn("total", F.sum("new").over(Window.partitionBy(*keys).orderBy(period).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def render(states: DataFrame, family: Family, as_of: str | None = None, period: str = "ds") -> DataFrame:
     """States as readers see them; bitmaps end at ``as_of``, or at each row's own period."""
     day = F.lit(day_number(as_of)) if as_of else F.datediff(F.to_date(F.col(period)), F.lit("1970-01-01").cast("date"))
-    return states.withColumns({n: s.bits(F.col(n), s.last(day)) if isinstance(s, BitmapActivity) else s.read(F.col(n)) for n, s in family.columns.items()})
+
+    def shown(n: str, s) -> Column:
+        if isinstance(s, (BitmapActivity, PackedActivity)):
+            return s.bits(F.col(n), s.last(day))
+        return F.col(n) if isinstance(s, Lifetime) and s.fn == "count_distinct" and states.schema[n].dataType == LongType() else s.read(F.col(n))
+
+    return states.withColumns({n: shown(n, s) for n, s in family.columns.items()})
 
 
 def state_at(events: DataFrame, family: Family, day: str, period: str = "ds") -> DataFrame:

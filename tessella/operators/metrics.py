@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,14 +47,85 @@ def cube(source: DataFrame, dims: Sequence[str], measures: Mapping[str, str], ki
     return getattr(source, kind)(*dims).agg(*(F.expr(e).alias(n) for n, e in measures.items()), *more)
 
 
-def from_cube(pre: DataFrame, cube_dims: Sequence[str], dims: Sequence[str], again: Mapping[str, str]) -> DataFrame:
-    """A query answered from a cube: its dimensions must be among the cube's, its measures sums, counts, minima or maxima
-    (``again``: measure to sum, min or max)."""
+#: How a cube's measures are aggregated again: by name of the function, or for sketches what is read from their union.
+AGAIN = {
+    "sum": F.sum, "min": F.min, "max": F.max,
+    "distinct": lambda m: F.theta_sketch_estimate(F.theta_union_agg(m)),
+}
+
+
+def from_cube(pre: DataFrame, cube_dims: Sequence[str], dims: Sequence[str], again: Mapping[str, str | float]) -> DataFrame:
+    """A query answered from a cube: its dimensions must be among the cube's, its measures sums, counts, minima or maxima (``again``: measure
+    to sum, min or max), or sketches: ``distinct`` reads a distinct count from theta sketches, a number from 0 to 1 that percentile from
+    KLL sketches."""
     if not set(dims) <= set(cube_dims):
         raise ValueError(f"the cube has no {sorted(set(dims) - set(cube_dims))}")
-    if bad := [f for f in again.values() if f not in ("sum", "min", "max")]:
+    if bad := [f for f in again.values() if isinstance(f, str) and f not in AGAIN]:
         raise ValueError(f"{bad} cannot be aggregated again")
-    return pre.groupBy(*dims).agg(*(getattr(F, f)(m).alias(m) for m, f in again.items()))
+
+    def read(m: str, f: str | float) -> Column:
+        return AGAIN[f](F.col(m)) if isinstance(f, str) else F.kll_sketch_get_quantile_double(F.kll_merge_agg_double(m), F.lit(float(f)))
+
+    return pre.groupBy(*dims).agg(*(read(m, f).alias(m) for m, f in again.items()))
+
+
+@dataclass(frozen=True)
+class Cube:
+    """A written cube: its rows by its dimensions, with the measures it has, and how many rows there are."""
+
+    rows: DataFrame
+    dims: tuple[str, ...]
+    measures: tuple[str, ...]
+    size: int
+
+
+def smallest_cube(cubes: Sequence[Cube], dims: Sequence[str], measures: Sequence[str]) -> Cube:
+    """Of the cubes that have all dimensions and measures of a question the one with the fewest rows."""
+    able = [c for c in cubes if set(dims) <= set(c.dims) and set(measures) <= set(c.measures)]
+    if not able:
+        raise ValueError(f"no cube has {sorted({*dims, *measures})}")
+    return min(able, key=lambda c: c.size)
+
+
+def history(steps: DataFrame, keys: Sequence[str], periods: Sequence[str], attributes: Sequence[str], measures: Sequence[str], period: str = "ds") -> DataFrame:
+    """Totals of measures by attributes as they were, for each of some periods: (period, attributes, measures, entities).
+
+    ``steps`` has a row for each change of an entity: keys, period, attributes and measures as they are from then on; a null attribute is a
+    value like any other. Each change takes the entity's measures from the total of its attributes before and adds them to that of its
+    attributes now, so rows grow with changes, never with entities times periods. Measures are added up in decimals, which do not drift.
+    """
+    life = Window.partitionBy(*keys).orderBy(period)
+    exact = {m: F.col(m).cast("decimal(28, 6)") for m in measures}
+    before = {f"__{c}": F.lag(exact.get(c, F.col(c))).over(life) for c in (*attributes, *measures)}
+    moved = steps.withColumns(before).withColumn("__first", F.row_number().over(life) == 1)
+    added = moved.select(period, *attributes, *(F.coalesce(exact[m], F.lit(0)).alias(m) for m in measures), F.lit(1).alias("entities"))
+    taken = moved.where("not __first").select(period, *(F.col(f"__{a}").alias(a) for a in attributes), *((-F.coalesce(F.col(f"__{m}"), F.lit(0))).alias(m) for m in measures), F.lit(-1).alias("entities"))
+    changes = added.unionByName(taken).groupBy(period, *attributes).agg(*(F.sum(m).alias(m) for m in (*measures, "entities")))
+    # every period of the question has a row for all attributes there are, so that what does not change is carried on
+    seen = changes.select(*attributes).distinct().select(F.explode(F.array(*map(F.lit, periods))).alias(period), *attributes)
+    marks = changes.withColumn("__asked", F.lit(False)).unionByName(seen.withColumns({**{m: F.lit(0) for m in measures}, "entities": F.lit(0), "__asked": F.lit(True)}))
+    upto = Window.partitionBy(*attributes).orderBy(period).rangeBetween(Window.unboundedPreceding, 0)
+    totals = marks.withColumns({m: F.sum(m).over(upto) for m in (*measures, "entities")})
+    return totals.where("__asked and entities > 0").select(period, *attributes, *(F.col(m).cast("double").alias(m) for m in measures), F.col("entities").cast("long").alias("entities"))
+
+
+def as_they_were(facts: DataFrame, entity: DataFrame, on: Mapping[str, str], dims: Sequence[str], time: str, since: str) -> DataFrame:
+    """Facts with an entity's dimensions as they were at each fact's time: of the entity's rows up to then (column ``since``) the newest.
+    Absent entities and facts before the first row give null.
+
+    Facts and the entity's rows are put in one table in order of time, and each fact takes what the last row before it left: one shuffle,
+    and no fact meets more than one row. Facts without a key keep their own partitions, being no entity's.
+    """
+    keys = list(on)
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    left = facts.where(known).withColumns({"__at": F.col(time), "__dims": F.lit(None), "__order": F.lit(1)})
+    right = entity.select(*(F.col(e).alias(f) for f, e in on.items()), F.col(since).alias("__at"), F.struct(*dims).alias("__dims"), F.lit(0).alias("__order"))
+    both = left.drop("__dims").unionByName(right, allowMissingColumns=True)
+    life = Window.partitionBy(*keys).orderBy("__at", "__order").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__dims", F.last("__dims", ignorenulls=True).over(life)).where("__order = 1")
+    names = [F.col(f"__dims.{c}").alias(c) for c in dims]
+    rest = facts.where(~known).select(*facts.columns, *(F.lit(None).cast(entity.schema[c].dataType).alias(c) for c in dims))
+    return seen.select(*facts.columns, *names).unionByName(rest)
 
 
 def logs_joined(*_: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions.states import BitmapActivity, PrependList
+from tessella.functions.states import BitmapActivity, Lifetime, PackedActivity, PrependList
 from tessella.operators import activity, checks, entity, metrics
 from tessella.plans.spec import Family
-from tessella.registered.base import DAY, EV, KEYS, LOADS, ev, loads, query, table
+from tessella.registered.base import DAY, EV, KEYS, LOADS, ev, loads, query, states, table, work_dir
 from tessella.registered.families import BUILT, SUMS, bits_sql, shown, whole
 from tessella.registered.base import BEHAVIOUR
 
@@ -102,6 +102,49 @@ def q10_history(spark, d):
     return entity.cumulate(entity.family_delta(rows, f), f, ["everyone"]).select("ds", F.round("spend", 2).alias("revenue"), "purchases")
 
 
+TIERS = f"""{EV}, tier AS (SELECT user_id, ts, event_id, k FROM ev WHERE event_type = 'signup'),
+facts AS (SELECT e.event_id, e.user_id, e.value, (SELECT arg_max(t.k, (t.ts, t.event_id)) FROM tier t WHERE t.user_id = e.user_id AND t.ts <= e.ts) AS tier FROM ev e WHERE event_type = 'purchase')"""
+
+
+@query(f"WITH {TIERS} SELECT tier, count(*) AS purchases, round(sum(value), 2) AS revenue FROM facts GROUP BY 1")
+def q2_dimension_as_it_was(spark, d):
+    """Purchases by the tier that the buyer had at that time: the k of the last signup event up to then."""
+    rows = ev(spark, d)
+    tiers = rows.where("event_type = 'signup'").select(F.col("user_id").alias("id"), "ts", F.col("k").alias("tier"))
+    facts = metrics.as_they_were(rows.where("event_type = 'purchase'"), tiers, {"user_id": "id"}, ["tier"], "ts", "ts")
+    return metrics.metric(facts, {"purchases": "count(*)", "revenue": "round(sum(value), 2)"}, ["tier"])
+
+
+@query(f"""WITH {EV}, days AS (SELECT unnest(range(0, 30)) AS n), u AS (SELECT user_id, ts, event_id, ds, k, event_type, value FROM ev),
+at AS (SELECT strftime(DATE '2024-01-01' + CAST(n AS INTEGER), '%Y-%m-%d') AS day, user_id, arg_max(k, (ts, event_id)) FILTER (WHERE k IS NOT NULL) AS tier, sum(value) FILTER (WHERE event_type = 'purchase') AS revenue
+  FROM days JOIN u ON u.ds <= strftime(DATE '2024-01-01' + CAST(n AS INTEGER), '%Y-%m-%d') GROUP BY ALL)
+SELECT day AS ds, tier, count(*) AS users, round(coalesce(sum(revenue), 0), 2) AS revenue FROM at GROUP BY ALL""".replace("at AS (", "asof_day AS (").replace("FROM at GROUP", "FROM asof_day GROUP"))
+def q10_history_by_dimension(spark, d):
+    """Cumulative revenue on each of 30 days by the tier that each user had on that day; users change it as they go."""
+    f = Family("f", {"tier": Lifetime("last", "k"), "revenue": Lifetime("sum", "value", "event_type = 'purchase'")}, KEYS)
+    steps = entity.render(entity.cumulate(entity.family_delta(ev(spark, d), f), f, ID), f)
+    month = [f"2024-01-{n:02d}" for n in range(1, 31)]
+    out = metrics.history(steps.select("entity_id", "ds", "tier", "revenue"), ID, month, ["tier"], ["revenue"])
+    return out.select("ds", "tier", F.col("entities").alias("users"), F.round("revenue", 2).alias("revenue"))
+
+
+_SKETCHED = {"orders": "count(*)", "users": "theta_sketch_agg(o_custkey, 14)", "prices": "kll_sketch_agg_double(o_totalprice, 32768)"}
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT o_custkey) AS users, quantile_disc(o_totalprice, 0.95) AS prices FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def q9_sketches_from_cube(spark, d):
+    """Buyers and a percentile by segment from the smaller of two written cubes. The sketches are as large as makes them exact up to 16 000
+    buyers and 32 000 prices of a group."""
+    facts, cubes = _facts(spark, d), []
+    for dims in (("segment", "o_orderpriority", "o_orderstatus"), ("segment", "o_orderpriority")):
+        path = work_dir(spark)
+        metrics.cube(facts, dims, _SKETCHED).write.parquet(path)
+        rows = spark.read.parquet(path)
+        cubes.append(metrics.Cube(rows, dims, tuple(_SKETCHED), rows.count()))
+    best = metrics.smallest_cube(cubes, ["segment"], list(_SKETCHED))
+    return metrics.from_cube(best.rows, best.dims, ["segment"], {"orders": "sum", "users": "distinct", "prices": 0.95})
+
+
 # --- activity ------------------------------------------------------------------------------------------------------------
 
 
@@ -140,6 +183,69 @@ def a5_retention(spark, d):
     return activity.retention(days(spark, d), "user_id")
 
 
+PACKED = PackedActivity("day", 60)
+
+
+def packed(spark, d):
+    """Stored states of the purchases' active days, the newest of each user."""
+    f = Family("f", {"active": PACKED}, KEYS, "event_type = 'purchase'")
+    path = work_dir(spark)
+    states(spark, d, f).drop("active__delta").write.parquet(path)
+    return entity.as_of(spark.read.parquet(path), ID, "2024-01-30")
+
+
+@query(f"{DAYS}, cal AS (SELECT unnest(range((SELECT min(day) FROM dy), (SELECT max(day) FROM dy) + 1)) AS day) SELECT CAST(c.day AS INTEGER) AS day, " + ", ".join(f"count(DISTINCT user_id) FILTER (WHERE dy.day > c.day - {w}) AS active_{w}" for w in (1, 7, 30)) + " FROM cal c JOIN dy ON dy.day <= c.day AND dy.day > c.day - 30 GROUP BY c.day")
+def a1_active_users_from_states(spark, d):
+    return activity.active_users(activity.days_of(packed(spark, d), "entity_id", "active", PACKED, LAST), "entity_id")
+
+
+@query(f"{DAYS}, i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS g FROM dy), r AS (SELECT user_id, g, count(*) AS n, max(day) AS z FROM i GROUP BY 1, 2) SELECT user_id AS entity_id, max(n) AS longest, coalesce(max(n) FILTER (WHERE z = {LAST}), 0) AS current FROM r GROUP BY 1")
+def a2_streaks_from_states(spark, d):
+    return activity.streaks_from_states(packed(spark, d), "entity_id", "active", PACKED, LAST)
+
+
+_CHURN = f"""{DAYS}, f AS (SELECT user_id, bool_or(day > {LAST} - 3) AS n, bool_or(day <= {LAST} - 3 AND day > {LAST} - 6) AS b, bool_or(day <= {LAST} - 6) AS e FROM dy GROUP BY 1)
+SELECT CASE WHEN n AND b THEN 'retained' WHEN b THEN 'churned' WHEN n AND e THEN 'resurrected' WHEN n THEN 'new' ELSE 'inactive' END AS state, count(*) AS entities FROM f GROUP BY 1"""
+
+
+@query(_CHURN)
+def a3_churn_from_states(spark, d):
+    return activity.churn_from_states(packed(spark, d), "entity_id", "active", PACKED, LAST, 3)
+
+
+def sketches(spark, d):
+    """A written sketch of each day's buyers; larger than any of these sets, so what follows from it is exact."""
+    path = work_dir(spark)
+    activity.sketches_by_day(ev(spark, d).where("event_type = 'purchase'"), "user_id", 14).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(_CHURN)
+def a3_churn_from_sketches(spark, d):
+    return activity.churn_from_sketches(sketches(spark, d), LAST, 3)
+
+
+@query(f"{DAYS}, c AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS cohort FROM dy) SELECT CAST(cohort AS INTEGER) AS cohort, CAST(day - cohort AS INTEGER) AS \"offset\", count(*) AS entities FROM c GROUP BY 1, 2")
+def a5_retention_from_sketches(spark, d):
+    return activity.retention_from_sketches(sketches(spark, d))
+
+
+@query(f"WITH {EV}, u AS (SELECT ds, user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c FROM ev GROUP BY ALL) SELECT ds, count(*) FILTER (WHERE v OR c) AS \"any\", count(*) FILTER (WHERE v AND c) AS \"all\" FROM u WHERE v OR c GROUP BY 1")
+def a3_reached_by_families(spark, d):
+    """Users that views or clicks reach on a day, and that both do, from a sketch for each family and day."""
+    empty = F.theta_sketch_agg(F.lit(None).cast("long"), 14)
+    sides = [F.coalesce(F.theta_sketch_agg(F.when(F.col("event_type") == t, F.col("user_id")), 14), empty).alias(t) for t in ("view", "click")]
+    days = ev(spark, d).where("event_type in ('view', 'click')").groupBy("ds").agg(*sides)
+    return days.select("ds", *(c.alias(n) for n, c in activity.reached([F.col("view"), F.col("click")]).items()))
+
+
+@query(f"WITH {EV} SELECT user_id AS entity_id, CAST(length(replace({bits_sql(f'list(DISTINCT {DAY})', LAST, 30)}, '0', '')) AS INTEGER) AS slots FROM ev WHERE event_type = 'click' GROUP BY 1")
+def a4_active_slots_packed(spark, d):
+    f = Family("f", {"active": PackedActivity("day", 30)}, KEYS, "event_type = 'click'")
+    at = entity.as_of(states(spark, d, f), ID, "2024-01-30")
+    return at.select("entity_id", f.columns["active"].active(F.col("active"), F.lit(LAST)).cast("int").alias("slots"))
+
+
 # --- checks --------------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tessella.functions.states import BitmapActivity, Lifetime, PrependList
+from tessella.functions.states import BitmapActivity, Lifetime, PackedActivity, PrependList
 from tessella.operators import entity
 from tessella.plans.spec import Family
 from tessella.registered.base import BEHAVIOUR, DAY, EV, KEYS, bits_sql, ev, query, states, work_dir
@@ -86,6 +86,31 @@ def c7_sketch(spark, d):
     return whole(spark, d, fam(None, a=Lifetime("approx_count_distinct", "k")), "a").join(exact, "entity_id").select("entity_id", "e", near.alias("near"))
 
 
+@query(f"WITH {EV} SELECT user_id AS entity_id, count(DISTINCT k) AS ks, count(DISTINCT props) FILTER (WHERE value > 50) AS p FROM ev GROUP BY ALL")
+def c7_theta(spark, d):
+    """Theta sketches count exactly up to the number of hashes they keep, which no entity here exceeds."""
+    return whole(spark, d, fam(None, ks=Lifetime("theta", "k"), p=Lifetime("theta", "props", "value > 50", size=14)), "ks", "p")
+
+
+_FIRST = f"{EV}, first AS (SELECT user_id AS entity_id, k, min(ds) AS ds FROM ev WHERE k IS NOT NULL GROUP BY ALL), new AS (SELECT entity_id, ds, count(*) AS new FROM first GROUP BY ALL)"
+
+
+@query(f"WITH {_FIRST} SELECT entity_id, ds, new, CAST(sum(new) OVER (PARTITION BY entity_id ORDER BY ds) AS BIGINT) AS total FROM new")
+def c7_running_distinct(spark, d):
+    return entity.running_distinct(entity.map_keys(ev(spark, d), KEYS), ID, "k")
+
+
+@query(f"WITH {_FIRST}, a AS (SELECT DISTINCT user_id AS entity_id, ds FROM ev) SELECT a.entity_id, a.ds, CAST(sum(coalesce(new, 0)) OVER (PARTITION BY a.entity_id ORDER BY a.ds) AS BIGINT) AS ks FROM a LEFT JOIN new ON a.entity_id = new.entity_id AND a.ds = new.ds")
+def c7_distinct_each_day(spark, d):
+    return states(spark, d, fam(None, ks=Lifetime("count_distinct", "k"))).select("entity_id", "ds", "ks")
+
+
+@query(f"WITH {EV} SELECT user_id AS entity_id, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM ev GROUP BY ALL")
+def c9_percentile(spark, d):
+    """KLL sketches hold all of an entity's values, up to about k of them."""
+    return whole(spark, d, fam(None, median=Lifetime("percentile", "value"), p95=Lifetime("percentile", "value", rank=0.95)), "median", "p95")
+
+
 @query(f"WITH {EV} SELECT user_id AS entity_id, count(*) FILTER (WHERE value > 50) AS n, round(sum(value) FILTER (WHERE k > '3'), 2) AS s, round(avg(value) FILTER (WHERE k > '3'), 8) AS a FROM ev GROUP BY ALL")
 def c8_conditional(spark, d):
     f = fam(None, n=Lifetime("count_if", "value > 50"), s=Lifetime("sum", "value", "k > '3'"), a=Lifetime("avg", "value", "k > '3'"))
@@ -128,6 +153,16 @@ def c12_bitmap_hour_whole(spark, d):
     return once(spark, d, fam(None, active=BitmapActivity("hour", 72)), "active")
 
 
+@query(f"WITH {EV} SELECT user_id AS entity_id, {bits_sql(f'list(DISTINCT {DAY})', LAST, 30)} AS active FROM ev WHERE event_type = 'click' GROUP BY ALL")
+def c11_packed_day(spark, d):
+    return whole(spark, d, fam("event_type = 'click'", active=PackedActivity("day", 30)), "active")
+
+
+@query(f"WITH {EV} SELECT user_id AS entity_id, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', LAST * 24 + 23, 72)} AS active FROM ev GROUP BY ALL")
+def c12_packed_hour(spark, d):
+    return whole(spark, d, fam(None, active=PackedActivity("hour", 72)), "active")
+
+
 BUILT = f"""WITH {EV}, u AS (SELECT * FROM ev WHERE ds <= '2024-01-15'),
 v AS (SELECT user_id AS entity_id, count(*) AS view_count, sum(value) AS view_value FROM u WHERE event_type = 'view' GROUP BY 1),
 c AS (SELECT user_id AS entity_id, {LIST.format(n=50)} AS recent, {bits_sql(f'list(DISTINCT {DAY})', LAST - 15, 30)} AS active FROM u WHERE event_type = 'click' GROUP BY 1),
@@ -225,6 +260,18 @@ def m7_bitmap_hour(spark, d):
     return entity.render(two_days(spark, d, f), f, "2024-01-02").select("entity_id", "active")
 
 
+@query(f"{TWO} SELECT user_id AS entity_id, {bits_sql('list(DISTINCT epoch_us(ts) // 3600000000)', (LAST - 28) * 24 + 23, 30)} AS active FROM w GROUP BY 1")
+def m7_packed_hour(spark, d):
+    f = fam(None, active=PackedActivity("hour", 30))
+    return entity.render(two_days(spark, d, f), f, "2024-01-02").select("entity_id", "active")
+
+
+@query(f"{TWO} SELECT user_id AS entity_id, count(DISTINCT k) AS ks, quantile_disc(value, 0.5) AS median FROM w GROUP BY 1")
+def m8_sketches(spark, d):
+    f = fam(None, ks=Lifetime("theta", "k"), median=Lifetime("percentile", "value"))
+    return entity.render(two_days(spark, d, f), f, "2024-01-02").select("entity_id", "ks", "median")
+
+
 @query(f"{TWO} SELECT user_id AS entity_id, round(avg(value), 8) AS a, round(stddev_samp(value), 4) AS sd, count(DISTINCT k) AS ks FROM w GROUP BY 1")
 def m8_states(spark, d):
     f = fam(None, a=Lifetime("avg", "value"), sd=Lifetime("stddev", "value"), ks=Lifetime("count_distinct", "k"))
