@@ -9,6 +9,7 @@ those of a stretch of text at once. The whole item must be found: a document tha
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -20,8 +21,9 @@ from tessella.llm.common import ship
 from tessella.llm.parsing import words8
 
 Q, RATE = 8, 0.1
-#: Bytes of items that are sent to the executors at once; more items are taken in several rounds over the documents.
-ITEM_BLOCK = 16 << 20
+#: Bytes of items that are sent to the executors at once; more items are taken in several rounds over the documents. An index takes some
+#: 60 times as much, and each Python worker keeps one.
+ITEM_BLOCK = 2 << 20
 #: Bytes of text that are looked at in one go, shared q-grams that are counted in one go, and cells of alignments in one go.
 TEXT_BLOCK, PAIRS, CELLS = 1 << 19, 1 << 21, 1 << 21
 #: A q-gram that an item has at more places than this is counted once a text place and band, whatever the number of places.
@@ -68,12 +70,13 @@ class Items:
         self.longest = int(self.size.max(initial=0) + self.edits.max(initial=0) + q)
         self.mask = np.uint64((1 << (8 * q)) - 1) if q < 8 else np.uint64(0xFFFFFFFFFFFFFFFF)
         n = self.size - q + 1
-        item = np.repeat(np.arange(len(n)), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        place = np.arange(n.sum(), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
         gram = words8(np.append(self.data, np.zeros(7, np.uint8)))[self.base[item] + place] & self.mask if len(item) else np.empty(0, np.uint64)
         item, place, gram = self._thinned(item, place, gram)
         self.item, self.place = item, place
-        self.gram, self.first, self.count = np.unique(gram, return_index=True, return_counts=True)
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])  # entries lie in order of their q-grams
+        self.gram, self.first, self.count = gram[first], first.astype(np.int32), np.diff(np.r_[first, len(gram)]).astype(np.int32)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self._slot(self.gram)] = True
 
@@ -89,8 +92,8 @@ class Items:
         block = place[many] // stride
         rows = np.stack([np.r_[gram[many], gram[many]], np.r_[item[many], item[many]].astype(np.uint64), np.r_[block, block + 1].astype(np.uint64)])
         rows = np.unique(rows, axis=1)
-        item = np.r_[item[~many], rows[1].astype(np.int64)]
-        place = np.r_[place[~many], rows[2].astype(np.int64) * (self.edits[rows[1].astype(np.int64)] + 1)]
+        item = np.r_[item[~many], rows[1].astype(np.int32)]
+        place = np.r_[place[~many], (rows[2].astype(np.int64) * (self.edits[rows[1].astype(np.int64)] + 1)).astype(np.int32)]
         gram = np.r_[gram[~many], rows[0]]
         order = np.argsort(gram, kind="stable")
         return item[order], place[order], gram[order]
@@ -118,7 +121,7 @@ class Items:
             return {}
         data, base, size = _joined([np.frombuffer(t, np.uint8) for t in texts], 8)
         text, at, k = self._shared(data, base, size)
-        n = self.count[k]
+        n = self.count[k].astype(np.int64)
         total = np.cumsum(n)
         if len(n) and total[-1] > 4 * PAIRS and (len(texts) > 1 or size[0] > 4 * self.longest):
             return self._halves(texts)
@@ -242,6 +245,17 @@ class Matcher:
         return [(t, self.parts[p].ids[i], e) for (t, p, i), e in sorted(best.items())]
 
 
+_KEPT: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple], q: int, rate: float) -> Matcher:
+    """The index of a block of items; a worker keeps that of the block it has searched last, for its next tasks."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Matcher(items, q, rate)
+    return _KEPT[name]
+
+
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The items in parts of about ITEM_BLOCK bytes, by a hash of their ids."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -266,8 +280,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE)
     for block in _blocks(benchmark):
         held = spark.sparkContext.broadcast([tuple(r) for r in block.select("item_id", "text").collect()])
 
-        def search(batches, held=held):
-            items = Matcher(held.value, q, rate)
+        def search(batches, held=held, name=uuid.uuid4().hex):
+            items = _matcher(name, held.value, q, rate)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 hits = items.find_all(batch.column(1).to_pylist())
@@ -290,8 +304,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
         held = spark.sparkContext.broadcast([tuple(r) for r in block.select("item_id", "text").collect()])
         place = docs.columns.index("text")
 
-        def clean(batches, held=held, place=place):
-            items = Matcher(held.value, q, rate)
+        def clean(batches, held=held, place=place, name=uuid.uuid4().hex):
+            items = _matcher(name, held.value, q, rate)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[t for t, _, _ in items.find_all(batch.column(place).to_pylist())]] = False
