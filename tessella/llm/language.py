@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import ship
-from tessella.llm.ngram_vectors import blocks, gathered, inverse_document_frequency, vectors
+from tessella.llm.ngram_vectors import blocks, inverse_document_frequency, vectors
 
-#: Rows a language that are learnt from, of all languages together, and languages, the most frequent ones (bounds on the fit alone).
-MOST_A_LANGUAGE, MOST, MOST_LANGUAGES = 300, 3000, 1000
+#: Rows a language that are learnt from (a bound on the fit alone), and languages that a model may have; more are an error.
+MOST_A_LANGUAGE, MOST_LANGUAGES = 300, 4000
 #: Centroids a language, and rounds of k-means.
 CENTROIDS, ROUNDS = 4, 12
 #: A document is marked as rejected below this part of the cosine that the centroid's own members have at least.
@@ -47,34 +47,42 @@ def centroids(x: np.ndarray, most: int = CENTROIDS) -> tuple[np.ndarray, np.ndar
 
 def chosen_rows(learn: DataFrame) -> DataFrame:
     """(doc_id, lang, text): about as many rows of each language, in one pass, by a hash of doc_id and text."""
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    share = F.least(F.lit(MOST_A_LANGUAGE), F.floor(F.lit(MOST) / F.count(F.lit(1)).over(Window.partitionBy())) + 1)  # at most MOST_LANGUAGES rows
-    shares = sizes.withColumn("share", share).withColumn("part", (1 << 30) * F.col("share") / F.col("n"))
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if (n := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages; a model has {MOST_LANGUAGES} at most")
     mark = F.xxhash64("doc_id", "text")
-    rows = learn.join(F.broadcast(shares), "lang").where(F.pmod(mark, F.lit(1 << 30)) < F.col("part"))
+    rows = learn.join(F.broadcast(sizes), "lang").where(F.pmod(mark, F.lit(1 << 30)) < F.lit((1 << 30) * MOST_A_LANGUAGE) / F.col("n"))
     # equal rows have equal hashes: whatever the table holds, no more than twice the share comes through
     first = Window.partitionBy("lang").orderBy(mark)
-    return rows.withColumn("place", F.row_number().over(first)).where("place <= 2 * share").select("doc_id", "lang", "text")
+    return rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * MOST_A_LANGUAGE).select("doc_id", "lang", "text")
 
 
 def fit(learn: DataFrame) -> dict:
     """idf over every row of ``learn`` (doc_id, text, lang), centroids from bounded samples of each language.
 
     Only these three columns are read. Rows with a null lang or text are not learnt from; an empty text is one like any other. An empty
-    table gives a model that knows no language.
+    table gives a model that knows no language. Every language there is gets its centroids, each in a task of its own; more languages
+    than MOST_LANGUAGES are an error, since the model (64 KB each) goes to every worker.
     """
     ship(learn.sparkSession)
     learn = learn.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     idf = inverse_document_frequency(learn, lower=True)
-    model = {"idf": idf, "langs": [], "centroids": np.zeros((0, len(idf)), np.float32), "least": np.zeros(0)}
-    lang, x = gathered(chosen_rows(learn), "lang", idf, lower=True)
-    lang = np.array(lang)
-    for name in sorted(set(lang.tolist())):
-        c, least = centroids(x[lang == name])
-        model["langs"] += [name] * len(c)
-        model["centroids"] = np.concatenate([model["centroids"], c.astype(np.float32)])
-        model["least"] = np.concatenate([model["least"], least])
-    return model
+
+    def shaped(batches):
+        for batch in batches:
+            for part, texts in blocks(batch, 2, lower=True):
+                rows = vectors(texts, idf).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows])], ["doc_id", "lang", "v"])
+
+    def clustered(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("doc_id", "ascending"), ("v", "ascending")])
+        c, least = centroids(np.array([np.frombuffer(v, np.float16) for v in rows["v"].to_pylist()], np.float32))
+        return pa.table({"lang": [rows["lang"][0].as_py()] * len(c), "k": pa.array(range(len(c)), pa.int32()), "c": [r.astype(np.float32).tobytes() for r in c], "least": least.astype(np.float64)})
+
+    rows = chosen_rows(learn).select("doc_id", "lang", "text").mapInArrow(shaped, "doc_id long, lang string, v binary")
+    found = rows.groupBy("lang").applyInArrow(clustered, "lang string, k int, c binary, least double").orderBy("lang", "k").collect()
+    c = np.array([np.frombuffer(r.c, np.float32) for r in found], np.float32).reshape(len(found), len(idf))
+    return {"idf": idf, "langs": [r.lang for r in found], "centroids": c, "least": np.array([r.least for r in found])}
 
 
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
