@@ -82,11 +82,13 @@ def matrix(roles: list[str | None]) -> list[int]:
     return out
 
 
-def repair(roles: list[str | None], start: int = START, end: int | None = None) -> tuple[int, list[tuple[int, str, tuple[int, ...]]], tuple[int, ...]]:
-    """(cost, (state, action, empty turns before) of each turn, empty turns at the end); end: the state to reach, None to close."""
-    v = [FAR] * 4
-    v[start] = 0
-    back = []
+FRESH = (0, FAR, FAR, FAR)
+
+
+def traced(roles: list[str | None], start: tuple[int, ...]) -> tuple[list[int], list[list[int]]]:
+    """Costs of the states after the turns, and for each turn and state after it the state before it, of equal ones the least; ``start``: the
+    costs of the states before the turns."""
+    v, back = list(start), []
     for r in roles:
         new, came = [FAR] * 4, [-1] * 4
         for (a, t), (cost, _, _) in moves(r).items():
@@ -94,7 +96,18 @@ def repair(roles: list[str | None], start: int = START, end: int | None = None)
                 new[t], came[t] = v[a] + cost, a
         back.append(came)
         v = new
-    last = end if end is not None else min(range(4), key=lambda s: (v[s] + closing(s)[0], s))
+    return v, back
+
+
+def cheapest_end(v: list[int]) -> int:
+    return min(range(4), key=lambda s: (v[s] + closing(s)[0], s))
+
+
+def repair(roles: list[str | None], start: tuple[int, ...] = FRESH, end: int | None = None) -> tuple[int, list[tuple[int, str, tuple[int, ...]]], tuple[int, ...], int]:
+    """(cost, (state, action, empty turns before) of each turn, empty turns at the end, state before); start: the costs of the states before;
+    end: the state to reach, None to close."""
+    v, back = traced(roles, start)
+    last = end if end is not None else cheapest_end(v)
     tail = () if end is not None else closing(last)[1]
     cost = v[last] + (closing(last)[0] if end is None else 0)
     path, s = [], last
@@ -103,26 +116,35 @@ def repair(roles: list[str | None], start: int = START, end: int | None = None)
         _, action, before = moves(r)[a, s]
         path.append((s, action, before))
         s = a
-    return cost, path[::-1], tail
+    return cost, path[::-1], tail, s
 
 
-def boundaries(rows: list[tuple]) -> dict[tuple[int, object], tuple[int, int | None]]:
-    """(partition, conversation) to (state before, state after or None at its end), of those that lie in several partitions."""
+def entered(rows: list[tuple]) -> dict[tuple[int, object], tuple[tuple[int, ...], bool]]:
+    """(partition, conversation) to the costs of the states before it, and whether it ends there, of those that lie in several partitions."""
     parts: dict[object, list] = {}
     for conv, pid, costs in sorted(rows, key=lambda r: r[1]):
         parts.setdefault(conv, []).append((pid, np.array(costs).reshape(4, 4)))
     out = {}
     for conv, own in parts.items():
-        if len(own) > 1:
-            vectors = [np.array([0, FAR, FAR, FAR])]
-            for _, m in own:
-                vectors.append((vectors[-1][:, None] + m).min(0))
-            state = min(range(4), key=lambda s: (vectors[-1][s] + closing(s)[0], s))
-            after = None
-            for k in range(len(own) - 1, -1, -1):
-                before = int(np.argmin(vectors[k] + own[k][1][:, state]))
-                out[own[k][0], conv] = (before, after)
-                state = after = before
+        v = np.array(FRESH)
+        for k, (pid, m) in enumerate(own) if len(own) > 1 else ():
+            out[pid, conv] = (tuple(v.tolist()), k == len(own) - 1)
+            v = (v[:, None] + m).min(0)
+    return out
+
+
+def boundaries(across: dict, turns: list[tuple]) -> dict[tuple[int, object], tuple[tuple[int, ...], int | None]]:
+    """(partition, conversation) to the costs of the states before it and the state after it, None at its end; ``turns``: for each the state
+    before it for each state after it, and its last state, if it ends there. The last state of a conversation settles all others, one
+    partition after the other: of equally cheap ways the one that a single partition would take."""
+    out, parts = {}, {}
+    for conv, pid, before, last in sorted(turns, key=lambda r: -r[1]):
+        parts.setdefault(conv, []).append((pid, before, last))
+    for conv, own in parts.items():
+        after = None
+        for pid, before, last in own:
+            out[pid, conv] = (across[pid, conv][0], after)
+            after = before[last if after is None else after]
     return out
 
 
@@ -167,7 +189,8 @@ def repaired(conversations: DataFrame, width: int | None = None) -> DataFrame:
     other. Only these four columns are read. An empty table gives no rows.
 
     Rows are dealt out by ranges of conversation and turn, so a conversation of any length is shared by many tasks; two
-    matrices a partition, at most, meet on the driver.
+    matrices a partition, at most, and then as many maps from the state after to that before, meet on the driver. Of equally cheap repairs
+    the same is chosen however turns are dealt out.
     """
     spark = conversations.sparkSession
     ship(spark)
@@ -187,8 +210,21 @@ def repaired(conversations: DataFrame, width: int | None = None) -> DataFrame:
         pid = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in ends], pa.int64()), pa.array([pid] * len(ends), pa.int32()), pa.array([m for _, m in ends], pa.list_(pa.int64()))], ["conv", "pid", "costs"])
 
-    across = boundaries([tuple(r) for r in base.mapInArrow(summed, "conv long, pid int, costs array<long>").collect()])
-    held = spark.sparkContext.broadcast(across)
+    across = entered([tuple(r) for r in base.mapInArrow(summed, "conv long, pid int, costs array<long>").collect()])
+
+    def turned(batches):
+        pid = TaskContext.get().partitionId()
+        for conv, rows in _runs(batches) if any(p == pid for p, _ in across) else ():
+            if (pid, conv) in across:
+                start, ends = across[pid, conv]
+                v, back = traced([r[1] for r in rows], start)
+                before = list(range(4))
+                for came in reversed(back):
+                    before = [came[s] if s >= 0 else -1 for s in before]
+                yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([pid], pa.int32()), pa.array([before], pa.list_(pa.int32())), pa.array([cheapest_end(v) if ends else None], pa.int32())], ["conv", "pid", "before", "last"])
+
+    turns = base.mapInArrow(turned, "conv long, pid int, before array<int>, last int").collect() if across else []
+    held = spark.sparkContext.broadcast(boundaries(across, [tuple(r) for r in turns]))
 
     def written(batches):
         pid = TaskContext.get().partitionId()
@@ -200,9 +236,9 @@ def repaired(conversations: DataFrame, width: int | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
         for conv, rows in _runs(batches):
-            start, end = held.value.get((pid, conv), (START, None))
-            _, path, tail = repair([r[1] for r in rows], start, end)
-            place, opened = 0, start != START
+            start, end = held.value.get((pid, conv), (FRESH, None))
+            _, path, tail, state = repair([r[1] for r in rows], start, end)
+            place, opened = 0, state != START
             for (turn, _, text), (state, action, before) in zip(rows, path, strict=True):
                 for s in before:
                     out.append((conv, pid, place, None, NAMES[s], "", "insert", ("<|end|>\n" if opened else "") + f"<|{NAMES[s]}|>\n"))

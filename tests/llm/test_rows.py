@@ -553,3 +553,53 @@ def test_packing_query_round_trip(spark, sf_dir):
             assert (start, total) == (at, len(ids)) and crc == zlib.crc32(ids[start : start + length].tobytes())
             at += length
         assert at == len(ids)
+
+
+def test_more_languages_than_a_driver_could_cluster_rows_of(spark):
+    """Each of 60 languages is known, the rarest too; more than a model may have are an error."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(60):
+        letters = [chr(0x4E00 + 64 * k + 7 * j) for j in range(8)]
+        rows += [(k * 100 + i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20)), f"l{k:02d}") for i in range(3 if k else 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(docs)
+    assert sorted(set(model["langs"])) == [f"l{k:02d}" for k in range(60)]
+    got = {r.doc_id: r.lang_pred for r in language.predicted(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.97 * len(rows)
+    before, language.MOST_LANGUAGES = language.MOST_LANGUAGES, 59
+    try:
+        with pytest.raises(ValueError):
+            language.fit(docs)
+    finally:
+        language.MOST_LANGUAGES = before
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 16])
+def test_chat_order_does_not_depend_on_partitions(spark, parts):
+    """Conversations longer than a partition, in which many turns have the same number: order, actions and texts are those of one partition."""
+    rng = random.Random(12)
+    rows = [(1, 5, rng.choice(["user", "assistant", "system", None, "x"]), "same beginning of a text that is longer than sixty-four characters, then " + str(rng.random()) if rng.random() < 0.5 else str(rng.randrange(300))) for _ in range(1500)]
+    rows += [(2, rng.randrange(3), rng.choice(["user", "assistant"]), rng.choice(["a", "b", None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+
+    def said(width):
+        out = chat_format.repaired(df, width).orderBy("conv_id", "block", "place").collect()
+        return [(r.conv_id, r.turn, r.role, r.text, r.action, r.rendered) for r in out]
+
+    assert said(parts) == said(3)
+
+
+def test_an_index_of_items_is_small_and_kept():
+    """A block of items takes less than 400 MB, and the next task of a worker finds its index."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choices("abcdefghijklmnop ", k=200))) for i in range(decontam.ITEM_BLOCK // 200)]
+    tracemalloc.start()
+    first = decontam._matcher("block", items, decontam.Q, decontam.RATE)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert decontam._matcher("block", items, decontam.Q, decontam.RATE) is first
+    assert first.find_all(["x " + items[7][1] + " y"]) == [(0, 7, 0)]
+    assert decontam._matcher("other", items[:3], decontam.Q, decontam.RATE) is not first and len(decontam._KEPT) == 1
