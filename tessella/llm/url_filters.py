@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from tessella.llm.common import ascii_lower, ship
 
 # Terms that reject a URL alone, and terms of which several different ones do.
-STRICT = ("casino", "porn", "xxx", "viagra", "escort", "camgirls", "spam")
-SOFT = ("ads", "adult", "bet", "bets", "betting", "cheap", "dating", "free", "loan", "loans", "pills", "poker", "sex", "slots", "track", "tracker", "win", "x")
+STRICT = (
+    "blackjack", "bukkake", "camgirl", "camgirls", "camsex", "casino", "casinos", "cialis", "crackz", "cumshot", "cuckold", "deepfake", "escort", "escorts", "fetish", "gangbang", "gore", "hardcore", "hentai",
+    "hookup", "hookups", "incest", "keygen", "levitra", "malware", "milf", "nude", "nudes", "nudity", "onlyfans", "phishing", "porn", "porno", "pornstar", "roulette", "sexcam", "sexchat", "sextape", "shemale", "spam",
+    "sportsbook", "striptease", "swinger", "swingers", "tramadol", "upskirt", "viagra", "voyeur", "warez", "webcamsex", "xanax", "xxx",
+)
+SOFT = (
+    "ads", "adult", "adserver", "affiliate", "amateur", "babes", "banner", "bet", "bets", "betting", "bikini", "bingo", "bonus", "casual", "cheap", "click", "coupon", "coupons", "crack", "credit", "dating", "debt", "deals",
+    "diet", "discount", "drugs", "erotic", "forex", "free", "gambling", "girls", "hot", "insurance", "jackpot", "lingerie", "loan", "loans", "lottery", "mature", "mortgage", "payday", "pharmacy", "pills", "pixel",
+    "poker", "popup", "promo", "replica", "rx", "sex", "sexy", "singles", "slot", "slots", "steroids", "sweepstakes", "teen", "torrent", "track", "tracker", "tracking", "weightloss", "win", "winner",
+)
 SOFT_HITS = 2
 #: Terms of a vocabulary that is read from a table, at most.
 MOST_TERMS = 1_000_000
