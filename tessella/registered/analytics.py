@@ -266,6 +266,30 @@ def d3_size_violations(spark, d):
     return checks.size_violations(whole(spark, d, f, "recent", "active"), {"recent": 50}, {"active": 30})
 
 
+# The same checks on tables that are wrong: a day is missing from the entity table, and lists and bitmaps are held to tighter bounds.
+
+
+def lacking(spark, d):
+    return ev(spark, d).where("ds <> '2024-01-10'")
+
+
+@query(f"WITH {EV}, p AS (SELECT * FROM ev WHERE event_type = 'purchase'), t AS (SELECT round(sum(value) FILTER (WHERE ds <> '2024-01-10'), 2) AS table_total, round(sum(value), 2) AS source_total FROM p) SELECT *, table_total = source_total AS agree FROM t")
+def d2_totals_of_a_table_that_lacks_a_day(spark, d):
+    return checks.totals_agree(entity.render(entity.total(lacking(spark, d), SUMS), SUMS, "2024-01-30"), ev(spark, d).where("event_type = 'purchase'"), "sum(spend)", "sum(value)", 2)
+
+
+@query(f"WITH {EV}, c AS (SELECT user_id, least(count(*), 50) AS recent, length({bits_sql(f'list(DISTINCT {DAY})', LAST, 30)}) AS active FROM ev WHERE event_type = 'click' GROUP BY 1) SELECT count(*) FILTER (WHERE recent > 12) AS recent, count(*) FILTER (WHERE active <> 28) AS active FROM c")
+def d3_sizes_beyond_tighter_bounds(spark, d):
+    f = Family("f", {"recent": PrependList("k", 50), "active": BitmapActivity("day", 30)}, KEYS, "event_type = 'click'")
+    return checks.size_violations(whole(spark, d, f, "recent", "active"), {"recent": 12}, {"active": 28})
+
+
+@query(f"WITH {EV}, n AS (SELECT user_id AS entity_id, count(*) AS a, count(*) FILTER (WHERE ds <> '2024-01-10') AS b FROM ev WHERE event_type = 'purchase' GROUP BY 1) SELECT entity_id, a AS \"first\", nullif(b, 0) AS \"second\", a - b AS difference FROM n")
+def q6_reconcile_with_a_table_that_lacks_a_day(spark, d):
+    log = metrics.metric(ev(spark, d).withColumnRenamed("user_id", "entity_id"), {"n": "count(*)"}, ID, "event_type = 'purchase'")
+    return metrics.reconcile(log, entity.total(lacking(spark, d), SUMS).select("entity_id", F.col("purchases").alias("n")), ID, "n")
+
+
 @query("SELECT c_custkey, sha256(c_name) AS c_name, repeat('*', greatest(length(CAST(c_nationkey + 1000000 AS VARCHAR)) - 4, 0)) || right(CAST(c_nationkey + 1000000 AS VARCHAR), 4) AS account, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer")
 def d4_masked(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_name", (F.col("c_nationkey") + 1000000).alias("account"), "c_mktsegment")

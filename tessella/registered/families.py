@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
 from tessella.functions.states import BitmapActivity, Lifetime, PackedActivity, PrependList
-from tessella.operators import entity
+from tessella.operators import entity, stored
 from tessella.plans.spec import Family
 from tessella.registered.base import BEHAVIOUR, DAY, EV, KEYS, bits_sql, ev, query, states, work_dir
 
@@ -318,6 +319,18 @@ def m12_cascade(spark, d):
     return cum_out(entity.cascade(stored, fresh, SUMS, ID, "2024-01-10", "2024-01-15"))
 
 
+@query(f"{CUM} {CUM_OUT}")
+def m12_cascade_from_state(spark, d):
+    """Days whose stored deltas are wrong are corrected: from a snapshot, with the deltas since alone, on the days that change alone."""
+    rows, path = ev(spark, d), work_dir(spark)
+    wrong = rows.withColumn("value", F.when(F.col("ds").between("2024-01-20", "2024-01-22"), -1.0).otherwise(F.col("value")))
+    stored.store(entity.family_delta(wrong, SUMS), SUMS, ID, path)
+    stored.snapshot(spark, SUMS, ID, path, "2024-01-15")
+    fresh = entity.family_delta(rows.where(F.col("ds").between("2024-01-20", "2024-01-22")), SUMS)
+    stored.cascade(spark, SUMS, ID, path, fresh, "2024-01-20", "2024-01-22")
+    return cum_out(stored.states(spark, path))
+
+
 @query(f"WITH {EV} SELECT {PER}, {LIST.format(n=3)} AS ks, count(DISTINCT {DAY}) AS days FROM ev GROUP BY ALL")
 def m13_parallel_deltas(spark, d):
     f = fam(None, ks=PrependList("k", 3), active=BitmapActivity("day", 30))
@@ -339,3 +352,11 @@ def m15_backfill_check(spark, d):
     return entity.backfill_check(ev(spark, d), "2023-12-25", "2024-01-30")
 
 
+@query(f"WITH {EV}, a AS (SELECT min(ds) AS first_ds FROM ev WHERE event_type = 'purchase'), s AS (SELECT strftime(CAST(first_ds AS DATE) + CAST(n AS INTEGER), '%Y-%m-%d') AS start, first_ds FROM a, (VALUES (-1), (0), (5)) t(n)) SELECT start, first_ds, start < strftime(DATE '2024-02-01' - 30, '%Y-%m-%d') AS before_lookback, start < first_ds AS before_source FROM s")
+def m15_backfill_checks(spark, d):
+    """Starts before the source's first day, on it, and within the lookback, as the log has them."""
+    rows = ev(spark, d).where(BUY)
+    first = rows.agg(F.min("ds")).first()[0]
+    starts = [(date.fromisoformat(first) + timedelta(days=n)).isoformat() for n in (-1, 0, 5)]
+    parts = [entity.backfill_check(rows, s, "2024-02-01").withColumn("start", F.lit(s)) for s in starts]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

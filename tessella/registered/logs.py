@@ -248,3 +248,46 @@ g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS events FROM g GROUP BY user_id, n""")
 def t9_sessionize(spark, d):
     return _times(log.sessionize(table(spark, d, "events"), "user_id", "ts", "30 minutes"), "start", "end")
+
+
+# --- the same on streams -------------------------------------------------------------------------------------------------
+
+
+def _in_order(spark, d, files=6):
+    """The log as files in order of time, and a last event long after, by which all windows end."""
+    out = work_dir(spark)
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts")
+    rows.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{out}/log")
+    rows.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("interval 100 days")).alias("ts")).write.mode("append").parquet(f"{out}/log")
+    return jobs.event_stream(spark, f"{out}/log", "*.parquet", rows.schema, 3), out
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM events GROUP BY 1")
+def t5_throughput_stream(spark, d):
+    stream, out = _in_order(spark, d)
+    jobs.ingest(jobs.windows_on_time(stream, "ts", "1 hour", "60 days"), f"{out}/data", f"{out}/checkpoint", ()).awaitTermination()
+    got = spark.read.parquet(f"{out}/data")
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS events FROM g GROUP BY user_id, n""")
+def t9_sessionize_stream(spark, d):
+    stream, out = _in_order(spark, d)
+    jobs.ingest(jobs.sessions_on_time(stream, "user_id", "ts", "30 minutes", "60 days"), f"{out}/data", f"{out}/checkpoint", ()).awaitTermination()
+    return _times(spark.read.parquet(f"{out}/data"), "start", "end")
+
+
+@query(f"WITH {EV}, h AS (SELECT event_id, (day(ts) - 1) // 6 AS part, CASE WHEN event_id % 9 = 0 THEN ts - INTERVAL 3 DAY ELSE ts END AS happened FROM ev), n AS (SELECT *, max(happened) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM h) SELECT coalesce(happened < newest - INTERVAL 1 DAY, false) AS late, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM n GROUP BY 1")
+def t4_late_stream(spark, d):
+    """A batch for every six days, in which every ninth event happened three days before; a day's delay is allowed."""
+    out = work_dir(spark)
+    happened = F.when(F.col("event_id") % 9 == 0, F.col("ts") - F.expr("interval 3 days")).otherwise(F.col("ts"))
+    rows = ev(spark, d).select("event_id", happened.alias("happened"), F.floor((F.dayofmonth("ts") - 1) / 6).alias("part"))
+    for part in range(6):  # one after the other: a stream of files takes the oldest file first
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{out}/log/{part}")
+    stream = spark.readStream.schema("event_id long, happened timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{out}/log/*")
+    jobs.split_by_lateness(stream, "happened", 86400, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    parts = [spark.read.parquet(f"{out}/data/{name}/*").select("event_id", F.lit(name == "late").alias("late")) for name in ("on_time", "late")]
+    return parts[0].unionByName(parts[1]).groupBy("late").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))

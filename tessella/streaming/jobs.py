@@ -110,6 +110,41 @@ def _runs(spark: SparkSession, path: str, runs: Sequence[str]) -> DataFrame:
     return spark.read.parquet(*(f"{path}/{r}" for r in runs))
 
 
+def windows_on_time(stream: DataFrame, time: str, width: str, delay: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Events in each window of time (and of keys), given out once the watermark has passed it. What comes later than ``delay`` is not in it:
+    see ``split_by_lateness``."""
+    at = F.col(time).cast("timestamp")
+    rows = stream.withColumn("__at", at).withWatermark("__at", delay)
+    return rows.groupBy(F.window("__at", width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), *keys, "events")
+
+
+def sessions_on_time(stream: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
+    """Sessions of each entity as ``sources.events.sessionize`` finds them, given out once nothing can prolong them."""
+    rows = stream.withColumn("__at", F.col(time).cast("timestamp")).withWatermark("__at", delay)
+    return rows.groupBy(key, F.session_window("__at", gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+
+
+def split_by_lateness(stream: DataFrame, time: str, seconds: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream in two tables: under ``on_time`` what comes no later than ``seconds`` after the newest time of the batches before its
+    own, under ``late`` the rest, so that late events are kept and counted. The newest time of each batch is written beside them, under
+    the batch's number; a batch that is run again writes the same folders again."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        moved = F.unix_micros(F.col(time).cast("timestamp"))
+        before = spark.read.schema("newest long").option("recursiveFileLookup", "true").json(f"{path}/newest") if number else None
+        # a batch that was begun and not ended has left a mark, which is not among those before it
+        seen = before.where(F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("long") < number).agg(F.max("newest")).first()[0] if number else None
+        limit = None if seen is None else seen - seconds * 1_000_000
+        late = F.lit(False) if limit is None else F.coalesce(moved < limit, F.lit(False))
+        marked = batch.withColumn("__late", late)
+        for name, rows in (("on_time", marked.where("not __late")), ("late", marked.where("__late"))):
+            rows.drop("__late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.agg(F.max(moved).alias("newest")).coalesce(1).write.mode("overwrite").json(f"{path}/newest/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class _TimeToLive(StatefulProcessor):
     """Of a key: the last accepted time, and the rows that wait for the watermark."""
 
