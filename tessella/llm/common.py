@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Lists to which ``cut`` adds the tables it writes, while they are open.
+_LISTS: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def listed() -> Iterator[list[DataFrame]]:
+    """A list of all tables that ``cut`` writes meanwhile, for whoever knows when nothing reads them any more."""
+    tables: list[DataFrame] = []
+    _LISTS.append(tables)
+    try:
+        yield tables
+    finally:
+        _LISTS.remove(tables)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps do not run it again, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -52,6 +69,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
+    for tables in _LISTS:
+        tables.append(out)
     return out
 
 

@@ -6,19 +6,19 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tessella.llm.bloom import filter_of
 from tessella.llm.common import ascii_lower, cut, let, ship, shuffle_width, words
 from tessella.llm.components import components, forest
 
 BITS = 64
 #: Rows of one key that one task compares in one piece; larger keys are dealt out as pairs of tiles.
 TILE = 8192
-#: Keys of rows that go (some 100 bytes each as Spark holds them) that are broadcast, at most; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
 #: Cost of a probed row and of a compared pair, in the same unit; only their ratio matters.
 ROW_COST, PAIR_COST = 200.0, 1.0
 
@@ -293,13 +293,17 @@ def first_of_each(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFram
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), F.char_length(text).alias("n"))
     prints = cut(fingerprints(docs.select(key.alias("key"), "text"), size, "key"))
     gone = cut(prints.join(_least(prints, "key", distance), "fp").where("key <> least").select("key").distinct())
-    # the keys that go are few beside the texts: as long as they are few in number too, no text is shuffled
-    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    rows = docs.select(F.struct("*").alias("own"), key.alias("key")).join(gone, "key", "left_anti")
-    again = prints.groupBy("key").count().where("count > 1").select("key")
-    if again.isEmpty():
-        return rows.select("own.*")
+    again = cut(prints.groupBy("key").count().where("count > 1").select("key"))
+    # no text is shuffled but those of rows that go, of equal rows, and of the few others that a filter of their keys lets through
+    special = docs.sparkSession.sparkContext.broadcast(filter_of(gone.union(again).select(F.xxhash64("key").alias("h")), ["h"]))
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        return pd.Series(special.value.has(h.to_numpy().view(np.uint64)))
+
+    rows = docs.select(F.struct("*").alias("own"), key.alias("key")).withColumn("hit", may_be(F.xxhash64("key")))
+    looked_at = rows.where("hit").join(gone, "key", "left_anti")
     # of equal rows one stays; Spark keeps one a task before it shuffles them
     first = Window.partitionBy("key").orderBy(F.to_json("own"))
-    one = rows.join(again, "key", "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
-    return rows.join(again, "key", "left_anti").select("own.*").union(one.select("own.*"))
+    one = looked_at.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return rows.where("not hit").select("own.*").union(one.select("own.*"))

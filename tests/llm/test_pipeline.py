@@ -96,3 +96,21 @@ def test_stages_on_rows_with_everything_wrong(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     rows = corpus_pipeline.packed(spark, docs, sf_dir).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+
+
+def test_tables_on_the_way_are_removed_when_nothing_reads_them(spark, tmp_path):
+    """Each stage leaves what it has written on its way to the next, which removes it, but not what its own input still reads."""
+    from pathlib import Path
+
+    docs, left = fx.documents(spark, seed=21), lambda: [t._cut_at for t in corpus_pipeline._LEFT.get("here", [])]
+    there = lambda path: Path(path.removeprefix("file:")).exists()
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, "here")
+    first = left()
+    assert first and all(map(there, first))
+    lazy = stages["simhash_near_dedup"](spark, kept, "here")  # kept has not been written, so what it reads stays
+    assert any(map(there, first)) and lazy.count() <= kept.count()
+    second = left()
+    lazy.write.parquet(f"{tmp_path}/written")
+    stages["suffix_array_dedup"](spark, spark.read.parquet(f"{tmp_path}/written"), "here").count()
+    assert not any(map(there, second))
