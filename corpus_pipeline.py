@@ -5,12 +5,13 @@ Rows with a null doc_id and empty texts go through like any others, as each oper
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontam, quality_rules, queries, simhash, substrings
-from tessella.llm.common import read_table, shared_dir
+from tessella.llm.common import dropped, listed, read_table, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +39,33 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed(docs)
 
 
+#: By folder of input, the tables that the stages so far have written on their way. They are removed when the next stage but the first
+#: begins: its predecessor's result has been written by then, and nothing reads them any more.
+_LEFT: dict[str, list[DataFrame]] = {}
+
+
+def _tidy(stage, first: bool = False):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = [] if first else _LEFT.pop(sf_dir, [])
+        read = docs.inputFiles() if left else []
+        for table in left:
+            if not any(table._cut_at.split(":")[-1] in file for file in read):  # not if docs has not been written and read again
+                dropped(table)
+        with listed() as tables:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.setdefault(sf_dir, []).extend(tables)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("simhash_near_dedup", near_duplicates),
-    ("suffix_array_dedup", repeated_substrings),
-    ("benchmark_decontamination", benchmark_leaks),
-    ("packing", packed),
+    ("quality_rules", _tidy(quality, first=True)),
+    ("simhash_near_dedup", _tidy(near_duplicates)),
+    ("suffix_array_dedup", _tidy(repeated_substrings)),
+    ("benchmark_decontamination", _tidy(benchmark_leaks)),
+    ("packing", _tidy(packed)),
 ]
 
 #: Hashes, sorted suffixes and token ids are beyond SQL: tests compare the stages with brute force.
