@@ -72,6 +72,18 @@ def s7_stream_ingest(spark, d):
     return back.groupBy(F.date_format("ds", "yyyy-MM-dd").alias("ds"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total, 0 AS over, (count(*) + 699) // 700 AS files, CAST(((count(*) + 699) // 700 + 1) // 2 AS BIGINT) AS batches FROM events")
+def s7_flush_by_rows(spark, d):
+    """The log in files of up to 700 rows, ingested in batches of up to 2000: what each batch has written is counted."""
+    out, rows = work_dir(spark), table(spark, d, "events")
+    rows.coalesce(1).write.option("maxRecordsPerFile", 700).parquet(f"{out}/log")
+    stream = jobs.event_stream(spark, f"{out}/log", "*.parquet", rows.schema, most_rows=2000)
+    jobs.ingest(stream.withColumn("taken", F.current_timestamp()), f"{out}/data", f"{out}/checkpoint", ()).awaitTermination()
+    batches = spark.read.parquet(f"{out}/data").groupBy("taken").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))  # one time a batch
+    files = len(spark.read.parquet(f"{out}/log").inputFiles())
+    return batches.agg(F.sum("n").alias("n"), F.round(F.sum("v"), 2).alias("total"), F.count_if(F.col("n") > 2000).cast("int").alias("over"), F.lit(files).cast("long").alias("files"), F.count(F.lit(1)).alias("batches"))
+
+
 @query("SELECT event_type AS \"table\", count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def s8_route_by_table(spark, d):
     out = work_dir(spark)

@@ -14,8 +14,13 @@ from tessella.plans.spec import Family
 from tessella.sources.shared import remove
 
 
-def event_stream(spark, folder: str, pattern: str, schema, per_batch: int | None = None) -> DataFrame:
-    """A stream of the Parquet files of a folder; a batch takes at most so many files."""
+def event_stream(spark, folder: str, pattern: str, schema, per_batch: int | None = None, most_rows: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of a folder; a batch takes at most so many files, or at most so many rows: as many files as fit, going by
+    the largest there is when the stream is set up (a file is never divided)."""
+    if most_rows:
+        sizes = spark.read.schema(schema).option("pathGlobFilter", pattern).parquet(folder).groupBy(F.input_file_name()).count()
+        largest = sizes.agg(F.max("count")).first()[0] or most_rows
+        per_batch = max(1, min(per_batch or most_rows, most_rows // largest))
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     return (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).parquet(folder)
 
@@ -23,7 +28,8 @@ def event_stream(spark, folder: str, pattern: str, schema, per_batch: int | None
 def ingest(stream: DataFrame, path: str, checkpoint: str, partitions: Sequence[str] = ("ds", "hour"), every: str | None = None, max_rows: int | None = None) -> StreamingQuery:
     """Appends batches to files by partition. The checkpoint makes every file count once, also after a restart.
 
-    ``every``: a processing interval ("5 seconds"); None takes what is there and stops. ``max_rows``: rows of a file, at most.
+    ``every``: a processing interval ("5 seconds"); None takes what is there and stops. ``max_rows``: rows of a file, at most. What is written
+    out after so many rows is bounded where the stream is read: ``event_stream(most_rows=...)``, or the source's own limit of a batch.
     """
     writer = stream.writeStream.format("parquet").partitionBy(*partitions).option("checkpointLocation", checkpoint)
     if max_rows:
