@@ -269,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE)
     """(doc_id, item_id, edits): the items that a part of a document matches within their budget, with the least edits.
 
     One row for each row of ``docs`` and item, so repeated rows and items are found as often as they occur. Null and empty texts
-    match nothing; nor do items of fewer than q / 2 bytes, a word of which would be no evidence. Null ids are kept. Other columns
+    match nothing; nor do items of fewer than q / 2 bytes, a word of which would be no evidence. Ids are whole numbers of up to 64 bits; null ones are kept. Other columns
     are not read, whatever their names. An empty table gives no rows. Items go to the executors in blocks of bounded size, each
     against all rows; texts of any length are searched in pieces.
     """

@@ -60,7 +60,7 @@ def chosen_rows(learn: DataFrame) -> DataFrame:
 def fit(learn: DataFrame) -> dict:
     """idf over every row of ``learn`` (doc_id, text, lang), centroids from bounded samples of each language.
 
-    Only these three columns are read. Rows with a null lang or text are not learnt from; an empty text is one like any other. An empty
+    Only these three columns are read; doc_id is a whole number of up to 64 bits. Rows with a null lang or text are not learnt from; an empty text is one like any other. An empty
     table gives a model that knows no language. Every language there is gets its centroids, each in a task of its own; more languages
     than MOST_LANGUAGES are an error, since the model (64 KB each) goes to every worker.
     """

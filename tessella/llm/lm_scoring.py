@@ -200,7 +200,7 @@ def _opened(row: dict):
 def fit(docs: DataFrame, target: DataFrame) -> dict:
     """The corpus whose counts make the two models, in written batches, and the tokens of the target documents and of all others.
 
-    Of ``docs`` only doc_id and text are read, of ``target`` only doc_id, where nulls and repeats mean nothing; ids that ``docs`` lacks
+    Of ``docs`` only doc_id (a whole number of up to 64 bits) and text are read, of ``target`` only doc_id, where nulls and repeats mean nothing; ids that ``docs`` lacks
     neither. Each row of ``docs`` counts, repeats as often as they occur. An empty table of either is a model without counts."""
     texts = _batches(docs, target)
     tokens, chosen = (x or 0 for x in texts.agg(F.sum("tokens"), F.sum("target_tokens")).first())

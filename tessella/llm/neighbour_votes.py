@@ -17,7 +17,7 @@ MOST_LABELLED, DIMENSIONS, NEIGHBOURS, SHARPNESS = 2000, 64, 15, 4.0
 def fit(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED) -> dict:
     """idf over all of ``docs``; projection and labelled points from at most about ``most`` ids of ``labelled`` (doc_id, label).
 
-    Of ``docs`` only doc_id and text are read, of ``labelled`` only doc_id and label. An id that is labelled several times alike counts
+    Of ``docs`` only doc_id (a whole number of up to 64 bits) and text are read, of ``labelled`` only doc_id and label. An id that is labelled several times alike counts
     once; one with different labels, a null id and a null label are not learnt from. Each row of ``docs`` with a chosen id is a point;
     null texts are empty. Without points (an empty table of either) every score is 0.5.
     """

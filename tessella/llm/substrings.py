@@ -337,7 +337,7 @@ def removed_bytes(docs: DataFrame, span: int = 50) -> DataFrame:
 
     A byte goes if a string of ``span`` bytes that covers it starts in a document with a smaller doc_id too. Null texts are
     empty. Rows that share a doc_id never remove each other's bytes; a row without doc_id stays whole and removes nothing.
-    Other columns are not read. An empty table gives no rows.
+    doc_id is a whole number of up to 64 bits. Other columns are not read. An empty table gives no rows.
     """
 
     def digest(batches):
