@@ -93,3 +93,30 @@ def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(collocations, "vocabulary", clashing)
     rows = corpus(seed=10, n=80)
     assert got(spark, rows, least=4) == plain(rows, 2000, 4) and tried == [1, 2]
+
+
+def test_stretches_and_flushes_of_any_size(monkeypatch):
+    """Texts taken apart in stretches of 64 bytes, entries passed on every 50: the same counts as in one go, in one process."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = corpus(seed=11, n=120)
+    rows[3] = ("y" * 300 + " x " + "z" * 200, "en")
+    batches = [pa.RecordBatch.from_arrays([pa.array([t or "" for t, _ in part]), pa.array([g or "und" for _, g in part])], ["text", "lang"]) for part in (rows[:50], rows[50:51], rows[51:])]
+
+    def pairs():
+        def entries():
+            for h, new in collocations._streamed(iter(batches), 1, 1):
+                at = np.flatnonzero(~new[1:])
+                columns, n = collocations._counted([h[at], h[at + 1]], np.ones(len(at), np.int64))
+                yield (columns[0] >> np.uint64(62)).astype(np.int32), columns, n
+
+        sent = sorted((b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in collocations._pass_on(entries()))
+        merged = iter([pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([body])], ["grp", "body"]) for g, body in sent])
+        return len(sent), {(int(a), int(b)): int(n) for _, (x, y), c in collocations._group_by_group(merged, 2) for a, b, n in zip(x, y, c, strict=True)}
+
+    few, whole = pairs()
+    monkeypatch.setattr(collocations, "CHUNK", 64)
+    monkeypatch.setattr(collocations, "HELD", 50)
+    many, apart = pairs()
+    assert whole == apart and many > few and sum(whole.values()) == sum(max(0, len(re.findall(r"[^\x20\x09]+", p)) - 1) for t, _ in rows for p in re.split(r"[.,;:!?\x0A-\x0D]", t or ""))
