@@ -184,7 +184,7 @@ def t2_dedup_stream(spark, d):
 @query(_TTL)
 def t2_dedup_ttl_stream(spark, d):
     """The same events as a stream of files in no order of time, within the delay; a last file moves the watermark past them all."""
-    own, out = jobs.rocks(spark), work_dir(spark)
+    own, out = jobs.stateful(spark), work_dir(spark)
     rows = table(own, d, "events").select((F.col("event_id") % 50).alias("id"), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at"))
     rows.repartition(3).write.parquet(f"{out}/log")
     end = rows.agg(F.lit(-1).cast("long").alias("id"), (F.max("at") + F.expr("interval 100 days")).alias("at"))
@@ -276,7 +276,7 @@ def _in_order(spark, d, files=6):
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM events GROUP BY 1")
 def t5_throughput_stream(spark, d):
-    stream, out = _in_order(spark, d)
+    stream, out = _in_order(jobs.stateful(spark), d)
     jobs.ingest(jobs.windows_on_time(stream, "ts", "1 hour", "60 days"), f"{out}/data", f"{out}/checkpoint", ()).awaitTermination()
     got = spark.read.parquet(f"{out}/data")
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
@@ -286,7 +286,7 @@ def t5_throughput_stream(spark, d):
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS events FROM g GROUP BY user_id, n""")
 def t9_sessionize_stream(spark, d):
-    stream, out = _in_order(spark, d)
+    stream, out = _in_order(jobs.stateful(spark), d)
     jobs.ingest(jobs.sessions_on_time(stream, "user_id", "ts", "30 minutes", "60 days"), f"{out}/data", f"{out}/checkpoint", ()).awaitTermination()
     return _times(spark.read.parquet(f"{out}/data"), "start", "end")
 

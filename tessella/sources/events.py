@@ -123,8 +123,7 @@ def dedup_ttl(df: DataFrame, key: list[str], time: str, seconds: int) -> DataFra
     text = F.to_json(F.struct(*df.columns))
     rows = df.select(F.to_json(F.struct(*key)).alias("g"), clock.alias("t"), F.struct(*df.columns).alias("row"), F.left(text, F.lit(64)).alias("a"), F.xxhash64(text).alias("b")).where("t is not null")
     order = ["g", "t", "a", "b"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("g", "t", "row").checkpoint()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("g", "t", "row").checkpoint()
 
     def tables(batches):
         """Of the first and the last key of a partition: its jumps, or, where it begins there, the last accepted time alone."""

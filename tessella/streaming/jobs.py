@@ -200,12 +200,13 @@ def _milliseconds(t: int) -> int:
     return -(-t // 1000)
 
 
-def rocks(spark: SparkSession) -> SparkSession:
-    """A session beside this one whose streams keep their state in RocksDB, which states with timers need."""
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session beside this one for streams that keep state: in RocksDB, which states with timers need, and in no more partitions than twice
+    the cores there are. A state has a store for each partition, as many as when it began, and every batch opens them all."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)))
     return own
 
 
@@ -219,7 +220,7 @@ def dedup_ttl_stream(stream: DataFrame, key: Sequence[str], time: str, seconds:
     An event waits until the watermark (the newest time seen less ``delay``) has passed it, so events that come late by no more than
     ``delay`` take their place in order of time; later ones are dropped, as Spark does. Of a key there is kept the last accepted time, until
     its window is over, and what waits; both in the state store, with timers. Of events of one key and time one waits, the first in order
-    of its JSON text. The session must keep states in RocksDB (``rocks``).
+    of its JSON text. The session must keep states in RocksDB (``stateful``).
     """
     clock = F.col(time).cast("timestamp")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)

@@ -95,7 +95,7 @@ def test_a_batch_that_fails_counts_once(spark, tmp_path):
 def test_time_to_live_on_a_stream(spark, tmp_path, seed):
     """Ids that come back after half a window, just under and over one, and after two; out of order within the delay; null keys."""
     rng, path = random.Random(seed), str(tmp_path)
-    own, width = jobs.rocks(spark), 1000
+    own, width = jobs.stateful(spark), 1000
     rows = [("fixed", t) for t in (0, 500, 900, 1000, 1001, 1100, 2200, 4400)]
     rows += [(rng.choice(["a", "b", None]), rng.randrange(20000)) for _ in range(120)]
     rows = [(g, 10**6 + t, i) for i, (g, t) in enumerate(rows)] + [("a", 10**6 + 5, 900), ("a", 10**6 + 5, 901)]
