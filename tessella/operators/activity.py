@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -69,40 +70,53 @@ def retention(days: DataFrame, key: str) -> DataFrame:
 # --- from states: no event is read again ----------------------------------------------------------------------------------
 
 
+def slices_for(events: DataFrame, key: str, size: int) -> int:
+    """In how many slices by hash the entities are dealt out so that the set of a slice, over all days, fills about half a sketch of that size."""
+    n = events.agg(F.approx_count_distinct(key)).first()[0]
+    return max(1, math.ceil(n / (1 << size - 1)))
+
+
+def slice_of(key: str, slices: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slices)).alias("slice")
+
+
 def sketches_by_day(events: DataFrame, key: str, size: int = 12) -> DataFrame:
-    """(day, s): a theta sketch of each day's active entities, the logarithm of whose size is given."""
+    """(day, slice, s): theta sketches of each day's active entities, the logarithm of whose size is given. An entity has one slice on all days,
+    and there are so many slices that no set outgrows its sketch: what is read slice by slice and added up is exact."""
+    known = events.where(F.col(key).isNotNull())
     day = F.datediff(F.to_date("ds"), F.lit(EPOCH).cast("date")).alias("day")
-    return events.where(F.col(key).isNotNull()).groupBy(day).agg(F.theta_sketch_agg(key, size).alias("s"))
+    return known.groupBy(day, slice_of(key, slices_for(known, key, size))).agg(F.theta_sketch_agg(key, size).alias("s"))
 
 
-def churn_from_sketches(days: DataFrame, last: int, width: int) -> DataFrame:
+def churn_from_sketches(days: DataFrame, last: int, width: int, size: int = 12) -> DataFrame:
     """``churn`` from the sketches of days alone: retained, churned, resurrected, new and inactive entities by unions, intersections and
-    differences. Exact as long as no set outgrows its sketch."""
+    differences within each slice. ``size``: the sketches' own, which their unions need too."""
     def of(condition: Column) -> Column:
-        return F.coalesce(F.theta_union_agg(F.when(condition, F.col("s"))), F.theta_sketch_agg(F.lit(None).cast("long")))
+        return F.coalesce(F.theta_union_agg(F.when(condition, F.col("s")), size), F.theta_sketch_agg(F.lit(None).cast("long"), size))
 
     day = F.col("day")
-    sets = days.where(day <= last).agg(of(day > last - width).alias("now"), of((day <= last - width) & (day > last - 2 * width)).alias("before"), of(day <= last - 2 * width).alias("ever"))
+    sets = days.where(day <= last).groupBy("slice").agg(of(day > last - width).alias("now"), of((day <= last - width) & (day > last - 2 * width)).alias("before"), of(day <= last - 2 * width).alias("ever"))
     both, only = F.theta_intersection, F.theta_difference
     kinds = {"retained": both("now", "before"), "churned": only("before", "now"), "resurrected": both(only("now", "before"), F.col("ever")), "new": only(only("now", "before"), F.col("ever")), "inactive": only(only("ever", "now"), F.col("before"))}
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("state"), F.theta_sketch_estimate(s).alias("entities")) for k, s in kinds.items()))).alias("r")
-    return sets.select(each).select("r.*").where("entities > 0")
+    return sets.select(each).groupBy("r.state").agg(F.sum("r.entities").alias("entities")).where("entities > 0")
 
 
-def retention_from_sketches(days: DataFrame) -> DataFrame:
-    """``retention`` from the sketches of days alone. A cohort is a day's set without those of all days before; it meets each later day's set.
-    Each cohort goes to all days from its own on; what is joined is a sketch a day, however many entities there are."""
-    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.theta_union_agg("s").over(earlier), F.theta_sketch_agg(F.lit(None).cast("long")).over(earlier))
-    end = F.max("day").over(Window.partitionBy())
-    cohorts = days.select(F.col("day").alias("cohort"), F.theta_difference("s", seen).alias("c"), end.alias("end"))
-    met = cohorts.select("cohort", "c", F.explode(F.sequence("cohort", "end")).alias("day")).join(days, "day")
-    return met.select("cohort", (F.col("day") - F.col("cohort")).alias("offset"), F.theta_sketch_estimate(F.theta_intersection("c", "s")).alias("entities")).where("entities > 0")
+def retention_from_sketches(days: DataFrame, size: int = 12) -> DataFrame:
+    """``retention`` from the sketches of days alone. A cohort is a day's set without those of all days before; it meets each later day's set
+    of its slice. Each cohort goes to all days from its own on; what is joined is a sketch a day and slice."""
+    own = Window.partitionBy("slice")
+    earlier = own.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.theta_union_agg("s", size).over(earlier), F.theta_sketch_agg(F.lit(None).cast("long"), size).over(earlier))
+    cohorts = days.select("slice", F.col("day").alias("cohort"), F.theta_difference("s", seen).alias("c"), F.max("day").over(own).alias("end"))
+    met = cohorts.select("slice", "cohort", "c", F.explode(F.sequence("cohort", "end")).alias("day")).join(days, ["slice", "day"])
+    here = met.select("cohort", (F.col("day") - F.col("cohort")).alias("offset"), F.theta_sketch_estimate(F.theta_intersection("c", "s")).alias("n"))
+    return here.groupBy("cohort", "offset").agg(F.sum("n").alias("entities")).where("entities > 0")
 
 
-def reached(sketches: Sequence[Column]) -> dict[str, Column]:
-    """How many entities several sketches hold together, and all of them hold."""
-    union, common = reduce(F.theta_union, sketches), reduce(F.theta_intersection, sketches)
+def reached(sketches: Sequence[Column], size: int = 12) -> dict[str, Column]:
+    """How many entities several sketches hold together, and all of them hold. ``size``: the sketches' own, which their union needs too."""
+    union, common = reduce(lambda a, b: F.theta_union(a, b, size), sketches), reduce(F.theta_intersection, sketches)
     return {"any": F.theta_sketch_estimate(union), "all": F.theta_sketch_estimate(common)}
 
 

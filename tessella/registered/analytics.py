@@ -213,16 +213,19 @@ def a3_churn_from_states(spark, d):
     return activity.churn_from_states(packed(spark, d), "entity_id", "active", PACKED, LAST, 3)
 
 
+SIZE = 14  # of sketches, as a power of two
+
+
 def sketches(spark, d):
-    """A written sketch of each day's buyers; larger than any of these sets, so what follows from it is exact."""
+    """Written sketches of each day's buyers, in so many slices that what follows from them is exact."""
     path = work_dir(spark)
-    activity.sketches_by_day(ev(spark, d).where("event_type = 'purchase'"), "user_id", 14).write.parquet(path)
+    activity.sketches_by_day(ev(spark, d).where("event_type = 'purchase'"), "user_id", SIZE).write.parquet(path)
     return spark.read.parquet(path)
 
 
 @query(_CHURN)
 def a3_churn_from_sketches(spark, d):
-    return activity.churn_from_sketches(sketches(spark, d), LAST, 3)
+    return activity.churn_from_sketches(sketches(spark, d), LAST, 3, SIZE)
 
 
 @query(f"{DAYS}, c AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS cohort FROM dy) SELECT CAST(cohort AS INTEGER) AS cohort, CAST(day - cohort AS INTEGER) AS \"offset\", count(*) AS entities FROM c GROUP BY 1, 2")

@@ -84,6 +84,18 @@ def test_states_answer_like_events(spark):
     assert same(activity.retention(days, "id"), activity.retention_from_sketches(sketches))
 
 
+def test_sketches_in_slices_are_exact(spark):
+    """Many more entities than a sketch holds: churn, retention and the reach of two families equal those from the events."""
+    size, last = 10, DAY0 + 11
+    rows = spark.range(12_000).select((F.col("id") % 5_000).alias("id"), (F.xxhash64("id") % 6).alias("x"))
+    df = rows.select("id", F.date_format(F.date_from_unix_date((F.lit(DAY0 + 6) + F.col("x")).cast("int")), "yyyy-MM-dd").alias("ds"))
+    days, sketches = activity.active_days(df, "id"), activity.sketches_by_day(df, "id", size)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert sketches.select("slice").distinct().count() > 5
+    assert same(activity.churn(days, "id", last, 3), activity.churn_from_sketches(sketches, last, 3, size))
+    assert same(activity.retention(days, "id"), activity.retention_from_sketches(sketches, size))
+
+
 def test_sketches_within_their_bounds(spark):
     """More values than a theta sketch keeps: union, intersection and difference within four standard errors; a percentile's rank within three."""
     size, n = 10, 60_000
