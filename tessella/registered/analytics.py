@@ -235,11 +235,13 @@ def a5_retention_from_sketches(spark, d):
 
 @query(f"WITH {EV}, u AS (SELECT ds, user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c FROM ev GROUP BY ALL) SELECT ds, count(*) FILTER (WHERE v OR c) AS \"any\", count(*) FILTER (WHERE v AND c) AS \"all\" FROM u WHERE v OR c GROUP BY 1")
 def a3_reached_by_families(spark, d):
-    """Users that views or clicks reach on a day, and that both do, from a sketch for each family and day."""
-    empty = F.theta_sketch_agg(F.lit(None).cast("long"), 14)
-    sides = [F.coalesce(F.theta_sketch_agg(F.when(F.col("event_type") == t, F.col("user_id")), 14), empty).alias(t) for t in ("view", "click")]
-    days = ev(spark, d).where("event_type in ('view', 'click')").groupBy("ds").agg(*sides)
-    return days.select("ds", *(c.alias(n) for n, c in activity.reached([F.col("view"), F.col("click")]).items()))
+    """Users that views or clicks reach on a day, and that both do, from sketches for each family, day and slice of users."""
+    rows = ev(spark, d).where("event_type in ('view', 'click')")
+    empty = F.theta_sketch_agg(F.lit(None).cast("long"), SIZE)
+    sides = [F.coalesce(F.theta_sketch_agg(F.when(F.col("event_type") == t, F.col("user_id")), SIZE), empty).alias(t) for t in ("view", "click")]
+    days = rows.groupBy("ds", activity.slice_of("user_id", activity.slices_for(rows, "user_id", SIZE))).agg(*sides)
+    counts = activity.reached([F.col("view"), F.col("click")], SIZE)
+    return days.select("ds", *(c.alias(n) for n, c in counts.items())).groupBy("ds").agg(*(F.sum(n).alias(n) for n in counts))
 
 
 @query(f"WITH {EV} SELECT user_id AS entity_id, CAST(length(replace({bits_sql(f'list(DISTINCT {DAY})', LAST, 30)}, '0', '')) AS INTEGER) AS slots FROM ev WHERE event_type = 'click' GROUP BY 1")

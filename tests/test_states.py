@@ -96,6 +96,15 @@ def test_sketches_in_slices_are_exact(spark):
     assert same(activity.retention(days, "id"), activity.retention_from_sketches(sketches, size))
 
 
+def test_reach_beyond_one_sketch(spark, tmp_path):
+    from tessella.queries import QUERIES
+
+    at = F.lit("2024-01-05 10:00:00").cast("timestamp_ntz")
+    rows = spark.range(30_000).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 20_000).alias("user_id"), F.when(F.col("id") < 15_000, "view").otherwise("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r["any"], r["all"]) for r in QUERIES["a3_reached_by_families"](spark, str(tmp_path)).collect()] == [(20_000, 10_000)]
+
+
 def test_sketches_within_their_bounds(spark):
     """More values than a theta sketch keeps: union, intersection and difference within four standard errors; a percentile's rank within three."""
     size, n = 10, 60_000
