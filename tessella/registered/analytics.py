@@ -230,7 +230,7 @@ def a3_churn_from_sketches(spark, d):
 
 @query(f"{DAYS}, c AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS cohort FROM dy) SELECT CAST(cohort AS INTEGER) AS cohort, CAST(day - cohort AS INTEGER) AS \"offset\", count(*) AS entities FROM c GROUP BY 1, 2")
 def a5_retention_from_sketches(spark, d):
-    return activity.retention_from_sketches(sketches(spark, d))
+    return activity.retention_from_sketches(sketches(spark, d), SIZE)
 
 
 @query(f"WITH {EV}, u AS (SELECT ds, user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c FROM ev GROUP BY ALL) SELECT ds, count(*) FILTER (WHERE v OR c) AS \"any\", count(*) FILTER (WHERE v AND c) AS \"all\" FROM u WHERE v OR c GROUP BY 1")
