@@ -50,9 +50,10 @@ def bucket_stats(df: DataFrame, bucket: Column, target: int) -> DataFrame:
 
 
 def write_load(df: DataFrame, path: str, keys: Sequence[str], levels: Sequence[int]) -> None:
-    """An immutable load: one folder a bucket, rows sorted by key, so that files and row groups can be skipped."""
+    """An immutable load: one folder a bucket, rows sorted by key, so that files and row groups can be skipped. Each bucket is a task of its
+    own: a hash of the bucket would put several in one. ``buckets_for`` has the levels with which tasks stay small as tables grow."""
     n = math.prod(levels)
-    df.withColumn("_bucket", bucket_id(keys, levels)).repartition(n, "_bucket").sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(path)
+    df.withColumn("_bucket", bucket_id(keys, levels)).repartitionById(n, F.col("_bucket").cast("int")).sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(path)
 
 
 def read_load(spark, path: str, columns: Sequence[str], bucket: int | None = None) -> DataFrame:
@@ -88,9 +89,9 @@ def table_bytes(df: DataFrame) -> int:
     return rows * fixed + (text or 0)
 
 
-def buckets_for(df: DataFrame) -> int:
-    """A power-of-two number of buckets of about TARGET_BYTES each."""
-    return math.prod(bucket_levels(table_bytes(df), 1, 1))
+def buckets_for(df: DataFrame, least: int = 1) -> int:
+    """A power-of-two number of buckets of about TARGET_BYTES each, and no fewer than ``least``, itself such a number."""
+    return max(least, math.prod(bucket_levels(table_bytes(df), 1, 1)))
 
 
 def session_of_unlike_buckets(spark: SparkSession) -> SparkSession:

@@ -349,6 +349,11 @@ def by_status(lines, orders):
     return lines.hint("merge").join(orders, "k").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
+def sized(spark, d, name, least):
+    """As many buckets as a table's own size asks for, so that what a task sorts does not grow with it."""
+    return layout.buckets_for(table(spark, d, name), least)
+
+
 @query(JOINED)
 def b5_co_partitioned(spark, d):
     return by_status(bucketed(spark, d, "lineitem", "l_orderkey", 8), bucketed(spark, d, "orders", "o_orderkey", 8))
@@ -370,14 +375,12 @@ def b2_bucketed_lookup(spark, d):
 @query("SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1")
 def b1_sized_buckets(spark, d):
     """As many buckets as the table's own size asks for; a count by key then needs no shuffle."""
-    rows = table(spark, d, "lineitem")
-    n = layout.buckets_for(rows)
-    return bucketed(spark, d, "lineitem", "l_orderkey", n).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return bucketed(spark, d, "lineitem", "l_orderkey", sized(spark, d, "lineitem", 1)).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 33")
 def b6_bucket_pruning(spark, d):
-    path = work_dir(spark)
-    layout.write_load(table(spark, d, "lineitem"), path, ["l_orderkey"], [16])
-    bucket = spark.range(1).select(F.lit(33).cast("bigint").alias("l_orderkey")).select(layout.bucket_id(["l_orderkey"], [16])).first()[0]
+    path, levels = work_dir(spark), [sized(spark, d, "lineitem", 16)]
+    layout.write_load(table(spark, d, "lineitem"), path, ["l_orderkey"], levels)
+    bucket = spark.range(1).select(F.lit(33).cast("bigint").alias("l_orderkey")).select(layout.bucket_id(["l_orderkey"], levels)).first()[0]
     return layout.read_load(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"], bucket).where("l_orderkey = 33")

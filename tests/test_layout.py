@@ -5,10 +5,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import layout
-from tessella.queries import QUERIES
+from tessella.queries import ORACLES, QUERIES
+from tests.compare import duck_rows, spark_rows
 
 NAMES = ["b5_co_partitioned", "b2_bucketed_lookup", "b3_join_of_unlike_buckets", "b1_sized_buckets"]
 
@@ -54,3 +56,26 @@ def test_bytes_of_a_table(spark):
     df = spark.range(10).select("id", F.lit("abc").alias("t"), F.lit(None).cast("string").alias("n"), F.array(F.lit(1)).alias("a"))
     assert layout.table_bytes(df) == 10 * (8 + 3 + len('{"a":[1]}'))
     assert layout.buckets_for(df) == 1 and layout.table_bytes(df.limit(0)) == 0
+
+
+LARGER = {"b6_bucket_pruning": 1}
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_buckets_grow_with_the_table(name, spark, sf_dir, duck, monkeypatch):
+    """With a small target the same table has more buckets than the least number, each a task of its own, and the same result."""
+    monkeypatch.setattr(layout, "TARGET_BYTES", 20_000)
+    want = layout.buckets_for(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    made = []
+    for f in ("save_bucketed", "write_load"):
+        monkeypatch.setattr(layout, f, lambda *a, f=getattr(layout, f): (made.append(a[-2] if isinstance(a[-1], str) else a[-1][0]), f(*a)))
+    got = spark_rows(QUERIES[name](spark, sf_dir))
+    assert want >= 32 and made == {1: [want], 2: [want, want], 3: [want, want // 2]}[LARGER[name]] and got == duck_rows(duck, ORACLES[name])
+
+
+def test_a_bucket_is_a_task_of_its_own(spark, tmp_path):
+    rows = spark.range(5000).select("id", F.spark_partition_id().alias("p"))
+    layout.write_load(rows, f"{tmp_path}/load", ["id"], [32])
+    at = F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1)
+    tasks = [r.n for r in spark.read.parquet(f"{tmp_path}/load").groupBy(at).agg(F.count_distinct("_bucket").alias("n")).collect()]
+    assert len(tasks) == 32 and set(tasks) == {1}
