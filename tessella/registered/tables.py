@@ -361,9 +361,9 @@ def b5_co_partitioned(spark, d):
 
 @query(JOINED)
 def b3_join_of_unlike_buckets(spark, d):
-    """Tables of 8 and of 4 buckets: Spark reads two of the 8 as one of the 4, and neither side is shuffled."""
-    own = layout.session_of_unlike_buckets(spark)
-    return by_status(bucketed(own, d, "lineitem", "l_orderkey", 8), bucketed(own, d, "orders", "o_orderkey", 4))
+    """Tables of which one has half the other's buckets, 8 or more: Spark reads two of these as one, and neither side is shuffled."""
+    own, n = layout.session_of_unlike_buckets(spark), sized(spark, d, "lineitem", 8)
+    return by_status(bucketed(own, d, "lineitem", "l_orderkey", n), bucketed(own, d, "orders", "o_orderkey", n // 2))
 
 
 @query("SELECT l_orderkey AS k, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (1, 33, 70)")
