@@ -369,7 +369,7 @@ def b3_join_of_unlike_buckets(spark, d):
 @query("SELECT l_orderkey AS k, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (1, 33, 70)")
 def b2_bucketed_lookup(spark, d):
     """Keys of a bucketed table: only the buckets that may have them are read."""
-    return bucketed(spark, d, "lineitem", "l_orderkey", 8).where(F.col("k").isin(1, 33, 70)).select("k", "l_linenumber", "l_quantity")
+    return bucketed(spark, d, "lineitem", "l_orderkey", sized(spark, d, "lineitem", 8)).where(F.col("k").isin(1, 33, 70)).select("k", "l_linenumber", "l_quantity")
 
 
 @query("SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1")
