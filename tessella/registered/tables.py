@@ -356,7 +356,8 @@ def sized(spark, d, name, least):
 
 @query(JOINED)
 def b5_co_partitioned(spark, d):
-    return by_status(bucketed(spark, d, "lineitem", "l_orderkey", 8), bucketed(spark, d, "orders", "o_orderkey", 8))
+    n = sized(spark, d, "lineitem", 8)
+    return by_status(bucketed(spark, d, "lineitem", "l_orderkey", n), bucketed(spark, d, "orders", "o_orderkey", n))
 
 
 @query(JOINED)

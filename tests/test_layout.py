@@ -58,7 +58,7 @@ def test_bytes_of_a_table(spark):
     assert layout.buckets_for(df) == 1 and layout.table_bytes(df.limit(0)) == 0
 
 
-LARGER = {"b6_bucket_pruning": 1, "b3_join_of_unlike_buckets": 3, "b2_bucketed_lookup": 1}
+LARGER = {"b6_bucket_pruning": 1, "b3_join_of_unlike_buckets": 3, "b2_bucketed_lookup": 1, "b5_co_partitioned": 2}
 
 
 @pytest.mark.parametrize("name", LARGER)
