@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,58 @@ def from_cube(pre: DataFrame, cube_dims: Sequence[str], dims: Sequence[str], aga
     return pre.groupBy(*dims).agg(*(read(m, f).alias(m) for m, f in again.items()))
 
 
+def value_slices(facts: DataFrame, column: str, size: int) -> Column:
+    """A slice for each value, in the values' order. Of values that lie between two bounds there are at most 5/8 of ``size``, as the percentiles that
+    bound them are off by no more than 1/accuracy of the rows; a value that is a bound has a slice to itself, however often it occurs."""
+    n = facts.where(F.col(column).isNotNull()).count()
+    parts = math.ceil(2 * n / size)
+    marks = [k / parts for k in range(1, parts)]
+    found = facts.agg(F.percentile_approx(column, marks, 8 * parts)).first()[0] if marks else None
+    bounds = np.unique(np.array(found or [], dtype="float64"))
+
+    @F.pandas_udf("int")
+    def of(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(dtype="float64")
+        return pd.Series(np.searchsorted(bounds, v, "left") + np.searchsorted(bounds, v, "right"))
+
+    return of(F.col(column).cast("double"))
+
+
+def sliced_cube(source: DataFrame, dims: Sequence[str], measures: Mapping[str, str], slices: Mapping[str, Column]) -> DataFrame:
+    """A cube whose sketches are exact however many facts there are. A sketch has a row for each slice of its facts (``slices``: by measure),
+    of which there are so many that none outgrows it; the other measures are in rows without a slice."""
+    plain = {m: e for m, e in measures.items() if m not in slices}
+    parts = [cube(source, dims, plain)]
+    for m, s in slices.items():
+        facts = source.withColumn("slice", s.cast("int"))
+        parts.append(cube(facts.where("slice is not null").repartition("slice"), [*dims, "slice"], {m: measures[m]}))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def from_sliced_cube(pre: DataFrame, cube_dims: Sequence[str], dims: Sequence[str], again: Mapping[str, str | float], size: int = 12, most: int = 4096) -> DataFrame:
+    """``from_cube`` of a ``sliced_cube``. Distinct counts of slices add up (``size``: that of their sketches, as a power of two). A percentile
+    lies in the slice in which the running count of values comes to its rank, and is read there (``most``: as many values as these sketches hold exactly)."""
+    plain = {m: f for m, f in again.items() if isinstance(f, str) and f != "distinct"}
+    parts = [from_cube(pre.where("slice is null"), cube_dims, dims, plain)]
+    for m, f in again.items():
+        here = pre.where(F.col(m).isNotNull()).groupBy(*dims, "slice")
+        if f == "distinct":
+            counts = here.agg(F.theta_sketch_estimate(F.theta_union_agg(m, size)).alias(m))
+            parts.append(counts.groupBy(*dims).agg(F.sum(m).alias(m)))
+        elif m not in plain:
+            one = here.agg(F.kll_merge_agg_double(m).alias("s")).withColumn("n", F.kll_sketch_get_n_double("s")).where("n > 0")
+            group = Window.partitionBy(*dims)
+            upto = one.withColumns({"upto": F.sum("n").over(group.orderBy("slice")), "all": F.sum("n").over(group)})
+            at = F.greatest(F.ceil(F.lit(Decimal(str(f))) * F.col("all")).cast("long"), F.lit(1)) - F.col("upto") + F.col("n")
+            within = upto.withColumn("at", at).where("at between 1 and n")
+            # ranks must be constants: a grid of them as fine as the largest sketch hits every row of it, nearest to the middle between two ranks
+            grid = F.split(F.lit(",".join(str((i + 0.5) / most) for i in range(most))), ",").cast("array<double>")
+            step = F.floor((2 * F.col("at") - 1) * most / (2 * F.col("n"))).cast("int")
+            parts.append(within.select(*dims, F.get(F.kll_sketch_get_quantile_double("s", grid), step).alias(m)))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return whole.groupBy(*dims).agg(*(F.max(m).alias(m) for m in again))
+
+
 @dataclass(frozen=True)
 class Cube:
     """A written cube: its rows by its dimensions, with the measures it has, and how many rows there are."""

@@ -190,3 +190,18 @@ def test_smallest_cube(spark):
         metrics.smallest_cube([a, b], ["w"], ["n"])
     with pytest.raises(ValueError):
         metrics.from_cube(rows, ["x"], ["x"], {"n": "avg"})
+
+
+def test_cubes_of_sketches_in_slices_are_exact(spark):
+    """More entities and values in a group than a sketch holds, one value very often, a group without values: counts and percentiles are exact."""
+    from tessella.operators import metrics
+
+    price = F.when(F.col("id") % 5 == 0, 7.5).when(F.col("id") % 3 != 2, (F.xxhash64("id") % 100_000).cast("double"))
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("h"), (F.col("id") % 9_000).alias("who"), price.alias("price"))
+    measures = {"n": "count(*)", "users": "theta_sketch_agg(who, 10)", "prices": "kll_sketch_agg_double(price, 1024)"}
+    slices = {"users": activity.slice_of("who", activity.slices_for(rows, "who", 10)), "prices": metrics.value_slices(rows, "price", 1024)}
+    pre = metrics.sliced_cube(rows, ["g", "h"], measures, slices).localCheckpoint()
+    for q in (0.01, 0.5, 0.95, 1.0):
+        got = metrics.from_sliced_cube(pre, ["g", "h"], ["g"], {"n": "sum", "users": "distinct", "prices": q}, 10, 1024)
+        want = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("who").alias("users"), F.expr(f"percentile_disc({q}) within group (order by price)").alias("prices"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
