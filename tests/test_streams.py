@@ -111,3 +111,21 @@ def test_time_to_live_on_a_stream(spark, tmp_path, seed):
     whole = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("t"))
     want = sorted((str(r.id), r.t, r.n) for r in log.dedup_ttl(whole, ["id"], "at", width).collect())
     assert [r[:2] for r in got] == [r[:2] for r in want] and {r[1] for r in got if r[0] == "fixed"} == {10**6 + t for t in (0, 1001, 2200, 4400)}
+
+
+def test_a_log_is_flushed_by_streams_side_by_side(spark, tmp_path, monkeypatch):
+    """Files of 700 rows in lanes, all full but one, whatever the partitions; several streams ingest them, in as many batches as one would."""
+    from tessella.queries import QUERIES
+
+    rows = spark.range(12_345, numPartitions=7).where("id < 3000 or id > 3700").selectExpr("id event_id", "timestamp_ntz'2024-01-01' ts", "id user_id", "'view' event_type", "1.0D value", "'{}' props")
+    n = 12_345 - 701
+    lanes = jobs.write_lanes(rows, f"{tmp_path}/log", 700, 2, 3)
+    sizes = [sorted(r["count"] for r in spark.read.parquet(lane).groupBy(F.input_file_name()).count().collect()) for lane in lanes]
+    assert sum(map(sum, sizes)) == n and sorted(x for s in sizes for x in s) == [n % 700] + [700] * (n // 700)
+    assert sum((len(s) + 1) // 2 for s in sizes) == (n // 700 + 2) // 2
+    assert jobs.write_lanes(rows.where("false"), f"{tmp_path}/none", 700, 2, 3) == []
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    started, ingest = [], jobs.ingest
+    monkeypatch.setattr(jobs, "ingest", lambda *a: (started.append(a), ingest(*a))[1])
+    got = QUERIES["s7_flush_by_rows"](spark, str(tmp_path)).first()
+    assert tuple(got) == (n, float(n), 0, n // 700 + 1, (n // 700 + 2) // 2) and len(started) > 1
