@@ -129,3 +129,38 @@ def test_a_log_is_flushed_by_streams_side_by_side(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "ingest", lambda *a: (started.append(a), ingest(*a))[1])
     got = QUERIES["s7_flush_by_rows"](spark, str(tmp_path)).first()
     assert tuple(got) == (n, float(n), 0, n // 700 + 1, (n // 700 + 2) // 2) and len(started) > 1
+
+
+def commits(checkpoint):
+    return [f for f in Path(checkpoint, "commits").iterdir() if f.name.isdigit()]
+
+
+def test_a_batch_writes_many_flushes(spark, tmp_path):
+    """25 files of 10 rows, 12 a batch, 3 a flush: whole files, a written file for each flush, and no more of them if a batch is run again."""
+    path, want = str(tmp_path), [4, 4, 1]
+    spark.range(250).selectExpr("id", "id div 10 AS f", "id % 2 AS p").repartitionById(25, F.expr("int(f)")).write.parquet(f"{path}/log")
+
+    def run(to, *partitions):
+        stream = jobs.event_stream(spark, f"{path}/log", "*.parquet", "id long, f long, p long", 12)
+        jobs.ingest(stream, f"{path}/{to}", f"{path}/{to}-checkpoint", partitions, None, None, 3).awaitTermination()
+        rows = spark.read.parquet(f"{path}/{to}").withColumn("at", F.input_file_name())
+        return [tuple(r) for r in rows.groupBy("batch", "flush").agg(F.count_distinct("at"), F.count_distinct("f"), F.count("id"), F.min("id"), F.sum("id")).orderBy("batch", "flush").collect()]
+
+    first = run("data")
+    assert [sum(r[0] == b for r in first) for b in range(3)] == want and len(commits(f"{path}/data-checkpoint")) == 3
+    assert [r[2:5] for r in first] == [(1, 3, 30)] * 8 + [(1, 1, 10)] and sum(r[6] for r in first) == 250 * 249 // 2
+    for f in Path(f"{path}/data-checkpoint/commits").glob("*2*"):
+        os.remove(f)
+    assert run("data") == first and len(commits(f"{path}/data-checkpoint")) == 3
+    assert [r[2:5] for r in run("parted", "p")] == [(2, 3, 30)] * 8 + [(2, 1, 10)]
+
+
+def test_batches_of_a_flushed_log_are_few(spark, tmp_path, monkeypatch):
+    """43 files of 700 rows are 22 flushes, but no more batches than streams."""
+    from tessella.queries import QUERIES
+
+    spark.range(30_000).selectExpr("id event_id", "timestamp_ntz'2024-01-01' ts", "id user_id", "'view' event_type", "1.0D value", "'{}' props").write.parquet(f"{tmp_path}/events.parquet")
+    started, ingest = [], jobs.ingest
+    monkeypatch.setattr(jobs, "ingest", lambda *a: (started.append(a[2]), ingest(*a))[1])
+    assert tuple(QUERIES["s7_flush_by_rows"](spark, str(tmp_path)).first()) == (30_000, 30_000.0, 0, 43, 22)
+    assert sum(len(commits(c)) for c in started) == len(started) < 22
