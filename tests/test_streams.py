@@ -164,3 +164,18 @@ def test_batches_of_a_flushed_log_are_few(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "ingest", lambda *a: (started.append(a[2]), ingest(*a))[1])
     assert tuple(QUERIES["s7_flush_by_rows"](spark, str(tmp_path)).first()) == (30_000, 30_000.0, 0, 43, 22)
     assert sum(len(commits(c)) for c in started) == len(started) < 22
+
+
+def test_late_events_are_those_of_the_sql(spark, tmp_path):
+    """Batches by days, one of them empty, with late events and events without a time: as the same SQL gives on Spark."""
+    from tessella.queries import ORACLES, QUERIES
+
+    rng = random.Random(4)
+    rows = [(i, None if rng.random() < 0.05 else f"2024-01-{rng.choice([*range(1, 13), *range(19, 32)]):02} {rng.randrange(24):02}:00:00") for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts string").selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "1L user_id", "'view' event_type", "1.0D value", "'{}' props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    events.createOrReplaceTempView("late_events")
+    sql = "WITH ev AS (SELECT event_id, ts FROM late_events)" + ORACLES["t4_late_stream"].split(" AS k FROM events)")[1].replace("//", "div").replace("CAST(sum(event_id) AS BIGINT)", "sum(event_id)")
+    want = {tuple(r) for r in spark.sql(sql).collect()}
+    assert {r[0] for r in want} == {False, True} and sum(r[1] for r in want) == 600
+    assert {tuple(r) for r in QUERIES["t4_late_stream"](spark, str(tmp_path)).select("late", "events", "ids").collect()} == want
